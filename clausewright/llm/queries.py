@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from clausewright.llm.encode import p8_ids
+from clausewright.llm.encoding import p1_found, p1_restored
 from clausewright.llm.leaks import p9_found
+from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
 from clausewright.llm.split_items import p3_found
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
+    "p7_found": p7_found,
+    "p7_unified": p7_unified,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
 }
