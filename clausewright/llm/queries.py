@@ -7,6 +7,7 @@ from clausewright.llm.encoding import p1_found, p1_restored
 from clausewright.llm.leaks import p9_found
 from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
+from clausewright.llm.quality import p10_found, p10_statistics
 from clausewright.llm.split_items import p3_found
 
 QUERIES = {
@@ -19,6 +20,8 @@ QUERIES = {
     "p7_unified": p7_unified,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 SQL: dict[str, str] = {}
