@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausewright.llm.base import flat_map, text_fields
-from clausewright.llm.encoding import LOST, SUSPECT, Repair
+from clausewright.llm.encoding import LOST, Repair, suspects
 
 #: Letters of Cyrillic, Greek and Armenian, and the Latin letters they look like.
 LOOKALIKES = dict(zip(
@@ -123,7 +123,9 @@ def words(rows: DataFrame, mask: bool) -> DataFrame:
 
         def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
             if mask:
-                text = SUSPECT.sub(lambda m: LOST * len(m.group()) if doubtful(m.group()) else m.group(), text)
+                for start, end in suspects(text):
+                    if doubtful(text[start:end]):
+                        text = text[:start] + LOST * (end - start) + text[end:]
             last = 0
             for m in wanted.finditer(text):
                 start, end = m.span()
