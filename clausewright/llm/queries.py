@@ -8,6 +8,7 @@ from clausewright.llm.leaks import p9_found
 from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
 from clausewright.llm.quality import p10_found, p10_statistics
+from clausewright.llm.scan_noise import p5_found, p5_repaired
 from clausewright.llm.sentence_bounds import p4_found
 from clausewright.llm.split_items import p3_found
 
@@ -16,6 +17,8 @@ QUERIES = {
     "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
