@@ -7,6 +7,7 @@ from clausewright.llm.encoding import p1_found, p1_restored
 from clausewright.llm.leaks import p9_found
 from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
+from clausewright.llm.personal import p2_found, p2_masked
 from clausewright.llm.quality import p10_found, p10_statistics
 from clausewright.llm.scan_noise import p5_found, p5_repaired
 from clausewright.llm.sentence_bounds import p4_found
@@ -15,6 +16,8 @@ from clausewright.llm.split_items import p3_found
 QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
