@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.functions.arrow import flat_map
 from clausewright.sources.tables import table
 
+__all__ = ["FIELDS", "MEMO_LIMIT", "Words", "bounded_sample", "clean_word", "flat_map", "text_field", "text_fields"]
+
 #: field -> (table, key, text column)
 FIELDS = {
     "clean_text": ("contract_docs", "contract_id", "clean_text"),
@@ -35,53 +37,15 @@ def text_fields(spark: SparkSession, folder: str, fields: Iterable[str]) -> Data
     return functools.reduce(DataFrame.unionByName, (text_field(spark, folder, f) for f in fields))
 
 
-Row = tuple
-Each = Callable[..., Iterable[Row]]
-
-
-def flat_map(rows: DataFrame, make: Callable[[], Each], schema: str, columns: list[str]) -> DataFrame:
-    """Each row's `columns` go to the function that `make` builds once per task; the tuples it yields are the result.
+def bounded_sample(rows: DataFrame, size: int) -> list[str]:
+    """About `size` distinct texts of (text), chosen by their hash, at most twice as many; all of them if there are fewer.
 
-    Runs over Arrow batches; one row is handled at a time, so memory is bounded by a batch and the largest text.
+    For fitting models only. The share to keep follows from the number of rows, so each task sends its part and not a
+    full sample of its own.
     """
-    names = [part.strip().split()[0] for part in _split_schema(schema)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in batches:
-            out: list[Row] = []
-            for args in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                out.extend(each(*args))
-                if len(out) >= 20_000:
-                    yield _batch(out, names, arrow)
-                    out = []
-            if out:
-                yield _batch(out, names, arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    parsed = _parse_datatype_string(schema)
-    assert isinstance(parsed, StructType)
-    arrow = to_arrow_schema(parsed)
-    return rows.select(*columns).mapInArrow(run, schema)
-
-
-def _split_schema(schema: str) -> list[str]:
-    parts, depth, current = [], 0, ""
-    for ch in schema:
-        depth += (ch in "<(") - (ch in ">)")
-        if ch == "," and not depth:
-            parts.append(current)
-            current = ""
-        else:
-            current += ch
-    return [*parts, current]
-
-
-def _batch(rows: list[Row], names: list[str], arrow: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[i], type=arrow.field(i).type) for i in range(len(names))], schema=arrow)
+    total = rows.count()
+    share = min(1 << 30, -(-(size << 30) // max(1, total)))
+    return [r[0] for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("text").distinct().limit(2 * size).collect()]
 
 
 def _kept(ch: str) -> bool:

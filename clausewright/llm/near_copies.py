@@ -30,8 +30,8 @@ BANDS, BAND_ROWS = 36, 5
 BITS, BUDGET = 64, 21
 #: Rows of a band key that one task joins at a time.
 BLOCK = 2_000
-#: Up to so many candidate ids their list may be broadcast (16 MB); beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many candidate ids their list may be broadcast (some 10 MB); beyond it the texts are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 _rng = np.random.default_rng(20250101)
 _MULTIPLY = (_rng.integers(0, 2**32, BANDS * BAND_ROWS + BITS, dtype=np.uint32) | np.uint32(1))[:, None]

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.base import MEMO_LIMIT, flat_map
+from clausewright.llm.base import MEMO_LIMIT, bounded_sample, flat_map
 from clausewright.sources.tables import table
 
 #: The bound of the training texts, by their hash; a parameter. Splitting itself covers every text.
@@ -264,8 +264,7 @@ def split_sentences(documents: DataFrame, training: int = TRAINING_TEXTS) -> Dat
     fitted on at most `training` texts, chosen by hash.
     """
     rows = documents.select("contract_id", "text").where(F.col("text").isNotNull())
-    sample = rows.select("text", F.xxhash64("text").alias("order")).orderBy("order").limit(training)
-    tagger = fit([r[0] for r in sample.collect()])
+    tagger = fit(sorted(bounded_sample(rows, training)))
     shared = rows.sparkSession.sparkContext.broadcast((tagger.ends, tagger.starts, tagger.weights))
 
     def make() -> Callable:
