@@ -32,7 +32,7 @@ def media_type(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, media_type) of the files under a path."""
+    """(path, length, content, media_type) of the files under a path; the source itself leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", "content", media_type(F.col("path")).alias("media_type"))
 
