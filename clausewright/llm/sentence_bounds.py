@@ -101,9 +101,10 @@ class Tagger:
             word = _WORD.match(text, end)
             after = word.group(1)
             following = after[:1] or (text[word.end() : word.end() + 1])
-            inside = any(a < start and end < b for a, b in quoted)
-            closing = not inside and any(end == b for a, b in quoted)
-            key = (m.group()[:1], token, after if following.isupper() else following, inside, closing, start - last < 12, last == 0 and start < 6)
+            if any(a < start and end < b for a, b in quoted):
+                continue  # a quoted passage doesn't end the sentence around it
+            closing = any(end == b for a, b in quoted)
+            key = (m.group()[:1], token, after if following.isupper() else following, closing, start - last < 12, last == 0 and start < 6)
             got = self.memo.get(key)
             if got is None:
                 if len(self.memo) > MEMO_LIMIT:
@@ -113,11 +114,11 @@ class Tagger:
             last = end
         return out
 
-    def described(self, mark: str, token: str, after: str, inside: bool, closing: bool, close: bool, first: bool) -> tuple[str, ...]:
+    def described(self, mark: str, token: str, after: str, closing: bool, close: bool, first: bool) -> tuple[str, ...]:
         bare = token.strip("([{“„\"'‘«-–—")
         kind = letter_class(after[:1])
         if mark in "。！？।۔؟" or not mark:
-            return (f"m:{mark or 'gap'}", f"mq:{mark or 'gap'}{inside}", f"ml:{mark or 'gap'}{kind}", f"q:{inside}{kind}")
+            return (f"m:{mark or 'gap'}", f"mc:{closing}", f"ml:{mark or 'gap'}{kind}", f"cl:{closing}{kind}")
         share, n = self.ends.get(bare.lower(), (0, 0))
         begun, seen = self.starts.get(after, (0, 0))
         end = bucket(share / n if n else 0, n)
@@ -125,7 +126,7 @@ class Tagger:
         shape = "initial" if len(bare) == 1 and bare.isupper() else "number" if bare.isdigit() else "dotted" if "." in bare else "short" if len(bare) < 4 else "long"
         return (
             f"m:{mark}", f"k:{kind}", f"e:{end}", f"s:{start}", f"h:{shape}", f"ek:{end}{kind}", f"es:{end}{start}", f"hk:{shape}{kind}", f"hs:{shape}{start}",
-            f"q:{inside}{kind}", f"c:{closing}{kind}", f"mk:{mark}{kind}", f"f:{first}{shape}", f"d:{close}", f"dh:{close}{shape}",
+            f"c:{closing}{kind}", f"mk:{mark}{kind}", f"f:{first}{shape}", f"d:{close}", f"dh:{close}{shape}",
         )
 
     def tag(self, text: str) -> list[int]:
@@ -205,9 +206,7 @@ def fit(texts: list[str], seed: int = 3, rounds: int = 3) -> Tagger:
         """Whether a paragraph is surely a single sentence: nothing inside it can be a boundary."""
         for _, features in tagger.features(body):
             named = set(features)
-            if "q:Truelower" in named or any(f.startswith("q:True") for f in features):
-                continue
-            if any(f in named for f in ("f:Truenumber", "f:Trueinitial", "f:Trueshort", "k:lower", "k:digit", "k:mark", "k:bracket", "e:0")):
+            if any(f in named for f in ("f:Truenumber", "f:Trueinitial", "f:Trueshort", "k:lower", "k:digit", "k:mark", "k:bracket", "e:0", "cl:Trueletter")):
                 continue
             return False
         return True
