@@ -12,6 +12,9 @@ from clausewright.llm.quality import p10_found, p10_statistics
 from clausewright.llm.scan_noise import p5_found, p5_repaired
 from clausewright.llm.sentence_bounds import p4_found
 from clausewright.llm.split_items import p3_found
+from clausewright.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES = {
     "p1_found": p1_found,
@@ -31,5 +34,3 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
-
-SQL: dict[str, str] = {}
