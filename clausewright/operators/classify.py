@@ -64,24 +64,29 @@ def centroids(seeds: DataFrame, label: str = "label", vector: str = "embedding")
     return gathered.select("label", vectors.unit(F.col("mean")).alias("centroid"))
 
 
-#: Centroids are broadcast only below this many labels; beyond it the join is left to the planner.
-BROADCAST_LABELS = 10_000
+#: So many labels are held against the items at a time.
+BLOCK_LABELS = 10_000
 
 
 def nearest_centroid(items: DataFrame, centres: DataFrame, key: str, vector: str = "embedding", least: float = fixed.CENTROID_LEAST, margin: float = fixed.CENTROID_MARGIN) -> DataFrame:
     """(key, best, score, runner_up, second_score, accepted): the two nearest centroids of each item.
 
-    The set of labels is the stated query set that every item is held against; its size is checked before it is
-    gathered to one row. Accepted are scores of at least `least` that lead by `margin`. Ties go to the lesser label.
+    The labels are the stated set that every item is held against, in blocks that are broadcast one by one; of each
+    block an item keeps its two best. Accepted are scores of at least `least` that lead by `margin`. Ties go to the
+    lesser label.
     """
-    count = centres.count()
-    if count > BROADCAST_LABELS:
-        raise ValueError(f"{count} labels; hold the items against them in blocks of {BROADCAST_LABELS}")
-    table = centres.agg(F.collect_list(F.struct("label", "centroid")).alias("centres"))
-    scored = items.where(F.col(vector).isNotNull()).select(key, vector).join(F.broadcast(table)).select(
-        key,
-        F.array_sort(F.transform("centres", lambda c: F.struct((-vectors.dot(F.col(vector), c["centroid"])).alias("less"), c["label"].alias("label")))).alias("r"),
-    )
+    blocks = max(1, -(-centres.count() // BLOCK_LABELS))
+    items = items.where(F.col(vector).isNotNull()).select(key, vector)
+
+    def two_best(block: DataFrame) -> DataFrame:
+        held = block.agg(F.collect_list(F.struct("label", "centroid")).alias("centres"))
+        scores = F.transform("centres", lambda c: F.struct((-vectors.dot(F.col(vector), c["centroid"])).alias("less"), c["label"].alias("label")))
+        return items.join(F.broadcast(held)).select(key, F.slice(F.array_sort(scores), 1, 2).alias("r"))
+
+    parts = [two_best(centres.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == n) if blocks > 1 else centres) for n in range(blocks)]
+    scored = parts[0]
+    if blocks > 1:
+        scored = functools.reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, 2).alias("r"))
     best, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
     score, lead = -best["less"], F.coalesce(-best["less"] + second["less"], F.lit(float("inf")))
     return scored.select(key, best["label"].alias("best"), score.alias("score"), second["label"].alias("runner_up"), (-second["less"]).alias("second_score"), ((score >= least) & (lead >= margin)).alias("accepted"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausewright.functions import fixed, text, vectors
 
-#: The provisions are the stated set that every text is held against; above this many they must come in blocks.
+#: The provisions are the stated set that every text is held against, so many at a time.
 BLOCK_PROVISIONS = 5_000
 
 
@@ -40,12 +42,16 @@ def bm25(queries: DataFrame, corpus: DataFrame, key: str, body: str = "text", or
 
 
 def cosine_scores(queries: DataFrame, corpus: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """(key, ord, score): dot products of the queries' vectors with those of a corpus (ord, embedding) of bounded size."""
-    if (count := corpus.count()) > BLOCK_PROVISIONS:
-        raise ValueError(f"{count} vectors; hold the queries against them in blocks of {BLOCK_PROVISIONS}")
-    held = corpus.select("ord", F.col(vector).alias("_v")).agg(F.collect_list(F.struct("ord", "_v")).alias("held"))
-    pairs = queries.where(F.col(vector).isNotNull()).select(key, vector).join(F.broadcast(held)).select(key, vector, F.explode("held").alias("h"))
-    return pairs.select(key, F.col("h.ord").alias("ord"), vectors.dot(F.col(vector), F.col("h._v")).alias("score"))
+    """(key, ord, score): dot products of the queries' vectors with those of a corpus (ord, embedding), broadcast in blocks."""
+    blocks = max(1, -(-corpus.count() // BLOCK_PROVISIONS))
+    queries = queries.where(F.col(vector).isNotNull()).select(key, vector)
+
+    def scored(block: DataFrame) -> DataFrame:
+        held = block.select("ord", F.col(vector).alias("_v")).agg(F.collect_list(F.struct("ord", "_v")).alias("held"))
+        pairs = queries.join(F.broadcast(held)).select(key, vector, F.explode("held").alias("h"))
+        return pairs.select(key, F.col("h.ord").alias("ord"), vectors.dot(F.col(vector), F.col("h._v")).alias("score"))
+
+    return functools.reduce(DataFrame.unionByName, (scored(corpus.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == n) if blocks > 1 else corpus) for n in range(blocks)))
 
 
 def ground(clauses: DataFrame, corpus: DataFrame, scores: DataFrame, key: str, kind: str = "type", vectors_scores: DataFrame | None = None, k: int = fixed.TOP_K) -> DataFrame:
@@ -55,12 +61,10 @@ def ground(clauses: DataFrame, corpus: DataFrame, scores: DataFrame, key: str, k
     A provision tagged with the clause's type gains 0.55, unless the clause is unclassified. Totals below 0.30 drop
     out; what is kept is at most 1, and equal totals keep the corpus' order. Blank texts have no match.
 
-    corpus: (ord, clause_types), at most BLOCK_PROVISIONS rows; every clause meets the few provisions that scored or are
-    tagged, never all of them: the least score is zero as soon as one provision went without.
+    corpus: (ord, clause_types). Every clause meets the few provisions that scored or are tagged, never all of them: the
+    least score is zero as soon as one provision went without. Tags are broadcast up to BLOCK_PROVISIONS provisions.
     """
     total = corpus.count()
-    if total > BLOCK_PROVISIONS:
-        raise ValueError(f"{total} provisions; hold the clauses against them in blocks of {BLOCK_PROVISIONS}")
     method = "bm25" if vectors_scores is None else "hybrid"
     first, second = fixed.FUSION[method]
 
@@ -72,7 +76,7 @@ def ground(clauses: DataFrame, corpus: DataFrame, scores: DataFrame, key: str, k
 
     tags = corpus.select("ord", F.explode("clause_types").alias("_type")).distinct()
     typed = clauses.where(F.coalesce(F.col(kind), F.lit(fixed.UNCLASSIFIED)) != fixed.UNCLASSIFIED)
-    tagged = typed.join(F.broadcast(tags), F.col(kind) == F.col("_type")).select(key, "ord", F.lit(fixed.TAG_BONUS).alias("tag"))
+    tagged = typed.join(F.broadcast(tags) if total <= BLOCK_PROVISIONS else tags, F.col(kind) == F.col("_type")).select(key, "ord", F.lit(fixed.TAG_BONUS).alias("tag"))
     joined = scaled(scores, "bm").join(tagged, [key, "ord"], "full")
     value = first * F.coalesce("bm", F.lit(0.0)) + F.coalesce("tag", F.lit(0.0))
     if vectors_scores is not None:

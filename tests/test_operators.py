@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausewright.functions import fixed
@@ -55,7 +56,9 @@ def test_preamble_stays_if_nothing_is_found(spark):
     assert classify.classify_by_cues(spark.createDataFrame([("x", "PREAMBLE")], "text string, type string")).head().assigned_type == "PREAMBLE"
 
 
-def test_centroids(spark):
+@pytest.mark.parametrize("block", [10_000, 1])
+def test_centroids(spark, monkeypatch, block):
+    monkeypatch.setattr(classify, "BLOCK_LABELS", block)
     seeds = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), (None, [1.0, 1.0]), ("b", None)], "label string, embedding array<float>")
     centres = classify.centroids(seeds)
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.7071, 0.7071]), (3, None)], "id int, embedding array<float>")
@@ -85,6 +88,16 @@ def test_grounding(spark):
     assert got == [("a", 1, 0, 1.0), ("a", 2, 2, 0.55), ("b", 1, 1, 0.75)]
 
 
+@pytest.mark.parametrize("block", [10_000, 1])
+def test_hybrid_grounding(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK_PROVISIONS", block)
+    corpus = spark.createDataFrame([(0, [], "alpha beta", [1.0, 0.0]), (1, ["X"], "gamma", [0.0, 1.0])], "ord int, clause_types array<string>, search_text string, embedding array<float>")
+    clauses = spark.createDataFrame([("a", "X", "alpha", [0.0, 1.0])], "k string, type string, text string, embedding array<float>")
+    near = retrieval.cosine_scores(clauses, corpus, "k")
+    got = retrieval.ground(clauses, corpus, retrieval.bm25(clauses, corpus, "k"), "k", vectors_scores=near)
+    assert [(r.ord, round(r.score, 2), r.method) for r in got.orderBy("rank").collect()] == [(1, 0.85, "hybrid"), (0, 0.45, "hybrid")]
+
+
 def test_rules(spark):
     clauses = spark.createDataFrame([(1, "a", "TERMINATION", "for convenience"), (1, "b", "TERMINATION", "for convenience by each party"), (2, "c", "X", "no limit, 45 (45) days or 9 days")], "doc int, id string, assigned_type string, text string")
     made = rules.flags(clauses, [rules.Rule("TERMINATION", "for CONVENIENCE", "each party", "MEDIUM", "exit")], ["doc", "id"])
