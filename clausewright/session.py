@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import sys
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +35,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once, unless they can import it from their path or folder anyway."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    reachable = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *(p for p in sys.path if p.endswith("-packages"))]
+    if app in _shipped or any(p and Path(p).resolve() == root for p in reachable):
+        return
+    folder = tempfile.mkdtemp(prefix="shipped-")  # Spark serves the file from here to its workers as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/clausewright", "zip", root, "clausewright"))
+    _shipped.add(app)
