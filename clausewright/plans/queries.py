@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import fixed, text
 from clausewright.functions import vectors as V
-from clausewright.operators import audit, classify, entities, library, retrieval, rules, segment
+from clausewright.operators import audit, classify, entities, library, notes, retrieval, rules, segment
 from clausewright.sources import files, reports
 from clausewright.sources.tables import table
 
@@ -144,6 +144,15 @@ def clause_flags(spark: SparkSession, folder: str) -> DataFrame:
     return rules.flags(clauses(spark, folder), RULES, ["clause_uid"], "clause_type")
 
 
+def clause_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """A note for each flag, with the best provision of the clause."""
+    rows = clauses(spark, folder)
+    flagged = rules.flags(rows, RULES, ["clause_uid"], "clause_type").join(rows.select("clause_uid", "text"), "clause_uid").withColumn("rationale", F.concat(F.lit("Found by the rule "), F.col("category"), F.lit(".")))
+    held = table(spark, folder, "provisions").select("ord", "act", "provision", "summary")
+    made = notes.flag_notes(flagged, grounded_clauses(spark, folder).join(held, "ord"), ["clause_uid"])
+    return made.select("clause_uid", "headline", "body", F.size("citations").alias("citations"))
+
+
 def missing_clause_types(spark: SparkSession, folder: str) -> DataFrame:
     return rules.missing_types(clauses(spark, folder), REQUIRED, "contract_id", "clause_type")
 
@@ -265,6 +274,7 @@ QUERIES = {
     "vector_matches": vector_matches,
     "ensemble_types": ensemble_types,
     "clause_flags": clause_flags,
+    "clause_notes": clause_notes,
     "missing_clause_types": missing_clause_types,
     "contract_severity": contract_severity,
     "notice_days": notice_days,

@@ -221,3 +221,9 @@ SQL = {
         f"case when source_path is null or trim(source_path) = '' then 'No file was given.' when clean_text is null then 'The file could not be found.' when {PATH_END} not in ('docx', 'pdf', 'txt') then 'This type of file is not supported.' when length(clean_text) = 0 then 'The file is empty.' when length(clean_text) > {fixed.UPLOAD_BYTES} then 'The file is larger than 25 MB.' end as reason from contract_docs"
     ),
 }
+
+_FIRST = "case when instr(p.summary, '. ') > 31 then substring(p.summary, 1, instr(p.summary, '. ')) when length(p.summary) <= 200 then p.summary else substring(p.summary, 1, 197) || '...' end"
+SQL["clause_notes"] = (
+    f"with {CLAUSES}, flagged as ({_flag_rows('clause_uid')}), matched as ({SQL['grounded_clauses']}), best as (select m.clause_uid, p.act, 'Related law - ' || p.act || ', ' || p.provision || ': ' || {_FIRST} as law from matched m join provisions p on m.ord = p.ord where m.rank = 1) "
+    f"select f.clause_uid, case severity when 'HIGH' then 'High-priority point: ' when 'MEDIUM' then 'Worth checking: ' else 'Minor note: ' end || {label('category')} as headline, concat_ws(' ', 'Found by the rule ' || category || '.', law) as body, case when act is null then 1 else 2 end as citations from flagged f left join best b on f.clause_uid = b.clause_uid"
+)
