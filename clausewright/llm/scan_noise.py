@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from clausewright.llm.base import MEMO_LIMIT, flat_map, text_fields
 
 #: Words with fewer than this share of all words are left out of the broadcast counts, so that they hold at most a
-#: million words at any size of the corpus.
+#: million words at any size of the corpus. They can't be what an odd word stands for; how often they occur themselves
+#: is looked up by a join.
 LEAST_SHARE = 1e-6
+#: Below this count a word says nothing, however small the corpus.
 LEAST_COUNT = 4
 #: A sound word must be so many times as frequent as the odd one.
 TIMES = 20
@@ -50,27 +52,37 @@ def core(raw: str) -> str:
 
 
 class Editor:
-    """Judges words by the counts of the corpus and the perceptron's weights."""
+    """Judges words by the counts of the corpus and the perceptron's weights.
 
-    def __init__(self, counts: dict[str, int], weights: dict[str, float]) -> None:
-        self.counts, self.weights, self.memo = counts, weights, {}
+    `least` is the least count of a word in `counts`. All tests of counts are relative to it or to another word's count,
+    so a corpus of many times the size with the same shares is judged alike. `rare` has exact counts of words below it.
+    """
+
+    def __init__(self, counts: dict[str, int], weights: dict[str, float], least: float = LEAST_COUNT, rare: dict[str, int] | None = None) -> None:
+        self.counts, self.weights, self.least, self.rare, self.memo = counts, weights, least, rare or {}, {}
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word) or self.rare.get(word, 0)
+
+    def edits(self, word: str, whole: str = "", own: int | None = None) -> Iterator[tuple[str, tuple[str, ...]]]:
+        """(result, features) of one or two operations that lead to a word far more frequent than this one.
 
-    def edits(self, word: str) -> Iterator[tuple[str, tuple[str, ...]]]:
-        """(result, features) of one or two operations that lead to a word far more frequent than this one."""
-        own = self.counts.get(word, 0)
+        A part of a compound is as frequent as the compound at least. In training a damaged word's count is given.
+        """
+        own = max(self.count(word), self.count(whole)) if own is None else own
         firsts = list(self.steps(word))
         for result, at, seen, true in firsts:
-            if (n := self.counts.get(result, 0)) >= max(2 * LEAST_COUNT, TIMES * own) or self.known_parts(result, own):
+            if (n := self.counts.get(result, 0)) >= max(2 * self.least, TIMES * own) or self.known_parts(result, own):
                 yield result, self.features(word, result, at, seen, true, own, n, 1)
-        if len(word) > 4 and own == 0:
+        if len(word) > 4 and own < self.least:
             for between, _, _, _ in firsts:
                 for result, at, seen, true in self.steps(between):
-                    if result != word and (n := self.counts.get(result, 0)) >= 8 * LEAST_COUNT:
+                    if result != word and (n := self.counts.get(result, 0)) >= max(8 * self.least, TIMES * own):
                         yield result, self.features(word, result, at, seen, true, own, n, 2)
 
     def known_parts(self, result: str, own: int) -> bool:
         parts = re.split("['’-]", result)
-        return len(parts) > 1 and own == 0 and all(self.counts.get(p, 0) >= 2 * LEAST_COUNT or len(p) < 2 for p in parts)
+        return len(parts) > 1 and own < self.least and all(self.counts.get(p, 0) >= max(2 * self.least, TIMES * own) or len(p) < 2 for p in parts)
 
     @staticmethod
     def steps(word: str) -> Iterator[tuple[str, int, str, str]]:
@@ -80,9 +92,10 @@ class Editor:
                     if at + size <= len(word):
                         yield word[:at] + true + word[at + size :], at, word[at : at + size], true
 
-    @staticmethod
-    def features(word: str, result: str, at: int, seen: str, true: str, own: int, n: int, steps: int) -> tuple[str, ...]:
-        ratio = int(math.log2((n + 1) / (own + 1)))
+    def features(self, word: str, result: str, at: int, seen: str, true: str, own: int, n: int, steps: int) -> tuple[str, ...]:
+        unit = self.least / LEAST_COUNT
+        ratio = int(math.log2((n / unit + 1) / (own / unit + 1)))
+        own = int(own / unit) if own >= self.least else 0
         op = "replace" if len(seen) == len(true) else "insert" if len(seen) < len(true) else "delete"
         left, right = word[at - 1 : at] or "^", word[at + len(seen) : at + len(seen) + 1] or "$"
         odd = not seen.isalpha()
@@ -99,20 +112,29 @@ class Editor:
         got = self.memo[raw] = self.judge(raw)
         return got
 
+    @staticmethod
+    def parts(raw: str, word: str) -> list[str]:
+        """The parts of a compound and what is between them; none of an address or a code."""
+        return [] if len(word) < 3 or "@" in raw and "." in raw or "/" in word or re.search(r"\d\d", word) else re.split("(['’-])", word)
+
+    @staticmethod
+    def judged(part: str) -> bool:
+        return len(part) > 2 and bool(_WORDLIKE.fullmatch(part)) and sum(map(str.isdigit, part)) <= max(1, len(part) // 3)
+
+    def unsure(self, raw: str) -> set[str]:
+        """The words below the least count on whose exact counts the judgement of the raw token depends."""
+        word = core(raw)
+        hit = [part for part in self.parts(raw, word) if self.judged(part) and (part not in self.counts or word not in self.counts) and next(self.edits(part, word), None)]
+        return {w for w in (word, *hit) if w not in self.counts and _SOUND.fullmatch(w)} if hit else set()
+
     def judge(self, raw: str) -> str | None:
         word = core(raw)
-        if len(word) < 3 or self.counts.get(word, 0) > 400 * LEAST_COUNT and word.isalpha() or "@" in raw and "." in raw:
-            return None
-        if self.counts.get(word, 0) >= 2 * LEAST_COUNT and not word.isalpha() or "/" in word or re.search(r"\d\d", word):
-            return None  # a compound that is often met, or a code
-        parts = re.split("(['’-])", word)
+        parts = self.parts(raw, word)
         for k, part in enumerate(parts):
-            if len(parts) > 1 and self.counts.get(part, 0) >= 2 * LEAST_COUNT:
-                continue
-            if len(part) < 3 or not _WORDLIKE.fullmatch(part) or sum(map(str.isdigit, part)) > max(1, len(part) // 3):
+            if not self.judged(part):
                 continue
             best, result = 0.0, None
-            for to, features in self.edits(part):
+            for to, features in self.edits(part, word):
                 score = sum(self.weights.get(f, 0.0) for f in features)
                 if score > best:
                     best, result = score, to
@@ -126,29 +148,36 @@ class Editor:
         return None
 
 
-def train(counts: dict[str, int], seed: int = 11, words: int = 6_000, rounds: int = 4) -> dict[str, float]:
+def train(counts: dict[str, int], least: float = LEAST_COUNT, seed: int = 11, words: int = 6_000, rounds: int = 4) -> dict[str, float]:
     """Weights from the sound words of the counts: undamaged words must be kept, damaged copies led back."""
     rng = random.Random(seed)
-    pool = sorted((w for w, n in counts.items() if len(w) > 3 and n >= 2 * LEAST_COUNT and w.isalpha()), key=lambda w: (-counts[w], w))[: 4 * words]
+    pool = sorted((w for w, n in counts.items() if len(w) > 3 and n >= 2 * least and w.isalpha()), key=lambda w: (-counts[w], w))[: 4 * words]
     weights: Counter[str] = Counter()
     total: Counter[str] = Counter()
-    editor, step = Editor(counts, weights), 1
+    editor, step = Editor(counts, weights, least), 1
     damage: dict[str, list[str]] = {}
     for seen, true in CONFUSED[: 22 + 22]:
         damage.setdefault(true, []).append(seen)
     samples = []
     for word in rng.sample(pool, min(words, len(pool))):
         spots = [(k, size, seen) for k in range(len(word)) for size in (1, 2) for seen in damage.get(word[k : k + size], ())]
-        samples.append((word, None))
+        # A word beside one so much more frequent may be a misreading itself.
+        if not any(counts.get(to, 0) >= TIMES**2 * counts[word] for to, _, _, _ in editor.steps(word)):
+            samples.append((word, None, None))
+        # Misreadings recur in proportion to the corpus, so damaged copies of frequent words are met often as well.
+        for k, size, seen in rng.sample(spots, min(4, len(spots))) if counts[word] >= 2 * TIMES * least else ():
+            bad = word[:k] + seen + word[k + size :]
+            if bad not in counts:
+                samples.append((bad, word, int(least * (counts[word] / (TIMES * least)) ** rng.random())))
         if spots:
             k, size, seen = rng.choice(spots)
             bad = word[:k] + seen + word[k + size :]
             if bad not in counts:
-                samples.append((bad, word))
-    # Rare sound words (names and the like) stand for themselves.
-    rare = sorted(w for w, n in counts.items() if n < 4 * LEAST_COUNT and len(w) > 3 and w.isalpha())
-    samples += [(w, None) for w in rng.sample(rare, min(words // 2, len(rare)))]
-    described = [(goal, list(editor.edits(word))) for word, goal in samples]
+                samples.append((bad, word, 0))
+        # Rare sound words (names and the like) stand for themselves.
+    rare = sorted(w for w, n in counts.items() if n < 4 * least and len(w) > 3 and w.isalpha())
+    samples += [(w, None, None) for w in rng.sample(rare, min(words // 2, len(rare)))]
+    described = [(goal, list(editor.edits(word, own=own))) for word, goal, own in samples]
     described = [(goal, edits) for goal, edits in described if edits]
     for _ in range(rounds):
         rng.shuffle(described)
@@ -246,8 +275,9 @@ def repaired(field: str, text: str, editor: Editor) -> str:
     return re.sub(r"[ \t]*(?<!\n)\n(?!\s*\n)[ \t]*", " ", body).strip()
 
 
-def word_counts(rows: DataFrame) -> dict[str, int]:
-    """How often each word occurs in all rows; rare words are left out (see LEAST_SHARE)."""
+def word_counts(rows: DataFrame) -> tuple[dict[str, int], float, DataFrame | None]:
+    """How often each word occurs in all rows, but for rare words; the least count of the others; and (word, n) of the
+    rare words that were met LEAST_COUNT times, if there are any (see LEAST_SHARE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -269,7 +299,9 @@ def word_counts(rows: DataFrame) -> dict[str, int]:
 
     sums = rows.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).checkpoint()
     total = sums.agg(F.sum("n")).first()[0] or 0
-    return dict(sums.where(F.col("n") >= LEAST_SHARE * total).toPandas().itertuples(index=False, name=None))
+    least = max(LEAST_COUNT, LEAST_SHARE * total)
+    rare = sums.where(F.col("n") < least) if least > LEAST_COUNT else None
+    return dict(sums.where(F.col("n") >= least).toPandas().itertuples(index=False, name=None)), least, rare
 
 
 def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
@@ -277,9 +309,33 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
 
     spark = rows.sparkSession
     checkpoint_dir(spark)
-    counts = word_counts(rows)
-    shared = spark.sparkContext.broadcast((counts, train(counts)))
-    return flat_map(rows, lambda: make_each(Editor(*shared.value)), schema, ["field", "row_id", "text"]).distinct()
+    counts, least, rare = word_counts(rows)
+    shared = spark.sparkContext.broadcast((counts, train(counts, least), least))
+    if rare is None:
+        return flat_map(rows, lambda: make_each(Editor(*shared.value)), schema, ["field", "row_id", "text"]).distinct()
+
+    def unsure() -> Callable:
+        editor, known = Editor(*shared.value), {}
+
+        def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
+            for raw in set(CUT.sub("", text).split()):
+                if (words := known.get(raw)) is None:
+                    if len(known) > MEMO_LIMIT:
+                        known.clear()
+                    words = known[raw] = editor.unsure(raw)
+                yield from ((field, row_id, word) for word in words)
+
+        return each
+
+    def exact() -> Callable:
+        plain = Editor(*shared.value)
+        each = make_each(plain)
+        return lambda field, row_id, text, words: (make_each(Editor(*shared.value, {w['word']: w['n'] for w in words}))(field, row_id, text) if words else each(field, row_id, text))
+
+    words = flat_map(rows, unsure, "field string, row_id bigint, word string", ["field", "row_id", "text"]).distinct()
+    words = words.join(rare, "word").groupBy("field", "row_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    met = rows.join(words, ["field", "row_id"], "left")
+    return flat_map(met, exact, schema, ["field", "row_id", "text", "words"]).distinct()
 
 
 def noise(rows: DataFrame) -> DataFrame:

@@ -63,3 +63,26 @@ def test_page_numbers(line):
 @pytest.mark.parametrize("line", ["The sum is 14", "proof for 88 days.", "For Holley Foods Limited", "Authorised Signatory", "2. PAYMENT"])
 def test_other_lines(line):
     assert n.furniture(line) == (False, False)
+
+
+@pytest.mark.parametrize("times", [1, 40, 4_000])
+def test_a_corpus_of_many_times_the_size_is_judged_alike(times):
+    words = {w: 40 for t in CLEAN for w in map(n.core, t.split())}
+    shares = {**words, "shall": 70_000, "sball": 44, "disclosure": 900, "disclosnre": 9, "pre": 50}
+    counts = {w: c * times for w, c in shares.items()}
+    editor = n.Editor(counts, {"op:replace": 1.0, "r:10": 1.0}, n.LEAST_COUNT * times)
+    assert [editor(w) for w in ("sball", "pre-disclosnre", "Shall", "warehouse")] == ["shall", "pre-disclosure", None, None]
+
+
+def test_rare_words_count_exactly(spark, monkeypatch):
+    """Below the broadcast share a word's own count is looked up: met so often beside its neighbour it is no misreading."""
+    monkeypatch.setattr(n, "LEAST_SHARE", 3e-3)
+    data = [("clean_text", 100 + k, t) for k, t in enumerate(CLEAN * 4)]
+    data += [("clean_text", 1_000 + k, "Each drawirg is kept.") for k in range(8)] + [("clean_text", 2_000, "The trainin9 material.")]
+    rows = spark.createDataFrame(data, "field string, row_id bigint, text string")
+    counts, least, rare = n.word_counts(rows)
+    assert least > n.LEAST_COUNT and "drawirg" not in counts and dict(rare.collect())["drawirg"] == 8
+    seen = n.Editor(counts, n.train(counts, least), least, {"drawirg": 8})
+    assert seen.unsure("drawirg") <= {"drawirg"} and list(seen.edits("drawirg")) == []
+    assert {(r.row_id, r.kind) for r in n.noise(rows).collect()} == {(2_000, "misread")}
+    assert {r.row_id for r in n.repair(rows).collect()} == {2_000}
