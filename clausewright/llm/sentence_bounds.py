@@ -2,7 +2,7 @@
 
 Candidate boundaries (after closing punctuation; at spaces before letters of a script without sentence punctuation) are
 tagged as boundary or inside by a linear-chain model with Viterbi decoding. Its features come from two unsupervised
-statistics of the training texts - how often a token with a period ends a paragraph, how often a word starts one - and
+statistics of all texts - how often a token with a period ends a paragraph, how often a word starts one - and
 from the surroundings: letter classes, quotations, brackets, distances. Weights are learned by an averaged perceptron
 on paragraphs joined at known boundaries; for scripts without periods the joints carry no punctuation.
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from clausewright.sources.tables import table
 
 #: The bound of the training texts, by their hash; a parameter. Splitting itself covers every text.
 TRAINING_TEXTS = 1_500
+#: A word met less often is `rare`, whatever its share.
+LEAST_MET = 8
 
 _SPACELESS = "฀-๿຀-໿က-႟ក-៿"
 _CLOSERS = "”’\"'»“」』）)\\]】》〉"
@@ -79,7 +82,7 @@ def letter_class(ch: str) -> str:
 
 
 def bucket(share: float, n: int) -> str:
-    return "rare" if n < 8 else "0" if share < 0.02 else "1" if share < 0.1 else "2" if share < 0.25 else "3"
+    return "rare" if n < LEAST_MET else "0" if share < 0.02 else "1" if share < 0.1 else "2" if share < 0.25 else "3"
 
 
 class Tagger:
@@ -180,12 +183,14 @@ def sentences(text: str, tagger: Tagger) -> Iterator[tuple[int, int]]:
             start = end
 
 
-def fit(texts: list[str], seed: int = 3, rounds: int = 3) -> Tagger:
-    """The tagger from plain texts: statistics first, then the perceptron on joined paragraphs."""
+Counts = dict[str, tuple[int, int]]
+
+
+def met(texts: Iterable[str]) -> tuple[Counts, Counts]:
+    """How often each token with a period ends a paragraph of the texts, and each capital word starts a sentence, of how many."""
     ends: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     starts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    bodies = [text[a:b] for text in texts for a, b in paragraphs(text)]
-    for body in bodies:
+    for body in (text[a:b] for text in texts for a, b in paragraphs(text)):
         words = body.split()
         if len(words) < 6:
             continue
@@ -199,7 +204,42 @@ def fit(texts: list[str], seed: int = 3, rounds: int = 3) -> Tagger:
                 entry = starts[bare]
                 entry[1] += 1
                 entry[0] += k == 0 or words[k - 1][-1] in ".?!" and k > 2
-    tagger = Tagger({k: tuple(v) for k, v in ends.items()}, {k: tuple(v) for k, v in starts.items()}, {})
+    return {k: tuple(v) for k, v in ends.items()}, {k: tuple(v) for k, v in starts.items()}
+
+
+def corpus_counts(rows: DataFrame) -> tuple[Counts, Counts]:
+    """The same over all distinct texts of (text); words met less than LEAST_MET times, which are all alike, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: tuple[dict, dict] = {}, {}
+
+        def flush() -> pa.RecordBatch:
+            out = [(which == 1, word, hits, n) for which, counts in enumerate(sums) for word, (hits, n) in counts.items()]
+            for counts in sums:
+                counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.int64(), pa.int64()))], names=["start", "word", "hits", "n"])
+
+        for batch in batches:
+            for counts, more in zip(sums, met(batch.column(0).to_pylist()), strict=True):
+                for word, (hits, n) in more.items():
+                    known = counts.get(word, (0, 0))
+                    counts[word] = known[0] + hits, known[1] + n
+            if sum(map(len, sums)) > MEMO_LIMIT:
+                yield flush()
+        yield flush()
+
+    parts = rows.select("text").distinct().mapInArrow(run, "start boolean, word string, hits bigint, n bigint")
+    ends: Counts = {}
+    starts: Counts = {}
+    for start, word, hits, n in parts.groupBy("start", "word").agg(F.sum("hits"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_MET).collect():
+        (starts if start else ends)[word] = hits, n
+    return ends, starts
+
+
+def fit(texts: list[str], seed: int = 3, rounds: int = 3, counts: tuple[Counts, Counts] | None = None) -> Tagger:
+    """The tagger from plain texts: statistics first (of these texts if no other counts are given), then the perceptron on joined paragraphs."""
+    bodies = [text[a:b] for text in texts for a, b in paragraphs(text)]
+    tagger = Tagger(*(counts or met(texts)), {})
     rng = random.Random(seed)
 
     def certain(body: str) -> bool | None:
@@ -259,11 +299,11 @@ def split_sentences(documents: DataFrame, training: int = TRAINING_TEXTS) -> Dat
     """(contract_id, sent_start, sent_end) of every text of (contract_id, text).
 
     Null, empty and blank texts have no sentence. Repeated rows give their sentences once. A text is split paragraph by
-    paragraph, so very long texts cost in proportion to their length. Other columns are not carried. The tagger is
-    fitted on at most `training` texts, chosen by hash.
+    paragraph, so very long texts cost in proportion to their length. Other columns are not carried. The
+    statistics cover every text; the perceptron is fitted on about `training` texts, chosen by hash.
     """
     rows = documents.select("contract_id", "text").where(F.col("text").isNotNull())
-    tagger = fit(sorted(bounded_sample(rows, training)))
+    tagger = fit(sorted(bounded_sample(rows, training)), counts=corpus_counts(rows))
     shared = rows.sparkSession.sparkContext.broadcast((tagger.ends, tagger.starts, tagger.weights))
 
     def make() -> Callable:

@@ -69,3 +69,17 @@ def test_table(spark):
     got = sorted((r.contract_id, r.sent_start, r.sent_end) for r in s.split_sentences(rows).collect())
     assert got[-1] == (4, 0, 50_000) and {g[0] for g in got} == {1, 4} and len(got) == len(set(got))
     assert s.split_sentences(rows.limit(0)).count() == 0
+
+
+def test_statistics_cover_all_texts(spark, monkeypatch):
+    """An abbreviation that no sampled text holds is known from the others."""
+    sample = training()
+    others = [f"The Client shall ask Qrv. Tamrel {k} of the desk about the sum and then pay it before noon." for k in range(60)]
+    monkeypatch.setattr(s, "bounded_sample", lambda rows, size: sample)
+    rows = spark.createDataFrame(list(enumerate([*sample, *others, *others])), "contract_id bigint, text string")
+    ends, starts = s.corpus_counts(rows)
+    assert ends["qrv"] == (0, 60) and starts["Tamrel"][1] == s.met([*sample, *others])[1]["Tamrel"][1]
+    got = {(r.contract_id, r.sent_start, r.sent_end) for r in s.split_sentences(rows).collect() if r.contract_id >= len(sample)}
+    assert got == {(len(sample) + k, 0, len(t)) for k, t in enumerate([*others, *others])}
+    old = s.fit(sample)
+    assert any(len(list(s.sentences(t, old))) > 1 for t in others)
