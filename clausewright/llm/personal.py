@@ -1,6 +1,6 @@
 """Problem 2: personal information inside free text, located and replaced by typed placeholders.
 
-Candidate spans come from wide patterns and a gazetteer of given names that is learned from the corpus by context. On
+Candidate spans come from wide patterns and a gazetteer of given names that is learned from the whole corpus by context. On
 each candidate labelers vote (format, gazetteer, title before it, cue words around it, firm or case or code beside it);
 expectation-maximisation estimates how reliable each labeler is and how likely each candidate is a mention; with those
 probabilities as targets a logistic span classifier is trained, which decides on all candidates. Before matching, a text
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from clausewright.llm.base import bounded_sample, flat_map, text_fields
 from clausewright.llm.lookalikes import INVISIBLE, LOOKALIKES, SPACES, _expanded
 
-#: The bounds of what the gazetteer and the classifier are fitted on; the texts are chosen by their hash.
+#: The bound of what the classifier is fitted on; the texts are chosen by their hash.
 TRAINING_TEXTS = 12_000
 #: A given name enters the gazetteer when it was met so often after a title or cue.
 LEAST_MET = 3
@@ -217,21 +217,50 @@ class Finder:
             yield Span("name", m.start(group), m.end(group + 1) if m.lastindex and m.lastindex > group else m.end(group), (1, 0, 1, 1, 0, 0, 0))
 
 
-def gazetteer(texts: list[str]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """Given names met after a title, the last names that follow them, and given names in Devanagari."""
-    met, last, hindi = Counter(), Counter(), Counter()
-    for text in texts:
-        for m in _TITLED_NAME.finditer(text):
-            met[m.group(1)] += 1
+def introduced(text: str) -> Iterator[tuple[str, str]]:
+    """("given" or "hindi", name) of each name in the plain text that stands after a title or cue."""
+    for m in _TITLED_NAME.finditer(text):
+        yield "given", m.group(1)
+    if not text.isascii() and _HINDI.search(text):
         for m in _HINDI_TITLE.finditer(text):
             if m.group(1) not in _HINDI_NONE and m.group(2) not in _HINDI_NONE:
-                hindi[m.group(1)] += 1
-    given = {w for w, n in met.items() if n >= LEAST_MET}
-    for text in texts:
-        for m in _GIVEN.finditer(text):
-            if m.group() in given and (rest := _SURNAME.match(text, m.end())):
-                last[rest.group("last")] += 1
-    return frozenset(given), frozenset(w for w, n in last.items() if n >= LEAST_MET), frozenset(w for w, n in hindi.items() if n >= LEAST_MET)
+                yield "hindi", m.group(1)
+
+
+def followers(text: str, given: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """("last", name) of each last name in the plain text that follows a known given name."""
+    for m in _GIVEN.finditer(text):
+        if m.group() in given and (rest := _SURNAME.match(text, m.end())):
+            yield "last", rest.group("last")
+
+
+def gazetteer(texts: list[str]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Given names met after a title, the last names that follow them, and given names in Devanagari."""
+    names = Counter(name for text in texts for name in introduced(text))
+    given = frozenset(w for (kind, w), n in names.items() if kind == "given" and n >= LEAST_MET)
+    last = Counter(w for text in texts for _, w in followers(text, given))
+    return given, frozenset(w for w, n in last.items() if n >= LEAST_MET), frozenset(w for (kind, w), n in names.items() if kind == "hindi" and n >= LEAST_MET)
+
+
+def corpus_gazetteer(rows: DataFrame) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """The same over all texts of (text), each distinct text once. Only names met LEAST_MET times reach the driver."""
+    hashed = rows.select("text", F.xxhash64("text").alias("key"))
+
+    def names(find: Callable[[str], Iterator[tuple[str, str]]]) -> dict[str, frozenset[str]]:
+        def each(text: str, key: int) -> Iterator[tuple]:
+            return ((key, kind, name, n) for (kind, name), n in Counter(find(plain(text)[0])).items())
+
+        found = flat_map(hashed, lambda: each, "key bigint, kind string, name string, n bigint", ["text", "key"]).distinct()
+        often: dict[str, set[str]] = {}
+        for kind, name in found.groupBy("kind", "name").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_MET).select("kind", "name").collect():
+            often.setdefault(kind, set()).add(name)
+        return {kind: frozenset(group) for kind, group in often.items()}
+
+    none: frozenset[str] = frozenset()
+    first = names(introduced)
+    given = first.get("given", none)
+    last = names(lambda text: followers(text, given)) if given else {}
+    return given, last.get("last", none), first.get("hindi", none)
 
 
 def estimate(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -272,9 +301,10 @@ def design(votes: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(votes)), votes, *pairs]).astype(float)
 
 
-def fit(texts: list[str]) -> tuple[Finder, dict[str, np.ndarray]]:
+def fit(texts: list[str], names: tuple[frozenset[str], frozenset[str], frozenset[str]] | None = None) -> tuple[Finder, dict[str, np.ndarray]]:
+    """The finder with the given names (without any, those of the texts), and the classifiers fitted on the texts."""
     simple = [plain(t)[0] for t in texts]
-    finder = Finder(*gazetteer(simple))
+    finder = Finder(*(names or gazetteer(simple)))
     votes: dict[str, list[tuple[int, ...]]] = {kind: [] for kind in KINDS}
     for text in simple:
         for span in finder.spans(text):
@@ -314,8 +344,8 @@ class Detector:
 
 
 def _detectors(rows: DataFrame, training: int) -> Callable[[], Detector]:
-    # Long texts hold most cues; short ones (entities) would fill the sample.
-    finder, weights = fit(sorted(bounded_sample(rows.where(F.length("text") > 80), training)))
+    # Names are counted over all texts. The sample is for the classifier; short texts (entities) would fill it.
+    finder, weights = fit(sorted(bounded_sample(rows.where(F.length("text") > 80), training)), corpus_gazetteer(rows))
     shared = rows.sparkSession.sparkContext.broadcast((finder.given, finder.surnames, finder.hindi, weights))
 
     def make() -> Detector:

@@ -55,3 +55,17 @@ def test_expectation_maximisation_separates():
     chance = p.estimate(np.array(good + bad))
     assert chance[:50].min() > 0.9 and chance[50:].max() < 0.1
     assert ((p.design(np.array(good + bad)) @ p.classifier(np.array(good + bad), chance) > 0) == (chance > 0.5)).all()
+
+
+def test_names_are_learned_from_all_texts(spark, monkeypatch):
+    """A given name that has its cues in texts outside the sample, and in short ones, is known everywhere."""
+    monkeypatch.setattr(p, "bounded_sample", lambda rows, size: TRAIN)
+    cues = ["Attn: Tobrin Askellan", "Mr. Tobrin Askellan of the mill", "The deed was Signed by Tobrin Q. Askellan on a day that all the parties to the lease had agreed on before."]
+    bare = "Any notice may be left with Tobrin Askellan at the gate of the yard."
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate([*TRAIN, *cues, bare, bare, cues[0]])], "field string, row_id bigint, text string")
+    given, last, _ = p.corpus_gazetteer(rows)
+    assert "Tobrin" in given and "Askellan" in last
+    assert p.corpus_gazetteer(rows.where(~rows.text.startswith("Mr. T")))[0] == frozenset(GIVEN)
+    got = [(r.kind, r.start_at) for r in p.mentions(rows).collect() if r.row_id == len(TRAIN) + len(cues)]
+    assert got == [("name", bare.index("Tobrin"))]
+    assert "[NAME] at the gate" in {r.row_id: r.text for r in p.masked(rows).collect()}[len(TRAIN) + len(cues)]
