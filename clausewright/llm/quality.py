@@ -3,17 +3,18 @@
 A document is cut into chunks; each chunk gives a partial result: counts of the blocks that lie wholly inside it, and as
 boundary state the unfinished block at either end. Two neighbours merge by closing the block between them, which is
 associative, so huge documents are merged as a tree of bounded groups; documents of one chunk need no merge and no
-shuffle. Ratios and rule outcomes are derived from the merged counts.
+shuffle. The repeated segments of documents of several chunks are counted by a groupBy on document and segment, those
+across chunks included. Ratios and rule outcomes are derived from the merged counts.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.base import MEMO_LIMIT, flat_map
+from clausewright.session import checkpoint_dir
 from clausewright.sources.tables import table
 
 CHUNK = 262_144
 #: Partial results merged by one call.
 FAN = 16
-#: Distinct segments of a document that are counted exactly; beyond it those of the least hashes stand for all.
-SEGMENTS = 4_096
 #: Mean log probability of a letter below which words have no meaning: between shuffled letters and sound text.
 SENSELESS = -2.75
 
@@ -223,31 +223,35 @@ class Measure:
 
 
 def _hash(segment: str) -> int:
-    return xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Partial:
     """Counts of whole blocks between two unfinished ones; without a blank line all is `head`."""
 
-    def __init__(self, head: str = "", tail: str | None = None, counts: Counter | None = None, segments: dict | None = None) -> None:
-        self.head, self.tail, self.counts, self.segments = head, tail, counts or Counter(), segments or {}
+    def __init__(self, head: str = "", tail: str | None = None, counts: Counter | None = None) -> None:
+        self.head, self.tail, self.counts = head, tail, counts or Counter()
 
 
-def _segments(text: str, into: dict) -> None:
-    for segment in _SEGMENT.split(text):
-        segment = segment.strip()
-        if len(segment) > 3:
-            key = _hash(segment)
-            n, _ = into.get(key, (0, 0))
-            into[key] = (n + 1, len(segment))
-    _trim(into)
+def segments(pieces: list[str]) -> Counter[str]:
+    return Counter(s for piece in pieces if len(s := piece.strip()) > 3)
 
 
-def _trim(segments: dict) -> None:
-    if len(segments) > 2 * SEGMENTS:
-        kept = heapq.nsmallest(SEGMENTS, segments)
-        for key in segments.keys() - set(kept):
-            del segments[key]
+class Repeats(NamedTuple):
+    """All and distinct segments of a document, and which share of their characters is in those met more than twice."""
+
+    total: int = 0
+    distinct: int = 0
+    share: float = 0.0
+
+
+NO_REPEATS = Repeats()
+
+
+def repeats(text: str) -> Repeats:
+    counts = segments(_SEGMENT.split(text))
+    size = sum(n * len(s) for s, n in counts.items())
+    return Repeats(sum(counts.values()), len(counts), sum(n * len(s) for s, n in counts.items() if n > 2) / max(1, size))
 
 
 def part(text: str, measure: Measure) -> Partial:
@@ -257,7 +261,6 @@ def part(text: str, measure: Measure) -> Partial:
     out = Partial(blocks[0], blocks[-1])
     for block in blocks[1:-1]:
         out.counts.update(measure.block(block))
-        _segments(block, out.segments)
     return out
 
 
@@ -265,23 +268,18 @@ def merge(a: Partial, b: Partial, measure: Measure) -> Partial:
     """The partial result of two neighbouring chunks; the block across their border is closed if both its ends are known."""
     if a.tail is None and b.tail is None:
         return part(a.head + b.head, measure)
-    counts, segments = a.counts + b.counts, dict(a.segments)
-    for key, (n, size) in b.segments.items():
-        segments[key] = (segments.get(key, (0, 0))[0] + n, size)
-    _trim(segments)
+    counts = a.counts + b.counts
     if a.tail is None:
         joined = part(a.head + b.head, measure)
-        return Partial(joined.head, b.tail, counts, segments) if joined.tail is None else Partial(joined.head, b.tail, counts + joined.counts + measure.block(joined.tail), segments)
+        return Partial(joined.head, b.tail, counts) if joined.tail is None else Partial(joined.head, b.tail, counts + joined.counts + measure.block(joined.tail))
     if b.tail is None:
         joined = part(a.tail + b.head, measure)
-        return Partial(a.head, joined.head, counts, segments) if joined.tail is None else Partial(a.head, joined.tail, counts + joined.counts + measure.block(joined.head), segments)
+        return Partial(a.head, joined.head, counts) if joined.tail is None else Partial(a.head, joined.tail, counts + joined.counts + measure.block(joined.head))
     middle = part(a.tail + b.head, measure)
     counts += middle.counts + measure.block(middle.head)
-    _segments(middle.head, segments)
     if middle.tail is not None:
         counts += measure.block(middle.tail)
-        _segments(middle.tail, segments)
-    return Partial(a.head, b.tail, counts, segments)
+    return Partial(a.head, b.tail, counts)
 
 
 #: The columns of the statistics.
@@ -291,21 +289,17 @@ STATISTICS = (
 )
 
 
-def outcome(p: Partial, measure: Measure) -> tuple:
+def outcome(p: Partial, measure: Measure, repeated: Repeats = NO_REPEATS) -> tuple:
     """Ratios, and the kind: prose, or what most of the rest is if that rest is more than half of the characters."""
     c = Counter(p.counts)
-    segments = dict(p.segments)
     for text in (p.head, p.tail or ""):
         c.update(measure.block(text))
-        _segments(text, segments)
     chars = c["chars"]
     if not chars:
         return 0, 0, None, None, None, None, 0.0, 0.0, 0.0, "blank"
-    total, distinct = sum(n for n, _ in segments.values()), len(segments)
-    repeated = sum(n * size for n, size in segments.values() if n > 2) / max(1, sum(n * size for n, size in segments.values()))
     shares = {k: c[k] / chars for k in ("list", "table", "junk")}
-    if total >= 4 and distinct <= 0.4 * total and repeated > 0.5 and shares["table"] < 0.5:
-        shares = {"list": 0.0, "table": shares["table"], "junk": max(shares["junk"], min(1.0 - shares["table"], repeated))}
+    if repeated.total >= 4 and repeated.distinct <= 0.4 * repeated.total and repeated.share > 0.5 and shares["table"] < 0.5:
+        shares = {"list": 0.0, "table": shares["table"], "junk": max(shares["junk"], min(1.0 - shares["table"], repeated.share))}
     kind = max(shares, key=lambda k: shares[k]) if sum(shares.values()) > 0.5 else "prose"
     words = c["words"]
     return (
@@ -314,6 +308,34 @@ def outcome(p: Partial, measure: Measure) -> tuple:
     )
 
 
+def _repeats(cut: DataFrame) -> DataFrame:
+    """(row, total, distinct, share): the Repeats of each document cut to (row, at, text), all its segments counted."""
+
+    def inner(row: int, at: int, text: str) -> Iterator[tuple]:
+        pieces = _SEGMENT.split(text.replace("\r", ""))
+        for segment, n in segments(pieces[1:-1]).items():
+            yield row, _hash(segment), n, len(segment), None, None, None
+        yield row, None, None, None, at, pieces[0], pieces[-1] if len(pieces) > 1 else None
+
+    def across(row: int, ends: list) -> Iterator[tuple]:
+        closed, begun = [], []
+        for end in sorted(ends, key=lambda e: e["at"]):
+            begun.append(end["head"])
+            if end["tail"] is not None:
+                closed.append("".join(begun))
+                begun = [end["tail"]]
+        for segment, n in segments([*closed, "".join(begun)]).items():
+            yield row, _hash(segment), n, len(segment)
+
+    counts = "row bigint, key bigint, n bigint, size bigint"
+    found = flat_map(cut, lambda: inner, f"{counts}, at bigint, head string, tail string", ["row", "at", "text"])
+    ends = found.where(F.col("key").isNull()).groupBy("row").agg(F.collect_list(F.struct("at", "head", "tail")).alias("ends"))
+    whole = found.where(F.col("key").isNotNull()).select("row", "key", "n", "size")
+    each = whole.unionByName(flat_map(ends, lambda: across, counts, ["row", "ends"])).groupBy("row", "key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    sizes = F.col("n") * F.col("size")
+    return each.groupBy("row").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), (F.coalesce(F.sum(F.when(F.col("n") > 2, sizes)), F.lit(0)) / F.greatest(F.lit(1), F.sum(sizes))).alias("share"))
+
+
 def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, statistics) of every row of (doc_id, text).
 
@@ -332,7 +354,14 @@ def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def whole() -> Callable:
         measure = ready()
-        return lambda doc_id, text: [(doc_id, *(outcome(part(text.replace("\r", ""), measure), measure) if text is not None else [None] * 10))]
+
+        def each(doc_id: int, text: str | None) -> list:
+            if text is None:
+                return [(doc_id, *[None] * 10)]
+            text = text.replace("\r", "")
+            return [(doc_id, *outcome(part(text, measure), measure, repeats(text)))]
+
+        return each
 
     schema = f"doc_id bigint, {STATISTICS}"
     short = flat_map(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk), whole, schema, ["doc_id", "text"])
@@ -356,17 +385,19 @@ def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def last() -> Callable:
         measure = ready()
-        return lambda doc_id, state: [(doc_id, *outcome(pickle.loads(state), measure))]
+        return lambda doc_id, state, total, distinct, share: [(doc_id, *outcome(pickle.loads(state), measure, Repeats(total or 0, distinct or 0, share or 0.0)))]
 
     level = "row bigint, doc_id bigint, at bigint, state binary"
-    numbered = long.withColumn("row", F.monotonically_increasing_id())
+    checkpoint_dir(spark)
+    numbered = long.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # read twice, with the same numbers
     cut = numbered.select("row", "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))).alias("at"), "text").select("row", "doc_id", "at", F.expr(f"substring(text, cast(at * {chunk} + 1 as int), {chunk})").alias("text"))
     parts = flat_map(cut, first, level, ["row", "doc_id", "at", "text"])
     count = -(-most // chunk)
     while count > 1:
         grouped = parts.groupBy("row", "doc_id", F.floor(F.col("at") / FAN).alias("at")).agg(F.collect_list(F.struct("at", "state")).alias("parts"))
         parts, count = flat_map(grouped, joined, level, ["row", "doc_id", "at", "parts"]), -(-count // FAN)
-    return short.unionByName(flat_map(parts, last, schema, ["doc_id", "state"]))
+    counted = parts.join(_repeats(cut), "row", "left")
+    return short.unionByName(flat_map(counted, last, schema, ["doc_id", "state", "total", "distinct", "share"]))
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:

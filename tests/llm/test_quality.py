@@ -67,3 +67,17 @@ def test_merging_is_associative(seed):
 
 def test_no_rows(spark):
     assert q.statistics(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_passage_repeated_in_a_very_long_document_counts_whatever_stands_beside_it(spark):
+    """Every passage in turn, so that no luck with its hash makes the outcome right."""
+    other = [f"note {k} kept" for k in range(9_000)]
+    texts = {}
+    for k in range(6):
+        lines = other + [f"{PROSE.split('.')[0]} in yard {k}"] * 16_000
+        random.Random(k).shuffle(lines)
+        texts[k] = ". ".join(lines)
+    got = {r.doc_id: r for r in q.statistics(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert {r.kind for r in got.values()} == {"junk"}
+    for k, text in texts.items():
+        assert len(text) > q.CHUNK and got[k].junk_share == pytest.approx(q.repeats(text).share)
