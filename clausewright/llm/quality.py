@@ -48,7 +48,7 @@ FURNITURE = frozenset("home next prev previous login log in logout sign in searc
 _MARK = re.compile(r"\s*(?:[-–—*•·◦▪‣●○►»+]|\[[ xX✓]?\]|[☐☑✓✔]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxlc]{1,5}[.)])[\s　]+\S")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}[ :]){6,}|^[0-9a-fA-F]{6,8}[: ]\s+[0-9a-fA-F]{2,}")
 _GAP = re.compile(r"\S(?: {3,}|\s*\t\s*|\s*\.{4,}\s*)(?=\S)|\t")
-_SEGMENT = re.compile(r"[\n.?!;।。！？۔>|»·•]+")
+_SEGMENT = re.compile(r"[.?!;।。！？۔]+(?=\s|$)|[।。！？]+|\s[>|»·•](?=\s|$)")  # within a line
 _MARKS = re.compile(r"[^\w\s\u0300-\u036f\u0600-\u0eff]|_")
 _LATIN = re.compile("[A-Za-z]")
 _BLANK = re.compile(r"\n[ \t\r　]*\n\s*")
@@ -173,9 +173,8 @@ class Measure:
         kinds: list[str | None] = [None] * len(lines)
         cells = [self.cells(line) for line in lines]
         senseless = False
-        if not sound and _LATIN.search(lines[0] + lines[-1]):
-            mean, n = self.letters.mean("\n".join(lines))
-            senseless = n >= 40 and mean < SENSELESS
+        if not sound:
+            senseless = self.senseless(lines)
         for k, (line, size, marks) in enumerate(zip(lines, sizes, symbols, strict=True)):
             stripped = line.strip()
             longest = max(map(len, stripped.split()))
@@ -190,7 +189,8 @@ class Measure:
         rest = [k for k, kind in enumerate(kinds) if kind is None]
         if not rest:
             return kinds
-        if senseless:
+        # Tables and furniture may have hidden what the other lines are.
+        if senseless if len(rest) == len(lines) else not sound and self.senseless([lines[k] for k in rest]):
             for k in rest:
                 kinds[k] = "junk"
             return kinds
@@ -208,6 +208,13 @@ class Measure:
                     kinds[k] = "list"
         return kinds
 
+    def senseless(self, lines: list[str]) -> bool:
+        text = "\n".join(lines)
+        if not _LATIN.search(text):
+            return False
+        mean, n = self.letters.mean(text)
+        return n >= 40 and mean < SENSELESS
+
     @staticmethod
     def cells(line: str) -> int:
         """Cells of a line that looks like a row: by bars, tabs, wide gaps, leaders or semicolons without a space after."""
@@ -233,8 +240,8 @@ class Partial:
         self.head, self.tail, self.counts = head, tail, counts or Counter()
 
 
-def segments(pieces: list[str]) -> Counter[str]:
-    return Counter(s for piece in pieces if len(s := piece.strip()) > 3)
+def segments(lines: list[str]) -> Counter[str]:
+    return Counter(s for line in lines for piece in _SEGMENT.split(line) if (s := piece.strip()))
 
 
 class Repeats(NamedTuple):
@@ -249,7 +256,7 @@ NO_REPEATS = Repeats()
 
 
 def repeats(text: str) -> Repeats:
-    counts = segments(_SEGMENT.split(text))
+    counts = segments(text.split("\n"))
     size = sum(n * len(s) for s, n in counts.items())
     return Repeats(sum(counts.values()), len(counts), sum(n * len(s) for s, n in counts.items() if n > 2) / max(1, size))
 
@@ -312,10 +319,10 @@ def _repeats(cut: DataFrame) -> DataFrame:
     """(row, total, distinct, share): the Repeats of each document cut to (row, at, text), all its segments counted."""
 
     def inner(row: int, at: int, text: str) -> Iterator[tuple]:
-        pieces = _SEGMENT.split(text.replace("\r", ""))
-        for segment, n in segments(pieces[1:-1]).items():
+        lines = text.replace("\r", "").split("\n")
+        for segment, n in segments(lines[1:-1]).items():
             yield row, _hash(segment), n, len(segment), None, None, None
-        yield row, None, None, None, at, pieces[0], pieces[-1] if len(pieces) > 1 else None
+        yield row, None, None, None, at, lines[0], lines[-1] if len(lines) > 1 else None
 
     def across(row: int, ends: list) -> Iterator[tuple]:
         closed, begun = [], []

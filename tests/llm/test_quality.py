@@ -81,3 +81,26 @@ def test_a_passage_repeated_in_a_very_long_document_counts_whatever_stands_besid
     assert {r.kind for r in got.values()} == {"junk"}
     for k, text in texts.items():
         assert len(text) > q.CHUNK and got[k].junk_share == pytest.approx(q.repeats(text).share)
+
+
+def test_mashed_lines_between_lines_of_digits_are_junk():
+    sound = np.zeros((27, 27, 27))
+    for triple in q._triples(PROSE * 50):
+        sound.reshape(-1)[triple] += 1
+    measure = q.Measure(q.Letters(sound))
+    block = measure.block("10 20 30\n" + MASHED + "\n40 50 60")
+    assert block["junk"] > 0.9 * block["chars"]
+
+
+def test_short_segments_count_and_points_inside_numbers_do_not_cut():
+    assert q.repeats("ok. " * 9) == (9, 1, 1.0) and q.repeats("好。" * 9) == (9, 1, 1.0)
+    assert q.repeats("It costs 1.5 or 2.5 at most.").total == 1
+
+
+def test_segments_across_chunks_count(spark):
+    text = "ok.\n" * 40 + "\n" + "The sum is 1.5 here. " * 30
+    whole = q.repeats(text)
+    for chunk in (7, 50):
+        cut = spark.createDataFrame([(1, k, text[a : a + chunk]) for k, a in enumerate(range(0, len(text), chunk))], "row bigint, at bigint, text string")
+        got = q._repeats(cut).first()
+        assert (got.total, got.distinct) == whole[:2] and got.share == pytest.approx(whole.share)
