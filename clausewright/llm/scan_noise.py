@@ -1,9 +1,9 @@
 """Problem 5: noise in text from scanned pages, reported by kind and repaired into continuous paragraphs.
 
 Words are judged against the counts of all words of the corpus. An averaged perceptron edits words: for a word that is
-rare beside one it could have been, it scores the operations (replace, insert, delete, and joining at a line end) that
-lead there from its characters, their neighbours and both counts; `keep` is the zero point. It is trained on sound
-words and on copies of them with typical recognition errors. Page furniture is found by the line's place on the page
+rare beside one it could have been, it scores the operations (replace, insert, delete) that lead there from its
+characters, their neighbours and both counts; `keep` is the zero point. It is trained on sound words and on copies of
+them with typical recognition errors. Joining at a line end is a rule and not scored: see CUT. Page furniture is found by the line's place on the page
 and its form.
 """
 
