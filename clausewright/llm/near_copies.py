@@ -147,9 +147,15 @@ def trie_join(ids: np.ndarray, sketches: np.ndarray, split: int = 0, budget: int
     return pairs
 
 
+def _digest(field: str, runs: bytes) -> bytes:
+    """The class of a set."""
+    import hashlib
+
+    return hashlib.blake2b(field.encode() + runs, digest_size=16).digest()
+
+
 def _bands(rows: DataFrame) -> DataFrame:
     """(field, row_id, class, sketch, bands) of the rows that have enough words."""
-    import hashlib
     import zlib
 
     schema = "field string, row_id bigint, class binary, sketch bigint, bands array<bigint>"
@@ -162,7 +168,7 @@ def _bands(rows: DataFrame) -> DataFrame:
             for field, row_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 runs = make(text)
                 if runs is not None:
-                    made.append((field, row_id, hashlib.blake2b(field.encode() + runs.tobytes(), digest_size=16).digest(), *sketch_and_bands(runs, zlib.crc32(field.encode()))))
+                    made.append((field, row_id, _digest(field, runs.tobytes()), *sketch_and_bands(runs, zlib.crc32(field.encode()))))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
@@ -281,14 +287,14 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(id, runs) with the set as bytes."""
+    """(id, runs) with the set as bytes, of the rows of (id, field, text) whose set is that of the class `id`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sets()
         for batch in batches:
-            made = [(i, runs.tobytes()) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (runs := make(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int64()), pa.array([r for _, r in made], pa.binary())], names=["id", "runs"])
+            made = [(i, _digest(field, runs.tobytes()), runs.tobytes()) for i, field, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (runs := make(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["id", "class", "runs"])
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, runs binary")
+    return rows.select("id", "field", "text").mapInArrow(run, "id bigint, class binary, runs binary").where(F.xxhash64("class") == F.col("id")).select("id", "runs")
 
 
 def _similar(similar: float):
@@ -329,7 +335,7 @@ def near_copies(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, D
     if sources.count() <= BROADCAST_IDS:
         sources = F.broadcast(sources)
     # A row_id may have several texts; the digest picks the one that belongs to the class.
-    sets = _sets(rows.join(sources, ["field", "row_id"]).select("id", "text")).dropDuplicates(["id"]).checkpoint()
+    sets = _sets(rows.join(sources, ["field", "row_id"]).select("id", "field", "text")).dropDuplicates(["id"]).checkpoint()
     of = lambda side: sets.select(F.col("id").alias(side), F.col("runs").alias(f"{side}_runs"))
     links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_runs", "b_runs").mapInArrow(_similar(similar), "a bigint, b bigint, share double")
     return links, members

@@ -92,3 +92,18 @@ def iter_root(parent, x):
 def test_no_rows(spark):
     links, members = n.near_copies(spark.createDataFrame([], "field string, row_id bigint, text string"))
     assert links.count() == members.count() == n.groups(links, members).count() == 0
+
+
+def test_a_row_with_several_texts_gives_each_class_its_own_set(spark):
+    """Each row_id has two texts, and each text a near copy in another row."""
+    rng = random.Random(4)
+    data = []
+    for k in range(20):
+        for half in (0, 1):
+            words = [rng.choice(WORDS) for _ in range(60)]
+            data += [("f", k, " ".join(words)), ("f", 1_000 + 2 * k + half, " ".join([*words[:-1], "other"]))]
+    links, members = n.near_copies(spark.createDataFrame(data, "field string, row_id bigint, text string"))
+    row = {}
+    for r in members.collect():
+        row.setdefault(r.id, r.row_id)
+    assert {tuple(sorted((row[r.a], row[r.b]))) for r in links.collect()} == {(k, 1_000 + 2 * k + half) for k in range(20) for half in (0, 1)}
