@@ -1,10 +1,12 @@
 """Problem 10: text statistics per document, and whether it is prose.
 
-A document is cut into chunks; each chunk gives a partial result: counts of the blocks that lie wholly inside it, and as
-boundary state the unfinished block at either end. Two neighbours merge by closing the block between them, which is
-associative, so huge documents are merged as a tree of bounded groups; documents of one chunk need no merge and no
-shuffle. The repeated segments of documents of several chunks are counted by a groupBy on document and segment, those
-across chunks included. Ratios and rule outcomes are derived from the merged counts.
+Every document is cut into chunks of whole lines (a line beyond `LINE` characters into stretches); each chunk gives a
+partial result of bounded size: counts of the blocks, the pieces between blank lines, that lie wholly inside it, and as
+boundary state the features of the unfinished block at either end. The features add up, so neighbours merge by adding the
+two halves of the block between them, in any grouping; the partial results of a document are merged as a tree. A document
+of one chunk is a tree of one leaf. Documents beyond `SPREAD` characters are handed out to several tasks, by the same
+chunks and the same merging, and their repeated segments are summed by a groupBy; the others need no shuffle.
+Ratios and rule outcomes are derived from the merged counts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import functools
 import pickle
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,9 +28,14 @@ from clausewright.llm.base import MEMO_LIMIT, flat_map
 from clausewright.session import checkpoint_dir
 from clausewright.sources.tables import table
 
-CHUNK = 262_144
+#: Characters of a chunk, and of the longest stretch that is judged as one line.
+CHUNK, LINE = 4_096, 4_096
+#: Documents beyond so many characters are handed out in parts of this size. A matter of work in a task, not of results.
+SPREAD = 1 << 20
 #: Partial results merged by one call.
 FAN = 16
+#: Widths of lines above this count as this in the features of a block.
+WIDEST = 1_024
 #: Mean log probability of a letter below which words have no meaning: between shuffled letters and sound text.
 SENSELESS = -2.75
 
@@ -74,49 +81,197 @@ def _triples(text: str) -> np.ndarray:
 class Letters:
     """P(letter | two before), smoothed, over the corpus."""
 
+    UNIT = 1_000_000
+
     def __init__(self, counts: np.ndarray) -> None:
         table_ = counts.reshape(27, 27, 27).astype(np.float64)
         single = (table_.sum(axis=(0, 1)) + 1) / (table_.sum() + 27)
-        self.log = np.log((table_ + 20 * single) / (table_.sum(axis=2, keepdims=True) + 20)).reshape(-1)
-
-    def mean(self, text: str) -> tuple[float, int]:
-        """Mean log probability, and how many letters it rests on."""
-        triples = _triples(text)
-        return (float(self.log[triples].mean()), len(triples)) if len(triples) else (0.0, 0)
+        # Whole numbers, so that sums are the same in any order.
+        self.log = np.rint(self.UNIT * np.log((table_ + 20 * single) / (table_.sum(axis=2, keepdims=True) + 20))).astype(np.int64).reshape(-1)
 
 
-def train(documents: DataFrame) -> Letters:
-    """Counts of letter triples over all documents: at most 19,683 numbers per task and for the driver."""
+def train(documents: DataFrame) -> tuple[Letters, int]:
+    """Counts of letter triples over all documents, at most 19,683 numbers per task and for the driver; and how many
+    characters the longest document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(27**3, dtype=np.int64)
+        counts, longest = np.zeros(27**3, dtype=np.int64), 0
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
+            longest = max(longest, *map(len, texts), 0)
             for at in range(0, len(texts), 256):
                 counts += np.bincount(_triples(" ".join(texts[at : at + 256])), minlength=27**3)
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["slot", "n"])
-
-    counts = np.zeros(27**3)
-    for batch in documents.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return Letters(counts)
+        slots, n = [-1, *met.tolist()], [longest, *counts[met].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(n, pa.int64())], names=["slot", "n"])
 
-
-def _wrapped(lines: list[str]) -> bool:
-    """Whether the lines are one text broken at a width: hardly any next word would have fitted, sentences end inside
-    lines, or only the last line ends one. A title may stand above."""
-    if sum(bool(_INSIDE.search(line)) for line in lines) > 0.2 * len(lines) or [line[-1] in _STOPS for line in lines] == [False] * (len(lines) - 1) + [True]:
-        return True
-    lines = lines[1:] if len(lines) > 3 else lines
-    width = max(map(len, lines))
-    tight = sum(len(line) + 1 + len(after.split(None, 1)[0]) > width - 1 for line, after in zip(lines, lines[1:], strict=False))
-    return tight >= 0.65 * (len(lines) - 1)
+    counts, longest = np.zeros(27**3), 0
+    for row in documents.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect():
+        if row["slot"] < 0:
+            longest = row["most"]
+        else:
+            counts[row["slot"]] = row["n"]
+    return Letters(counts), longest
 
 
 _STOPS = ".?!。！？।۔"
+_ENDED = _STOPS + ":;”\"'»…"
 _INSIDE = re.compile(r"[.?!] [A-ZÀ-Þ]|[।۔] ?\S|[。！？]\S")
 _WIDE = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+_DIGIT = re.compile(r"\d")
+_BARE = re.compile(r";(?=\S|$)")
+_COMMA = re.compile(r",(?=[^\s\d]|\"|$)")
+_TRIM = ".,;:!?()[]\"'“”‘’«»。、，！？।۔"
+
+
+class Line(NamedTuple):
+    """What a block needs to know of a line."""
+
+    size: int
+    cells: int
+    odd: bool  # signs, codes or furniture
+    worded: bool  # hardly any digits
+    marked: bool
+    stop: bool
+    inside: bool
+    wide: bool
+    first: int  # length of its first word
+    log: int
+    letters: int
+    latin: bool
+
+
+class Rest:
+    """Features of the lines of a block that are no table row and no junk by themselves."""
+
+    __slots__ = ("chars", "first", "gap", "gaps", "inside", "junk", "last", "latin", "letters", "log", "marked", "n", "short", "stops", "table", "wide", "widths")
+
+    def __init__(self) -> None:
+        self.n = self.chars = self.short = self.marked = self.stops = self.inside = self.wide = self.log = self.letters = self.table = self.junk = 0
+        self.latin = False
+        #: Widths of all lines but the first; what a line and the next line's first word need, but for the first pair.
+        self.widths: Counter[int] = Counter()
+        self.gaps: Counter[int] = Counter()
+        self.first = self.last = self.gap = None
+
+    def add(self, line: Line, table_row: bool, skip: bool) -> None:
+        """`skip`: the line is taken for text although it may look like a table row or junk."""
+        if not skip and (table_row or line.odd):
+            if table_row:
+                self.table += line.size
+            else:
+                self.junk += line.size
+            return
+        one = Rest()
+        one.n, one.chars, one.short, one.marked = 1, line.size, line.size if line.size < 160 else 0, int(line.marked)
+        one.stops, one.inside, one.wide, one.log, one.letters, one.latin = int(line.stop), int(line.inside), int(line.wide), line.log, line.letters, line.latin
+        one.first = one.last = (line.size, line.first, line.stop)
+        self.merge(one)
+
+    def merge(self, other: Rest) -> None:
+        """This one followed by `other`."""
+        self.table += other.table
+        self.junk += other.junk
+        if not other.n:
+            return
+        if not self.n:
+            for name in ("n", "chars", "short", "marked", "stops", "inside", "wide", "log", "letters", "latin", "first", "last", "gap"):
+                setattr(self, name, getattr(other, name))
+            self.widths, self.gaps = Counter(other.widths), Counter(other.gaps)
+            return
+        joint = min(self.last[0] + 1 + other.first[1], WIDEST)
+        if self.n == 1:
+            self.gap = joint
+        else:
+            self.gaps[joint] += 1
+        if other.n > 1:
+            self.gaps[other.gap] += 1
+        self.gaps.update(other.gaps)
+        self.widths[min(other.first[0], WIDEST)] += 1
+        self.widths.update(other.widths)
+        self.last = other.last
+        for name in ("n", "chars", "short", "marked", "stops", "inside", "wide", "log", "letters"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+        self.latin |= other.latin
+
+    def wrapped(self) -> bool:
+        """Whether the lines are one text broken at a width: hardly any next word would have fitted, sentences end inside
+        lines, or only the last line ends one. A title may stand above."""
+        if self.inside > 0.2 * self.n or self.stops == 1 and self.last[2]:
+            return True
+        n, gaps, width = self.n - 1, self.gaps, max(self.widths)
+        if self.n <= 3:
+            n, gaps, width = self.n, self.gaps + Counter([self.gap]), max(width, min(self.first[0], WIDEST))
+        return sum(k for v, k in gaps.items() if v > width - 1) >= 0.65 * (n - 1)
+
+    def even(self) -> bool:
+        """The same for scripts without spaces: most lines but the last are as long as the longest."""
+        widths = self.widths + Counter([min(self.first[0], WIDEST)])
+        longest = max(widths)
+        if longest <= 24:
+            return False
+        full = sum(k for v, k in widths.items() if v >= longest - 2) - (min(self.last[0], WIDEST) >= longest - 2)
+        return full > 0.6 * (self.n - 1)
+
+    def listed(self) -> bool:
+        """Whether the lines are short items."""
+        wide = self.wide > 0.5 * self.n
+        return self.n >= 3 and self.chars / self.n < (36 if wide else 62) and self.stops <= 0.4 * self.n and not (self.even() if wide else self.wrapped())
+
+
+class Block:
+    """Features of the lines between two blank lines, or of some of them; bounded, whatever the number of lines.
+
+    Whether an inner line is a table row depends on its neighbours' cells, so the first line and the last stay pending
+    until the block is known to begin or end with them. Rows are counted twice: with all lines looked at, and with lines
+    of words taken for text, which holds if the block's letters turn out to have no meaning.
+    """
+
+    __slots__ = ("before", "common", "first", "last", "latin", "letters", "log", "looked", "n", "second", "taken", "words")
+
+    def __init__(self) -> None:
+        self.n = self.words = self.common = self.log = self.letters = 0
+        self.latin = False
+        self.looked, self.taken = Rest(), Rest()  # of the lines between the first and the last
+        self.first: Line | None = None
+        self.last: Line | None = None
+        self.second = self.before = 0  # cells of the second line and of the one before the last
+
+    def one(self, line: Line, words: int, common: int) -> Block:
+        self.n, self.words, self.common, self.log, self.letters, self.latin = 1, words, common, line.log, line.letters, line.latin
+        self.first = self.last = line
+        return self
+
+    def inner(self, line: Line, before: int, after: int) -> None:
+        row = line.cells > 1 and line.cells in (before, after)
+        self.looked.add(line, row, False)
+        self.taken.add(line, row, line.worded)
+
+    def merge(self, other: Block) -> Block:
+        """This one followed by `other`, as a new block."""
+        out = Block()
+        if not self.n or not other.n:
+            whole = self if self.n else other
+            for name in self.__slots__:
+                setattr(out, name, getattr(whole, name))
+            out.looked, out.taken = Rest(), Rest()
+            out.looked.merge(whole.looked)
+            out.taken.merge(whole.taken)
+            return out
+        out.n, out.words, out.common, out.log, out.letters = (getattr(self, k) + getattr(other, k) for k in ("n", "words", "common", "log", "letters"))
+        out.latin = self.latin or other.latin
+        out.looked.merge(self.looked)
+        out.taken.merge(self.taken)
+        if self.n > 1:
+            out.inner(self.last, self.before, other.first.cells)
+        if other.n > 1:
+            out.inner(other.first, self.last.cells, other.second)
+            out.looked.merge(other.looked)
+            out.taken.merge(other.taken)
+        out.first, out.last = self.first, other.last
+        out.second = self.second if self.n > 1 else other.first.cells
+        out.before = other.before if other.n > 1 else self.last.cells
+        return out
 
 
 class Measure:
@@ -125,108 +280,199 @@ class Measure:
     NAMES = ("chars", "list", "table", "junk", "words", "word_chars", "common", "symbols", "visible", "lines", "ended")
 
     def __init__(self, letters: Letters) -> None:
-        self.letters, self.memo = letters, {}
-
-    def word(self, raw: str) -> tuple[int, int]:
-        got = self.memo.get(raw)
-        if got is None:
-            if len(self.memo) > MEMO_LIMIT:
-                self.memo.clear()
-            word = raw.strip(".,;:!?()[]\"'“”‘’«»。、，！？।۔").lower()
-            got = self.memo[raw] = (len(word), word in COMMON)
+        self.letters, self.memo, self.logs = letters, {}, {}
+
+    def token(self, raw: str) -> tuple[int, int, int]:
+        """(letters of the word, whether it is a common one, marks) of a token."""
+        if len(self.memo) > MEMO_LIMIT:
+            self.memo.clear()
+        word = raw.strip(_TRIM).lower()
+        got = len(word), int(word in COMMON), len(_MARKS.findall(raw))
+        if len(raw) < 64:
+            self.memo[raw] = got
         return got
 
-    def block(self, text: str) -> Counter:
-        """Counts of one block, its characters given to prose, list, table or junk."""
-        out: Counter = Counter()
-        lines = [line for line in text.split("\n") if line.strip()]
-        if not lines:
-            return out
-        known, words, letters, common = self.memo, 0, 0, 0
-        for raw in text.split():
+    def meaning(self, line: str) -> tuple[int, int]:
+        """(log probability, number) of the line's letters."""
+        logs, log, n = self.logs, 0, 0
+        for raw in line.split():
+            got = logs.get(raw)
+            if got is None:
+                if len(logs) > MEMO_LIMIT:
+                    logs.clear()
+                triples = _triples(raw)
+                got = int(self.letters.log[triples].sum()), len(triples)
+                if len(raw) < 64:
+                    logs[raw] = got
+            log += got[0]
+            n += got[1]
+        return log, n
+
+    def counted(self, line: str, size: int, final: bool, out: Counter) -> tuple[int, int, int, int]:
+        """Adds the line's plain counts to `out`; (words, common words, visible characters, length of the longest token)."""
+        known, words, letters, common, marks, longest = self.memo, 0, 0, 0, 0, 0
+        tokens = line.split()
+        for raw in tokens:
             try:
-                size, often = known[raw]
+                a, b, c = known[raw]
             except KeyError:
-                size, often = self.word(raw)
-            if size:
+                a, b, c = self.token(raw)
+            if a:
                 words += 1
-                letters += size
-                common += often
-        out.update(words=words, word_chars=letters, common=common)
-        sizes = [len(line.strip()) for line in lines]
-        total = sum(sizes)
-        symbols, ended = [], 0
-        for line in lines:
-            stripped = line.strip()
-            marks = len(_MARKS.findall(stripped))
-            symbols.append(max(0, marks))
-            ended += stripped[-1] in ".?!।。！？۔:;”\"'»…"
-        out.update(chars=total, lines=len(lines), ended=ended, symbols=sum(symbols), visible=sum(len(line.replace(" ", "")) for line in lines))
-        # Where every fourth word is a common one the letters need no look.
-        kinds = self.lines(lines, sizes, symbols, sound=words > 7 and common > words / 4)
-        for kind, size in zip(kinds, sizes, strict=True):
-            if kind:
-                out[kind] += size
-        return out
+                letters += a
+                common += b
+            marks += c
+            if len(raw) > longest:
+                longest = len(raw)
+        visible = sum(map(len, tokens))
+        out["words"] += words
+        out["word_chars"] += letters
+        out["common"] += common
+        out["symbols"] += marks
+        out["visible"] += visible
+        out["chars"] += size
+        if final:
+            out["lines"] += 1
+            out["ended"] += line.rstrip()[-1:] in _ENDED
+        return words, common, marks > 0.55 * visible, longest
 
-    def lines(self, lines: list[str], sizes: list[int], symbols: list[int], sound: bool) -> list[str | None]:
-        kinds: list[str | None] = [None] * len(lines)
-        cells = [self.cells(line) for line in lines]
-        senseless = False
-        if not sound:
-            senseless = self.senseless(lines)
-        for k, (line, size, marks) in enumerate(zip(lines, sizes, symbols, strict=True)):
-            stripped = line.strip()
-            longest = max(map(len, stripped.split()))
-            if senseless and sum(map(str.isdigit, stripped)) < 0.1 * size:
-                continue
-            if cells[k] > 1 and (len(lines) == 1 or cells[k] == cells[max(0, k - 1)] or cells[k] == cells[min(len(lines) - 1, k + 1)]):
-                kinds[k] = "table"
-            elif marks > 0.55 * len(stripped.replace(" ", "")) or _HEX.search(line) or longest >= 32 and longest > 0.75 * size and stripped.isascii():
-                kinds[k] = "junk"
-            elif stripped.lower() in FURNITURE or stripped.startswith("©"):
-                kinds[k] = "junk"
-        rest = [k for k, kind in enumerate(kinds) if kind is None]
-        if not rest:
-            return kinds
-        # Tables and furniture may have hidden what the other lines are.
-        if senseless if len(rest) == len(lines) else not sound and self.senseless([lines[k] for k in rest]):
-            for k in rest:
-                kinds[k] = "junk"
-            return kinds
-        marked = [k for k in rest if _MARK.match(lines[k]) and sizes[k] < 160]
-        if len(marked) >= 0.5 * len(rest) and (len(marked) > 1 or len(rest) == 1):
-            for k in rest:
-                if sizes[k] < 160:
-                    kinds[k] = "list"
-        elif len(rest) >= 3:
-            own = [lines[k].strip() for k in rest]
-            wide = sum(bool(_WIDE.search(line)) for line in own) > 0.5 * len(own)
-            stops = sum(line[-1] in _STOPS for line in own)
-            if sum(map(len, own)) / len(own) < (36 if wide else 62) and stops <= 0.4 * len(own) and not (_wrapped(own) if not wide else max(map(len, own)) > 24 and sum(len(o) >= max(map(len, own)) - 2 for o in own[:-1]) > 0.6 * (len(own) - 1)):
-                for k in rest:
-                    kinds[k] = "list"
-        return kinds
-
-    def senseless(self, lines: list[str]) -> bool:
-        text = "\n".join(lines)
-        if not _LATIN.search(text):
-            return False
-        mean, n = self.letters.mean(text)
-        return n >= 40 and mean < SENSELESS
+    @staticmethod
+    def odd(line: str, stripped: str, signs: bool, longest: int) -> bool:
+        if signs or longest >= 32 and longest > 0.75 * len(stripped) and stripped.isascii():
+            return True
+        return len(stripped) < 20 and stripped.lower() in FURNITURE or stripped[0] == "©" or bool(_DIGIT.search(stripped) and _HEX.search(line))
 
     @staticmethod
     def cells(line: str) -> int:
         """Cells of a line that looks like a row: by bars, tabs, wide gaps, leaders or semicolons without a space after."""
-        if line.count("|") > 1 or " | " in line:
+        if "|" in line and (line.count("|") > 1 or " | " in line):
             return line.strip().strip("|").count("|") + 1
-        if (n := len(_GAP.findall(line))) and ("\t" in line or n > 1 or ". ...." in line or " ...." in line):
-            return n + 1 if "...." not in line else 2
-        bare = len(re.findall(r";(?=\S|$)", line))
-        if bare > 1 and "; " not in line:
+        if "   " in line or "\t" in line or "...." in line:
+            n = len(_GAP.findall(line))
+            if n and ("\t" in line or n > 1 or ". ...." in line or " ...." in line):
+                return n + 1 if "...." not in line else 2
+        if ";" in line and "; " not in line and (bare := len(_BARE.findall(line))) > 1:
             return bare + 1
-        commas = len(re.findall(r",(?=[^\s\d]|\"|$)", line))
-        return commas + 1 if commas > 1 and ", " not in line else 1
+        commas = len(_COMMA.findall(line)) if "," in line and ", " not in line else 0
+        return commas + 1 if commas > 1 else 1
+
+    def line(self, line: str, size: int, signs: bool, longest: int, meant: bool) -> Line:
+        """The features of a line; with `meant` its letters need no look."""
+        stripped = line.strip()
+        tokens = stripped.split(None, 1)
+        return Line(
+            size, self.cells(line), self.odd(line, stripped, signs, longest), sum(map(str.isdigit, stripped)) < 0.1 * size,
+            size < 160 and bool(_MARK.match(line)), stripped[-1] in _STOPS, bool(_INSIDE.search(stripped)), bool(_WIDE.search(stripped)),
+            len(tokens[0]), *((0, 0) if meant else self.meaning(stripped)), not meant and bool(_LATIN.search(stripped)),
+        )
+
+    def open(self, units: list[Unit], out: Counter) -> Block:
+        """The features of the lines of a block that may go on beyond them; their plain counts are added to `out`."""
+        block = Block()
+        for text, size, final in units:
+            words, common, signs, longest = self.counted(text, size, final, out)
+            if size and not text.isspace():
+                block = block.merge(Block().one(self.line(text, size, signs, longest, False), words, common))
+        return block
+
+    def closed(self, units: list[Unit], out: Counter) -> None:
+        """Adds the counts of a whole block to `out`."""
+        counted = [(text, size, *self.counted(text, size, final, out)) for text, size, final in units]
+        words, common = sum(c[2] for c in counted), sum(c[3] for c in counted)
+        meant = words > 7 and common > words / 4
+        if len(counted) == 1 and meant:
+            text, size, _, _, signs, longest = counted[0]
+            stripped = text.strip()
+            if self.cells(text) > 1:
+                out["table"] += size
+            elif self.odd(text, stripped, signs, longest):
+                out["junk"] += size
+            elif size < 160 and _MARK.match(text):
+                out["list"] += size
+            return
+        block = Block()
+        for text, size, w, c, signs, longest in counted:
+            if not text.isspace():
+                block = block.merge(Block().one(self.line(text, size, signs, longest, meant), w, c))
+        self.settle(block, out)
+
+    @staticmethod
+    def senseless(of: Block | Rest) -> bool:
+        return of.latin and of.letters >= 40 and of.log < SENSELESS * Letters.UNIT * of.letters
+
+    def settle(self, block: Block, out: Counter) -> None:
+        """Adds the block's characters by kind, now that it is whole."""
+        if not block.n:
+            return
+        # Where every fourth word is a common one the letters need no look.
+        sound = block.words > 7 and block.common > block.words / 4
+        senseless = not sound and self.senseless(block)
+        rest, inner = Rest(), block.taken if senseless else block.looked
+        for line in (block.first, None, block.last) if block.n > 1 else (block.first,):
+            if line is None:
+                rest.merge(inner)
+            else:
+                rest.add(line, line.cells > 1, senseless and line.worded)
+        out["table"] += rest.table
+        out["junk"] += rest.junk
+        if not rest.n:
+            return
+        # Tables and furniture may have hidden what the other lines are.
+        if senseless if rest.n == block.n else not sound and self.senseless(rest):
+            out["junk"] += rest.chars
+        elif rest.marked >= 0.5 * rest.n and (rest.marked > 1 or rest.n == 1):
+            out["list"] += rest.short
+        elif rest.listed():
+            out["list"] += rest.chars
+
+
+class Unit(NamedTuple):
+    """A line, or a stretch of one beyond `LINE` characters; final if a line ends with it."""
+
+    text: str
+    size: int
+    final: bool
+
+
+def units(text: str, begun: bool = False, broken: bool = False) -> Iterator[Unit]:
+    """The units of a text; `begun` if it starts inside a line, `broken` if it ends inside one.
+
+    A stretch ends after the last sentence, else after the last space within `LINE` characters of its start, else there,
+    so cutting goes on alike wherever it begins anew.
+    """
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        inside, unfinished = begun and k == 0, broken and k == len(lines) - 1
+        if len(line) <= LINE and not inside and not unfinished:
+            yield Unit(line, len(line.strip()), True)
+            continue
+        at, past = 0, len(line)
+        if not inside:
+            at += len(line) - len(line.lstrip())
+        if not unfinished:
+            past = max(at, len(line.rstrip()))
+        if at == past and not inside:
+            yield Unit("", 0, True)
+        while at < past:
+            end = past
+            if past - at > LINE or unfinished:
+                high = min(past, at + LINE)
+                end = max((m.end() for m in _SEGMENT.finditer(line, at, high)), default=0) or line.rfind(" ", at, high) + 1 or high
+            yield Unit(line[at:end], end - at, end == past and not unfinished)
+            at = end
+
+
+def chunks(text: str, size: int = CHUNK, begun: bool = False, broken: bool = False) -> Iterator[list[Unit]]:
+    """Runs of units of at most `size` characters in all, but at least one unit; together they are the units of the text."""
+    run, held = [], 0
+    for unit in units(text, begun, broken):
+        if run and held + len(unit.text) > size:
+            yield run
+            run, held = [], 0
+        run.append(unit)
+        held += len(unit.text) + 1
+    if run:
+        yield run
 
 
 def _hash(segment: str) -> int:
@@ -234,13 +480,13 @@ def _hash(segment: str) -> int:
 
 
 class Partial:
-    """Counts of whole blocks between two unfinished ones; without a blank line all is `head`."""
+    """Counts of whole blocks between two unfinished ones; without a blank line all is `head` and `tail` is null."""
 
-    def __init__(self, head: str = "", tail: str | None = None, counts: Counter | None = None) -> None:
-        self.head, self.tail, self.counts = head, tail, counts or Counter()
+    def __init__(self, head: Block | None = None, tail: Block | None = None, counts: Counter | None = None) -> None:
+        self.head, self.tail, self.counts = head or Block(), tail, counts if counts is not None else Counter()
 
 
-def segments(lines: list[str]) -> Counter[str]:
+def segments(lines: Iterable[str]) -> Counter[str]:
     return Counter(s for line in lines for piece in _SEGMENT.split(line) if (s := piece.strip()))
 
 
@@ -256,42 +502,64 @@ NO_REPEATS = Repeats()
 
 
 def repeats(text: str) -> Repeats:
-    counts = segments(text.split("\n"))
+    counts = segments(unit.text for unit in units(text))
     size = sum(n * len(s) for s, n in counts.items())
     return Repeats(sum(counts.values()), len(counts), sum(n * len(s) for s, n in counts.items() if n > 2) / max(1, size))
 
 
-def part(text: str, measure: Measure) -> Partial:
-    blocks = _BLANK.split(text)
-    if len(blocks) == 1:
-        return Partial(text)
-    out = Partial(blocks[0], blocks[-1])
-    for block in blocks[1:-1]:
-        out.counts.update(measure.block(block))
+def blocks(run: Iterable[Unit]) -> list[list[Unit]]:
+    """The units between blank lines; the first group and the last may be empty."""
+    out: list[list[Unit]] = [[]]
+    for unit in run:
+        if unit.size or not unit.final:
+            out[-1].append(unit)
+        elif out[-1] or len(out) == 1:
+            out.append([])
     return out
 
 
+def part(run: list[Unit], measure: Measure) -> Partial:
+    """The partial result of a chunk."""
+    groups, counts = blocks(run), Counter()
+    head = measure.open(groups[0], counts)
+    for group in groups[1:-1]:
+        measure.closed(group, counts)
+    return Partial(head, measure.open(groups[-1], counts) if len(groups) > 1 else None, counts)
+
+
 def merge(a: Partial, b: Partial, measure: Measure) -> Partial:
     """The partial result of two neighbouring chunks; the block across their border is closed if both its ends are known."""
-    if a.tail is None and b.tail is None:
-        return part(a.head + b.head, measure)
     counts = a.counts + b.counts
     if a.tail is None:
-        joined = part(a.head + b.head, measure)
-        return Partial(joined.head, b.tail, counts) if joined.tail is None else Partial(joined.head, b.tail, counts + joined.counts + measure.block(joined.tail))
+        return Partial(a.head.merge(b.head), b.tail, counts)
+    middle = a.tail.merge(b.head)
     if b.tail is None:
-        joined = part(a.tail + b.head, measure)
-        return Partial(a.head, joined.head, counts) if joined.tail is None else Partial(a.head, joined.tail, counts + joined.counts + measure.block(joined.head))
-    middle = part(a.tail + b.head, measure)
-    counts += middle.counts + measure.block(middle.head)
-    if middle.tail is not None:
-        counts += measure.block(middle.tail)
+        return Partial(a.head, middle, counts)
+    measure.settle(middle, counts)
     return Partial(a.head, b.tail, counts)
 
 
+def tree(parts: list[Partial], measure: Measure) -> Partial:
+    """Neighbours merged level by level, `FAN` at a time."""
+    while len(parts) > 1:
+        parts = [functools.reduce(lambda a, b: merge(a, b, measure), parts[k : k + FAN]) for k in range(0, len(parts), FAN)]
+    return parts[0] if parts else Partial()
+
+
+def whole(text: str, measure: Measure, size: int = CHUNK) -> Partial:
+    """The partial result of a text: that of its chunks, merged. Of a single chunk all blocks are whole."""
+    if len(text) > size:
+        return tree([part(run, measure) for run in chunks(text, size)], measure)
+    out = Partial(tail=Block())
+    for group in blocks(units(text)):
+        if group:
+            measure.closed(group, out.counts)
+    return out
+
+
 #: The columns of the statistics.
 STATISTICS = (
-    "n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, "
+    "n_chars bigint, n_lines bigint, n_ended bigint, n_words bigint, n_common bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, "
     "list_share double, table_share double, junk_share double, kind string"
 )
 
@@ -299,94 +567,98 @@ STATISTICS = (
 def outcome(p: Partial, measure: Measure, repeated: Repeats = NO_REPEATS) -> tuple:
     """Ratios, and the kind: prose, or what most of the rest is if that rest is more than half of the characters."""
     c = Counter(p.counts)
-    for text in (p.head, p.tail or ""):
-        c.update(measure.block(text))
+    for end in (p.head, p.tail or Block()):
+        measure.settle(end, c)
     chars = c["chars"]
     if not chars:
-        return 0, 0, None, None, None, None, 0.0, 0.0, 0.0, "blank"
+        return 0, 0, 0, 0, 0, None, None, None, None, 0.0, 0.0, 0.0, "blank"
     shares = {k: c[k] / chars for k in ("list", "table", "junk")}
     if repeated.total >= 4 and repeated.distinct <= 0.4 * repeated.total and repeated.share > 0.5 and shares["table"] < 0.5:
         shares = {"list": 0.0, "table": shares["table"], "junk": max(shares["junk"], min(1.0 - shares["table"], repeated.share))}
     kind = max(shares, key=lambda k: shares[k]) if sum(shares.values()) > 0.5 else "prose"
     words = c["words"]
     return (
-        chars, words, c["word_chars"] / words if words else None, c["symbols"] / max(1, c["visible"]), c["ended"] / max(1, c["lines"]),
+        chars, c["lines"], c["ended"], words, c["common"], c["word_chars"] / words if words else None, c["symbols"] / max(1, c["visible"]), c["ended"] / max(1, c["lines"]),
         c["common"] / words if words else None, shares["list"], shares["table"], shares["junk"], kind,
     )
 
 
-def _repeats(cut: DataFrame) -> DataFrame:
-    """(row, total, distinct, share): the Repeats of each document cut to (row, at, text), all its segments counted."""
-
-    def inner(row: int, at: int, text: str) -> Iterator[tuple]:
-        lines = text.replace("\r", "").split("\n")
-        for segment, n in segments(lines[1:-1]).items():
-            yield row, _hash(segment), n, len(segment), None, None, None
-        yield row, None, None, None, at, lines[0], lines[-1] if len(lines) > 1 else None
+def repeats_of(pieces: DataFrame) -> DataFrame:
+    """(row, total, distinct, share): the Repeats of each document handed out as (row, text, begun, broken), all its
+    segments counted. A task adds up its own first; the rest is one sum per document and segment."""
 
-    def across(row: int, ends: list) -> Iterator[tuple]:
-        closed, begun = [], []
-        for end in sorted(ends, key=lambda e: e["at"]):
-            begun.append(end["head"])
-            if end["tail"] is not None:
-                closed.append("".join(begun))
-                begun = [end["tail"]]
-        for segment, n in segments([*closed, "".join(begun)]).items():
+    def each(row: int, text: str, begun: bool, broken: bool) -> Iterator[tuple]:
+        for segment, n in segments(unit.text for unit in units(text, begun, broken)).items():
             yield row, _hash(segment), n, len(segment)
 
-    counts = "row bigint, key bigint, n bigint, size bigint"
-    found = flat_map(cut, lambda: inner, f"{counts}, at bigint, head string, tail string", ["row", "at", "text"])
-    ends = found.where(F.col("key").isNull()).groupBy("row").agg(F.collect_list(F.struct("at", "head", "tail")).alias("ends"))
-    whole = found.where(F.col("key").isNotNull()).select("row", "key", "n", "size")
-    each = whole.unionByName(flat_map(ends, lambda: across, counts, ["row", "ends"])).groupBy("row", "key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    counts = flat_map(pieces, lambda: each, "row bigint, key bigint, n bigint, size bigint", ["row", "text", "begun", "broken"])
+    summed = counts.groupBy("row", "key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
     sizes = F.col("n") * F.col("size")
-    return each.groupBy("row").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), (F.coalesce(F.sum(F.when(F.col("n") > 2, sizes)), F.lit(0)) / F.greatest(F.lit(1), F.sum(sizes))).alias("share"))
+    return summed.groupBy("row").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), (F.coalesce(F.sum(F.when(F.col("n") > 2, sizes)), F.lit(0)) / F.greatest(F.lit(1), F.sum(sizes))).alias("share"))
+
+
+def handed_out(long: DataFrame, spread: int) -> DataFrame:
+    """(row, doc_id, at, text, begun, broken): documents as parts of about `spread` characters that end with a unit, cut in one pass."""
+
+    def each(row: int, doc_id: int, text: str) -> Iterator[tuple]:
+        text = text.replace("\r", "")
+        begun = False
+        for at, run in enumerate(chunks(text, spread)):
+            broken = not run[-1].final
+            yield row, doc_id, at, "".join(u.text + "\n" * u.final for u in run).removesuffix("\n"), begun, broken
+            begun = broken
 
+    numbered = long.withColumn("row", F.monotonically_increasing_id())
+    return flat_map(numbered, lambda: each, "row bigint, doc_id bigint, at int, text string, begun boolean, broken boolean", ["row", "doc_id", "text"]).checkpoint()
 
-def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+
+def statistics(documents: DataFrame, chunk: int = CHUNK, spread: int = SPREAD) -> DataFrame:
     """(doc_id, statistics) of every row of (doc_id, text).
 
     A null text gives null statistics and no kind, an empty or blank one zero characters and the kind `blank`. Repeated
-    rows are kept. Documents longer than `chunk` characters are cut and merged by levels of `FAN` partial results.
-    Other columns are not carried.
+    rows are kept. Every document is cut into chunks of `chunk` characters and merged as a tree; those beyond `spread`
+    characters by several tasks. Neither size changes a result. Other columns are not carried.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(train(rows).log)
+    letters, longest = train(rows)
+    shared = spark.sparkContext.broadcast(letters.log)
 
     def ready() -> Measure:
         letters = Letters.__new__(Letters)
         letters.log = shared.value
         return Measure(letters)
 
-    def whole() -> Callable:
+    def at_once() -> Callable:
         measure = ready()
 
         def each(doc_id: int, text: str | None) -> list:
             if text is None:
-                return [(doc_id, *[None] * 10)]
+                return [(doc_id, *[None] * 13)]
             text = text.replace("\r", "")
-            return [(doc_id, *outcome(part(text, measure), measure, repeats(text)))]
+            return [(doc_id, *outcome(whole(text, measure, chunk), measure, repeats(text)))]
 
         return each
 
     schema = f"doc_id bigint, {STATISTICS}"
-    short = flat_map(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk), whole, schema, ["doc_id", "text"])
-    long = rows.where(F.length("text") > chunk)
-    most = long.agg(F.max(F.length("text"))).first()[0]
-    if most is None:
-        return short
+    if longest <= spread:
+        return flat_map(rows, at_once, schema, ["doc_id", "text"])
+    short = flat_map(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= spread), at_once, schema, ["doc_id", "text"])
 
     def first() -> Callable:
         measure = ready()
-        return lambda row, doc_id, at, text: [(row, doc_id, at, pickle.dumps(part(text.replace("\r", ""), measure)))]
+
+        def each(row: int, doc_id: int, at: int, text: str, begun: bool, broken: bool) -> list:
+            parts = [part(run, measure) for run in chunks(text, chunk, begun, broken)]
+            return [(row, doc_id, at, pickle.dumps(tree(parts, measure)))]
+
+        return each
 
     def joined() -> Callable:
         measure = ready()
 
         def each(row: int, doc_id: int, at: int, parts: list) -> list:
-            ordered = [pickle.loads(p["state"]) for p in sorted(parts, key=lambda p: p["at"])]
-            return [(row, doc_id, at, pickle.dumps(functools.reduce(lambda a, b: merge(a, b, measure), ordered)))]
+            return [(row, doc_id, at, pickle.dumps(tree([pickle.loads(p["state"]) for p in sorted(parts, key=lambda p: p["at"])], measure)))]
 
         return each
 
@@ -394,16 +666,15 @@ def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
         measure = ready()
         return lambda doc_id, state, total, distinct, share: [(doc_id, *outcome(pickle.loads(state), measure, Repeats(total or 0, distinct or 0, share or 0.0)))]
 
-    level = "row bigint, doc_id bigint, at bigint, state binary"
+    level = "row bigint, doc_id bigint, at int, state binary"
     checkpoint_dir(spark)
-    numbered = long.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # read twice, with the same numbers
-    cut = numbered.select("row", "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk))).alias("at"), "text").select("row", "doc_id", "at", F.expr(f"substring(text, cast(at * {chunk} + 1 as int), {chunk})").alias("text"))
-    parts = flat_map(cut, first, level, ["row", "doc_id", "at", "text"])
-    count = -(-most // chunk)
+    pieces = handed_out(rows.where(F.length("text") > spread), spread).repartition("row", "at")
+    parts = flat_map(pieces, first, level, ["row", "doc_id", "at", "text", "begun", "broken"])
+    count = -(-2 * longest // spread)  # a part holds more than half of `spread` with its neighbour
     while count > 1:
-        grouped = parts.groupBy("row", "doc_id", F.floor(F.col("at") / FAN).alias("at")).agg(F.collect_list(F.struct("at", "state")).alias("parts"))
+        grouped = parts.groupBy("row", "doc_id", F.floor(F.col("at") / FAN).cast("int").alias("at")).agg(F.collect_list(F.struct("at", "state")).alias("parts"))
         parts, count = flat_map(grouped, joined, level, ["row", "doc_id", "at", "parts"]), -(-count // FAN)
-    counted = parts.join(_repeats(cut), "row", "left")
+    counted = parts.join(repeats_of(pieces), "row", "left")
     return short.unionByName(flat_map(counted, last, schema, ["doc_id", "state", "total", "distinct", "share"]))
 
 
@@ -412,6 +683,12 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return statistics(table(spark, folder, "documents"))
 
 
+def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain counts of every document that isn't null."""
+    counted = statistics(table(spark, folder, "documents")).where(F.col("kind").isNotNull())
+    return counted.select("doc_id", "n_chars", "n_lines", "n_ended", "n_words", "n_common")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are mostly a list, a table or junk."""
     return statistics(table(spark, folder, "documents")).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind").distinct()

@@ -8,7 +8,7 @@ from clausewright.llm.leaks import p9_found
 from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
 from clausewright.llm.personal import p2_found, p2_masked
-from clausewright.llm.quality import p10_found, p10_statistics
+from clausewright.llm.quality import p10_counts, p10_found, p10_statistics
 from clausewright.llm.scan_noise import p5_found, p5_repaired
 from clausewright.llm.sentence_bounds import p4_found
 from clausewright.llm.split_items import p3_found
@@ -31,6 +31,7 @@ QUERIES = {
     "p7_unified": p7_unified,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_counts": p10_counts,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from clausewright.llm.quality import COMMON
+
 #: White space of any Unicode kind, and what a word loses at its ends.
 _SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _ENDS = r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$"
@@ -46,10 +48,26 @@ _PIECES = (
     "select distinct clause_uid, cast(piece_no as int) as piece_no, cast(a as int) as piece_start, cast(z as int) as piece_end from pieces"
 )
 
+def _counts() -> str:
+    """Lines without white space around, their characters, and their words without punctuation around."""
+    quote = lambda s: s.replace("'", "''")
+    trim = quote("[" + "".join("\\" + c for c in ".,;:!?()[]\"'") + "“”‘’«»。、，！？।۔]")
+    ended = quote("[" + "".join("\\" + c for c in ".?!:;\"'") + "。！？।۔”»…]$")
+    common = "[" + ", ".join(f"'{w}'" for w in sorted(COMMON)) + "]"
+    space = _SPACE.removesuffix("+")
+    return (
+        f"with l as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^{space}+|{space}+$', '', 'g')), lambda x: x <> '') as lines from documents where text is not null), "
+        f"w as (select doc_id, lines, list_filter(list_transform(flatten(list_transform(lines, lambda x: string_split_regex(x, '{_SPACE}'))), lambda x: lower(regexp_replace(x, '^{trim}+|{trim}+$', '', 'g'))), lambda x: x <> '') as words from l) "
+        f"select doc_id, cast(coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) as bigint) as n_chars, cast(len(lines) as bigint) as n_lines, cast(len(list_filter(lines, lambda x: regexp_matches(x, '{ended}'))) as bigint) as n_ended, "
+        f"cast(len(words) as bigint) as n_words, cast(len(list_filter(words, lambda x: list_contains({common}, x))) as bigint) as n_common from w"
+    )
+
+
 _TEXTS = (("clean_text", "contract_docs", "contract_id", "clean_text"), ("clause_text", "clauses", "clause_uid", "text"))
 
 SQL = {
     "p3_found": _PIECES,
     "p6_found": f"with {', '.join(_sets(*t) for t in _TEXTS)} {' union all '.join(_pairs(*t) for t in _TEXTS)}",
+    "p10_counts": _counts(),
     "p9_found": f"with d as (select doc_id, {words('text')} as w from documents where text is not null), q as (select item_id, {words('text')} as w from eval_items where text is not null), dr as ({runs('d', 'doc_id', 12)}), qr as ({runs('q', 'item_id', 12)}) select distinct doc_id, item_id from dr join qr on dr.run = qr.run",
 }
