@@ -95,7 +95,7 @@ def test_millions_of_characters_without_a_blank_line(spark):
     """The outcome is the same for every size of chunks and parts, with more than 50,000 distinct segments."""
     sentences = [s + "." for k in range(9_000) for s in prose(k).split(". ")]
     line = " ".join(sentences)
-    texts = {1: "\n".join(sentences * 2), 2: line, 3: "\n".join(sentences[:9_000] * 3), 4: line[:400_000] + " Nothing is owed." * 60_000, 5: "\n".join(f"an item {k}" for k in range(90_000))}
+    texts = {1: "\n".join(sentences * 2), 2: line, 3: "\n".join(sentences[:9_000] * 3), 4: line[:400_000] + " Nothing is owed." * 60_000, 5: "\n".join(f"{('bolts', 'steel pipes', 'a set of valves')[k % 3]} {k}" for k in range(90_000))}
     rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4).cache()
     assert len(set(sentences)) > 50_000 and len(texts[1]) > 6_000_000
     got = [sorted(map(str, q.statistics(rows, *sizes).collect())) for sizes in ((500, 1 << 19), (4_096, 1 << 22), (60_000, 1 << 30), (1 << 30, 1 << 30))]
