@@ -67,6 +67,7 @@ for _c, _to in (("àáâãäåāăą", "a"), ("çćč", "c"), ("èéêëēę", "
         if ord(_x[0]) < 0x250:
             _LETTER[ord(_x[0])] = ord(_to) - ord("a")
 _END = 26  # beside a word
+_NUMBER = {chr(code): int(number) for code, number in enumerate(_LETTER) if number < 26}
 
 
 def _triples(text: str) -> np.ndarray:
@@ -150,10 +151,33 @@ class Rest:
         self.n = self.chars = self.short = self.marked = self.stops = self.inside = self.wide = self.log = self.letters = self.table = self.junk = 0
         self.latin = False
         #: Widths of all lines but the first; what a line and the next line's first word need, but for the first pair.
-        self.widths: Counter[int] = Counter()
-        self.gaps: Counter[int] = Counter()
+        self.widths: dict[int, int] = {}
+        self.gaps: dict[int, int] = {}
         self.first = self.last = self.gap = None
 
+    @classmethod
+    def of(cls, lines: list[Line]) -> Rest:
+        """The features of some lines at once."""
+        out = cls()
+        out.n = len(lines)
+        for line in lines:
+            size = line.size
+            out.chars += size
+            out.short += size if size < 160 else 0
+            out.marked += line.marked
+            out.stops += line.stop
+            out.inside += line.inside
+            out.wide += line.wide
+            out.log += line.log
+            out.letters += line.letters
+            out.latin |= line.latin
+        if lines:
+            out.first, out.last = ((line.size, line.first, line.stop) for line in (lines[0], lines[-1]))
+        if out.n > 1:
+            joints = [min(line.size + 1 + after.first, WIDEST) for line, after in zip(lines, lines[1:], strict=False)]
+            out.gap, out.gaps, out.widths = joints[0], Counter(joints[1:]), Counter([min(line.size, WIDEST) for line in lines[1:]])
+        return out
+
     def add(self, line: Line, table_row: bool, skip: bool) -> None:
         """`skip`: the line is taken for text although it may look like a table row or junk."""
         if not skip and (table_row or line.odd):
@@ -162,11 +186,7 @@ class Rest:
             else:
                 self.junk += line.size
             return
-        one = Rest()
-        one.n, one.chars, one.short, one.marked = 1, line.size, line.size if line.size < 160 else 0, int(line.marked)
-        one.stops, one.inside, one.wide, one.log, one.letters, one.latin = int(line.stop), int(line.inside), int(line.wide), line.log, line.letters, line.latin
-        one.first = one.last = (line.size, line.first, line.stop)
-        self.merge(one)
+        self.merge(Rest.of([line]))
 
     def merge(self, other: Rest) -> None:
         """This one followed by `other`."""
@@ -177,18 +197,20 @@ class Rest:
         if not self.n:
             for name in ("n", "chars", "short", "marked", "stops", "inside", "wide", "log", "letters", "latin", "first", "last", "gap"):
                 setattr(self, name, getattr(other, name))
-            self.widths, self.gaps = Counter(other.widths), Counter(other.gaps)
+            self.widths, self.gaps = dict(other.widths), dict(other.gaps)
             return
         joint = min(self.last[0] + 1 + other.first[1], WIDEST)
         if self.n == 1:
             self.gap = joint
         else:
-            self.gaps[joint] += 1
+            self.gaps[joint] = self.gaps.get(joint, 0) + 1
+        width = min(other.first[0], WIDEST)
+        self.widths[width] = self.widths.get(width, 0) + 1
+        for own, more in ((self.gaps, other.gaps), (self.widths, other.widths)):
+            for value, k in more.items():
+                own[value] = own.get(value, 0) + k
         if other.n > 1:
-            self.gaps[other.gap] += 1
-        self.gaps.update(other.gaps)
-        self.widths[min(other.first[0], WIDEST)] += 1
-        self.widths.update(other.widths)
+            self.gaps[other.gap] = self.gaps.get(other.gap, 0) + 1
         self.last = other.last
         for name in ("n", "chars", "short", "marked", "stops", "inside", "wide", "log", "letters"):
             setattr(self, name, getattr(self, name) + getattr(other, name))
@@ -201,12 +223,12 @@ class Rest:
             return True
         n, gaps, width = self.n - 1, self.gaps, max(self.widths)
         if self.n <= 3:
-            n, gaps, width = self.n, self.gaps + Counter([self.gap]), max(width, min(self.first[0], WIDEST))
+            n, gaps, width = self.n, Counter(self.gaps) + Counter([self.gap]), max(width, min(self.first[0], WIDEST))
         return sum(k for v, k in gaps.items() if v > width - 1) >= 0.65 * (n - 1)
 
     def even(self) -> bool:
         """The same for scripts without spaces: most lines but the last are as long as the longest."""
-        widths = self.widths + Counter([min(self.first[0], WIDEST)])
+        widths = Counter(self.widths) + Counter([min(self.first[0], WIDEST)])
         longest = max(widths)
         if longest <= 24:
             return False
@@ -280,7 +302,7 @@ class Measure:
     NAMES = ("chars", "list", "table", "junk", "words", "word_chars", "common", "symbols", "visible", "lines", "ended")
 
     def __init__(self, letters: Letters) -> None:
-        self.letters, self.memo, self.logs = letters, {}, {}
+        self.letters, self.memo, self.logs, self.by_triple = letters, {}, {}, letters.log.tolist()
 
     def token(self, raw: str) -> tuple[int, int, int]:
         """(letters of the word, whether it is a common one, marks) of a token."""
@@ -300,14 +322,27 @@ class Measure:
             if got is None:
                 if len(logs) > MEMO_LIMIT:
                     logs.clear()
-                triples = _triples(raw)
-                got = int(self.letters.log[triples].sum()), len(triples)
+                got = self.triples(raw)
                 if len(raw) < 64:
                     logs[raw] = got
             log += got[0]
             n += got[1]
         return log, n
 
+    def triples(self, raw: str) -> tuple[int, int]:
+        """The same of one token."""
+        if len(raw) > 30:
+            kept = _triples(raw)
+            return int(self.letters.log[kept].sum()), len(kept)
+        before, here, log, n = _END, _END, 0, 0
+        for ch in (*raw, " "):
+            after = _NUMBER.get(ch, _END)
+            if here != _END and (before != _END or after != _END):
+                log += self.by_triple[before * 729 + here * 27 + after]
+                n += 1
+            before, here = here, after
+        return log, n
+
     def counted(self, line: str, size: int, final: bool, out: Counter) -> tuple[int, int, int, int]:
         """Adds the line's plain counts to `out`; (words, common words, visible characters, length of the longest token)."""
         known, words, letters, common, marks, longest = self.memo, 0, 0, 0, 0, 0
@@ -356,13 +391,13 @@ class Measure:
         commas = len(_COMMA.findall(line)) if "," in line and ", " not in line else 0
         return commas + 1 if commas > 1 else 1
 
-    def line(self, line: str, size: int, signs: bool, longest: int, meant: bool) -> Line:
-        """The features of a line; with `meant` its letters need no look."""
+    def line(self, line: str, size: int, signs: bool, longest: int, meant: bool, few: bool = False) -> Line:
+        """The features of a line; with `meant` its letters need no look, with `few` lines in the block their form needs none."""
         stripped = line.strip()
         tokens = stripped.split(None, 1)
         return Line(
-            size, self.cells(line), self.odd(line, stripped, signs, longest), sum(map(str.isdigit, stripped)) < 0.1 * size,
-            size < 160 and bool(_MARK.match(line)), stripped[-1] in _STOPS, bool(_INSIDE.search(stripped)), bool(_WIDE.search(stripped)),
+            size, self.cells(line), self.odd(line, stripped, signs, longest), not _DIGIT.search(stripped) or sum(map(str.isdigit, stripped)) < 0.1 * size,
+            size < 160 and bool(_MARK.match(line)), stripped[-1] in _STOPS, not few and bool(_INSIDE.search(stripped)), not few and bool(_WIDE.search(stripped)),
             len(tokens[0]), *((0, 0) if meant else self.meaning(stripped)), not meant and bool(_LATIN.search(stripped)),
         )
 
@@ -390,11 +425,22 @@ class Measure:
             elif size < 160 and _MARK.match(text):
                 out["list"] += size
             return
-        block = Block()
-        for text, size, w, c, signs, longest in counted:
-            if not text.isspace():
-                block = block.merge(Block().one(self.line(text, size, signs, longest, meant), w, c))
-        self.settle(block, out)
+        lines = [self.line(text, size, signs, longest, meant, len(counted) < 3) for text, size, _, _, signs, longest in counted if not text.isspace()]
+        block = Rest.of(lines) if not meant else None
+        senseless = not meant and self.senseless(block)
+        last, rest, table_chars, junk_chars = len(lines) - 1, [], 0, 0
+        for k, line in enumerate(lines):
+            if senseless and line.worded or line.cells < 2 and not line.odd:
+                rest.append(line)
+            elif line.cells > 1 and (k in (0, last) or line.cells in (lines[k - 1].cells, lines[k + 1].cells)):
+                table_chars += line.size
+            elif line.odd:
+                junk_chars += line.size
+            else:
+                rest.append(line)
+        of = block if block and len(rest) == len(lines) else Rest.of(rest)
+        of.table, of.junk = table_chars, junk_chars
+        self.judged(of, len(lines), meant, senseless, out)
 
     @staticmethod
     def senseless(of: Block | Rest) -> bool:
@@ -413,12 +459,16 @@ class Measure:
                 rest.merge(inner)
             else:
                 rest.add(line, line.cells > 1, senseless and line.worded)
+        self.judged(rest, block.n, sound, senseless, out)
+
+    def judged(self, rest: Rest, n: int, sound: bool, senseless: bool, out: Counter) -> None:
+        """Adds the characters of a block of `n` lines, of which `rest` is left."""
         out["table"] += rest.table
         out["junk"] += rest.junk
         if not rest.n:
             return
         # Tables and furniture may have hidden what the other lines are.
-        if senseless if rest.n == block.n else not sound and self.senseless(rest):
+        if senseless if rest.n == n else not sound and self.senseless(rest):
             out["junk"] += rest.chars
         elif rest.marked >= 0.5 * rest.n and (rest.marked > 1 or rest.n == 1):
             out["list"] += rest.short
