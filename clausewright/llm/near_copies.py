@@ -1,14 +1,16 @@
 """Problem 6: groups of texts that share most of their content.
 
 Every text becomes the set of its runs of three (or `width`) words. Texts with the same set form one class; from here on
-one row per class is handled, so copies never multiply the work. A class gets a sketch of 64 one-bit minhashes and
-`BANDS` band keys of `BAND_ROWS` minhashes. Rows of one band key are joined with each other by a binary trie over their
-sketches: pairs of trie nodes are walked down together, the differing bits add up, and a pair of nodes is given up as
-soon as the error budget is exceeded. Survivors are checked exactly on their sets.
-
-Why it holds at scale: a pair at the threshold is missed with probability (1 - 0.7**5)**36 = 0.1 %, at a similarity of
-0.8 with less than 1e-6. Rows of a band key beyond `BLOCK` are cut into blocks and every pair of blocks is a task of
-its own, so no task and no driver ever holds an unbounded group, and no pair of the group is left out.
+one row per class is handled, so copies never multiply the work. A class gets a sketch of 128 one-bit minhashes and
+`BANDS` band keys of `BAND_ROWS` minhashes, few enough that a band key only routes: rows of one key are joined with each
+other by a binary trie over their sketches. Pairs of trie nodes are walked down together, the differing bits add up, and
+a pair of nodes is given up as soon as the error budget is exceeded. Survivors are checked exactly on their sets.
+
+Why it holds at scale: a pair at the threshold is missed with probability (1 - 0.7**3)**16 = 0.1 %, at a similarity of
+0.8 with 1e-5. Band keys that hold a large share of the rows are told from a sample beforehand and salted: their rows go
+to blocks by hash, and every pair of blocks is a unit of its own. Other keys beyond `BLOCK` rows are cut into blocks as
+they stream by. So no task and no driver ever holds an unbounded group, and no pair of a group is left out. The plan is
+the same at every size; nothing but the list of salted keys is broadcast, and it has at most `MOST_HOT` entries.
 """
 
 from __future__ import annotations
@@ -17,28 +19,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.base import Words, text_field
+from clausewright.llm.base import MEMO_LIMIT, Words, text_field
 from clausewright.session import checkpoint_dir
 
 WIDTH, LEAST_WORDS, SIMILAR = 3, 20, 0.7
-BANDS, BAND_ROWS = 36, 5
+BANDS, BAND_ROWS = 16, 3
 #: Bits of the sketch, and how many of them may differ: at a similarity of 0.7 a bit differs with probability 0.15,
 #: so the budget lies four standard deviations above the mean.
-BITS, BUDGET = 64, 21
-#: Rows of a band key that one task joins at a time.
-BLOCK = 2_000
-#: Up to so many candidate ids their list may be broadcast (some 10 MB); beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 200_000
+BITS, BUDGET = 128, 35
+#: Rows of a band key, or members of a class, that are joined at a time.
+BLOCK = 4_096
+#: Keys that are salted are told from so many rows, and there are at most so many of them: one must hold more than this
+#: part of all rows. It bears on the spread of the work, not on results.
+SAMPLE, MOST_HOT = 200_000, 20_000
+#: Bytes of a hashed run: of two runs of a pair's sets, different ones fall together with probability 1e-12.
+RUN_BYTES = 5
 
 _rng = np.random.default_rng(20250101)
 _MULTIPLY = (_rng.integers(0, 2**32, BANDS * BAND_ROWS + BITS, dtype=np.uint32) | np.uint32(1))[:, None]
 _XOR = _rng.integers(0, 2**32, BANDS * BAND_ROWS + BITS, dtype=np.uint32)[:, None]
 _MIX = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
-_BIT = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)).astype(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,12 +70,12 @@ class Sets:
         runs = words[: len(words) - self.width + 1].copy()
         for k in range(1, self.width):
             runs = mixed(runs) + words[k : len(words) - self.width + 1 + k]
-        return np.unique(mixed(runs))
+        return np.unique(mixed(runs) >> np.uint64(64 - 8 * RUN_BYTES))
 
 
 def minhashes(runs: np.ndarray, step: int = 2048) -> np.ndarray:
     """The least value of the set under each hash function; long sets are handled in steps."""
-    short = (runs >> np.uint64(32)).astype(np.uint32)
+    short = runs.astype(np.uint32)
     least = None
     for at in range(0, len(short), step):
         part = (((short[at : at + step] ^ _XOR) * _MULTIPLY)).min(axis=1)
@@ -79,96 +83,111 @@ def minhashes(runs: np.ndarray, step: int = 2048) -> np.ndarray:
     return least
 
 
-def sketch_and_bands(runs: np.ndarray, salt: int = 0) -> tuple[int, list[int]]:
-    """The sketch and the band keys; texts of different salts share no band."""
+def sketch_and_bands(runs: np.ndarray, salt: int = 0) -> tuple[int, int, list[int]]:
+    """The two halves of the sketch and the band keys; texts of different salts share no band."""
     least = minhashes(runs)
     bits = (least[BANDS * BAND_ROWS :] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    sketch = (bits.astype(np.uint64) * _BIT).sum()
+    high, low = np.packbits(bits.astype(np.uint8)).view(">i8").tolist()
     keys = (least[: BANDS * BAND_ROWS].astype(np.uint64) * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1) + _BAND + np.uint64(salt)
-    return int(np.int64(sketch.astype(np.int64))), mixed(keys).astype(np.int64).tolist()
+    return high, low, mixed(keys).astype(np.int64).tolist()
 
 
-def trie_join(ids: np.ndarray, sketches: np.ndarray, split: int = 0, budget: int = BUDGET, leaf: int = 24) -> list[tuple[int, int]]:
+def trie_join(ids: np.ndarray, sketches: np.ndarray, split: int = 0, budget: int = BUDGET, leaf: int = 64) -> list[tuple[int, int]]:
     """Pairs of rows (of the first `split` with the others, or of all with each other if 0) whose sketches differ in at most `budget` bits.
 
-    Nodes of the trie are ranges of the sorted sketches. A pair of nodes carries the errors of its prefix; nodes of at
-    most `leaf` rows are compared bit-parallel.
+    sketches: two 64-bit numbers a row. Nodes of the trie are ranges of the sorted sketches. A pair of nodes carries the
+    errors of its prefix; where a node has at most `leaf` rows, the rows are compared bit-parallel.
     """
     pairs: list[tuple[int, int]] = []
 
-    def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(b, kind="stable")
-        return a[order], b[order]
+    def ordered(i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((s[:, 1], s[:, 0]))
+        return i[order], s[order]
 
     def compare(li: np.ndarray, ls: np.ndarray, ri: np.ndarray, rs: np.ndarray, same: bool) -> None:
-        near = np.bitwise_count(ls[:, None] ^ rs[None, :]) <= budget
+        near = np.bitwise_count(ls[:, None, 0] ^ rs[None, :, 0]) + np.bitwise_count(ls[:, None, 1] ^ rs[None, :, 1]) <= budget
         if same:
             near = np.triu(near, 1)
-        for x, y in zip(*np.nonzero(near), strict=True):
-            pairs.append((int(li[x]), int(ri[y])))
+        x, y = np.nonzero(near)
+        pairs.extend(zip(li[x].tolist(), ri[y].tolist(), strict=True))
 
-    def halves(sketches: np.ndarray, low: int, high: int, depth: int) -> int:
-        bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
-        prefix = sketches[low] & ~np.uint64((int(bit) << 1) - 1)
-        return low + int(np.searchsorted(sketches[low:high], prefix | bit))
+    def half(sketches: np.ndarray, low: int, high: int, depth: int) -> int:
+        """Where the bit at `depth` turns to one among rows that agree in all bits before it."""
+        word = sketches[:, depth >> 6]
+        bit = np.uint64(1) << np.uint64(63 - (depth & 63))
+        return low + int(np.searchsorted(word[low:high] & bit, bit))
 
-    def walk(l: tuple, r: tuple, depth: int, errors: int, same: bool) -> None:
-        (li, ls, la, lb), (ri, rs, ra, rb) = l, r
-        stack = [(la, lb, ra, rb, depth, errors, same)]
+    def walk(li: np.ndarray, ls: np.ndarray, ri: np.ndarray, rs: np.ndarray, same: bool) -> None:
+        stack = [(0, len(li), 0, len(ri), 0, 0, same)]
         while stack:
             la, lb, ra, rb, depth, errors, same = stack.pop()
             if la == lb or ra == rb or errors > budget:
                 continue
-            if (lb - la) <= leaf or (rb - ra) <= leaf or depth == BITS:
+            if lb - la <= leaf or rb - ra <= leaf or depth == BITS:
                 for at in range(la, lb, 512):  # a leaf of equal sketches may be wide
-                    compare_part(li, ls, ri, rs, at, min(at + 512, lb), ra, rb, same)
+                    end = min(at + 512, lb)
+                    if same:
+                        compare(li[at:end], ls[at:end], li[at:end], ls[at:end], True)
+                    for other in range(end if same else ra, rb, 4_096):
+                        past = min(other + 4_096, rb)
+                        compare(li[at:end], ls[at:end], ri[other:past], rs[other:past], False)
                 continue
-            lm, rm = halves(ls, la, lb, depth), halves(rs, ra, rb, depth)
+            lm, rm = half(ls, la, lb, depth), half(rs, ra, rb, depth)
             stack.append((la, lm, ra, rm, depth + 1, errors, same))
             stack.append((lm, lb, rm, rb, depth + 1, errors, same))
             stack.append((la, lm, rm, rb, depth + 1, errors + 1, False))
             if not same:
                 stack.append((lm, lb, ra, rm, depth + 1, errors + 1, False))
 
-    def compare_part(li, ls, ri, rs, la, lb, ra, rb, same) -> None:
-        if same:
-            compare(li[la:lb], ls[la:lb], li[la:lb], ls[la:lb], True)
-            compare(li[la:lb], ls[la:lb], ri[lb:rb], rs[lb:rb], False)
-        else:
-            compare(li[la:lb], ls[la:lb], ri[ra:rb], rs[ra:rb], False)
-
     if split:
-        li, ls = ordered(ids[:split], sketches[:split])
-        ri, rs = ordered(ids[split:], sketches[split:])
-        walk((li, ls, 0, len(li)), (ri, rs, 0, len(ri)), 0, 0, False)
+        walk(*ordered(ids[:split], sketches[:split]), *ordered(ids[split:], sketches[split:]), False)
     else:
         i, s = ordered(ids, sketches)
-        walk((i, s, 0, len(i)), (i, s, 0, len(i)), 0, 0, True)
+        walk(i, s, i, s, True)
     return pairs
 
 
-def _digest(field: str, runs: bytes) -> bytes:
-    """The class of a set."""
+def _class(field: str, runs: bytes) -> int:
+    """The id of a set's class."""
     import hashlib
 
-    return hashlib.blake2b(field.encode() + runs, digest_size=16).digest()
+    return int.from_bytes(hashlib.blake2b(field.encode() + b"\0" + runs, digest_size=8).digest(), "little", signed=True)
+
+
+def packed(runs: np.ndarray) -> bytes:
+    return np.ascontiguousarray(runs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES]).tobytes()
+
+
+def unpacked(runs: bytes) -> np.ndarray:
+    wide = np.zeros((len(runs) // RUN_BYTES, 8), dtype=np.uint8)
+    wide[:, :RUN_BYTES] = np.frombuffer(runs, dtype=np.uint8).reshape(-1, RUN_BYTES)
+    return wide.view("<u8").reshape(-1)
 
 
 def _bands(rows: DataFrame) -> DataFrame:
-    """(field, row_id, class, sketch, bands) of the rows that have enough words."""
+    """(field, row_id, id, high, low, bands) of the rows that have enough words; a task gives sketch and bands of a class
+    once, later members have nulls."""
     import zlib
 
-    schema = "field string, row_id bigint, class binary, sketch bigint, bands array<bigint>"
-    out = pa.schema([("field", pa.string()), ("row_id", pa.int64()), ("class", pa.binary()), ("sketch", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = "field string, row_id bigint, id bigint, high bigint, low bigint, bands array<bigint>"
+    out = pa.schema([("field", pa.string()), ("row_id", pa.int64()), ("id", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Sets()
+        make, seen = Sets(), set()
         for batch in batches:
             made = []
             for field, row_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 runs = make(text)
-                if runs is not None:
-                    made.append((field, row_id, _digest(field, runs.tobytes()), *sketch_and_bands(runs, zlib.crc32(field.encode()))))
+                if runs is None:
+                    continue
+                key = _class(field, packed(runs))
+                if key in seen:
+                    made.append((field, row_id, key, None, None, None))
+                    continue
+                if len(seen) > MEMO_LIMIT:
+                    seen.clear()
+                seen.add(key)
+                made.append((field, row_id, key, *sketch_and_bands(runs, zlib.crc32(field.encode()))))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
@@ -176,23 +195,31 @@ def _bands(rows: DataFrame) -> DataFrame:
 
 
 #: A result of the first join: a pair (block is null), or a member of a band key with more than BLOCK rows.
-_JOINED = "band bigint, block int, a bigint, b bigint"
+_JOINED = "band bigint, block int, a bigint, b bigint, c bigint"
+
+
+def _sketches(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.stack([high, low], axis=1).view(np.uint64)
 
 
 def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, id, sketch) sorted by band: pairs of each band, or the rows again, numbered in blocks, where a band has more than BLOCK.
+    """Rows (band, id, high, low) sorted by band and id: pairs of each band, or the rows again, numbered in blocks, where a band has more than BLOCK.
 
-    Holds at most one batch and BLOCK rows.
+    A class that several tasks sent stands once. Holds at most one batch and BLOCK rows.
     """
-    schema = pa.schema([("band", pa.int64()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def out(band: list, block: list, a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(block, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+    schema = pa.schema([("band", pa.int64()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 
-    open_band, held, block = None, [], 0  # rows of the band that is not over: list of (ids, sketches)
+    def pairs_of(found: list[tuple[int, list]]) -> pa.RecordBatch:
+        bands = np.repeat([k for k, _ in found], [len(p) for _, p in found])
+        a, b = zip(*(x for _, p in found for x in p), strict=True)
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), none.cast(pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none], schema=schema)
 
     def members(ids: np.ndarray, sketches: np.ndarray, band: int, block: int) -> pa.RecordBatch:
-        return out([band] * len(ids), [block] * len(ids), ids.tolist(), sketches.view(np.int64).tolist())
+        signed = sketches.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), band)), pa.array(np.full(len(ids), block, dtype=np.int32)), pa.array(ids), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy())], schema=schema)
+
+    open_band, held, block, last = None, [], 0, None  # rows of the band that is not over: list of (ids, sketches)
 
     def close() -> Iterator[pa.RecordBatch]:
         if not held:
@@ -201,40 +228,45 @@ def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if block:
             yield members(ids, sketches, open_band, block)
         elif len(ids) > 1 and (pairs := trie_join(ids, sketches)):
-            yield out([open_band] * len(pairs), [None] * len(pairs), *zip(*pairs, strict=True))
+            yield pairs_of([(open_band, pairs)])
 
     for batch in batches:
-        band, ids, sketches = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        band, ids, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        fresh = np.ones(len(band), dtype=bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
+        if len(band):
+            fresh[0] = last != (int(band[0]), int(ids[0]))
+            last = int(band[-1]), int(ids[-1])
+        band, ids, sketches = band[fresh], ids[fresh], _sketches(high, low)[fresh]
         if not len(band):
             continue
-        sketches = sketches.view(np.uint64)
         edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
         found: list[tuple[int, list]] = []
-        for low, high in zip(edges, edges[1:], strict=False):
-            if band[low] != open_band:
+        for start, end in zip(edges, edges[1:], strict=False):
+            if band[start] != open_band:
                 yield from close()
-                open_band, held, block = int(band[low]), [], 0
-                if high < len(band):  # whole in this batch
-                    if high - low == 1:
+                open_band, held, block = int(band[start]), [], 0
+                if end < len(band):  # whole in this batch
+                    if end - start == 1:
                         continue
-                    if high - low <= BLOCK:
-                        if pairs := trie_join(ids[low:high], sketches[low:high]):
+                    if end - start <= BLOCK:
+                        if pairs := trie_join(ids[start:end], sketches[start:end]):
                             found.append((open_band, pairs))
                         continue
-            for at in range(low, high, BLOCK):
-                held.append((ids[at : min(at + BLOCK, high)], sketches[at : min(at + BLOCK, high)]))
-                while (size := sum(len(x) for x, _ in held)) > BLOCK:
+            for at in range(start, end, BLOCK):
+                held.append((ids[at : min(at + BLOCK, end)], sketches[at : min(at + BLOCK, end)]))
+                while sum(len(x) for x, _ in held) > BLOCK:
                     i, s = (np.concatenate(x) for x in zip(*held, strict=True))
                     yield members(i[:BLOCK], s[:BLOCK], open_band, block)
                     held, block = [(i[BLOCK:], s[BLOCK:])], block + 1
         if found:
-            yield out([k for k, p in found for _ in p], [None] * sum(len(p) for _, p in found), *zip(*(x for _, p in found for x in p), strict=True))
+            yield pairs_of(found)
         # the last band of a batch stays open
     yield from close()
 
 
 def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, id, sketch) sorted by cell: pairs of the two blocks of each cell (of one block with itself where side is null)."""
+    """Rows (cell, side, id, high, low) sorted by cell: pairs of the two blocks of each cell (of one block with itself where side is 2)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     open_cell, held = None, []
 
@@ -242,45 +274,63 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         side, ids, sketches = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, once = np.unique(ids, return_index=True)  # a class is in one block only
+        side, ids, sketches = side[once], ids[once], sketches[once]
         order = np.argsort(side, kind="stable")
         left = int((side == 0).sum())
-        if left < len(ids) and left == 0:
+        if (side == 2).all():
             pairs = trie_join(ids, sketches)
         else:
-            pairs = trie_join(ids[order], sketches[order], split=left) if left < len(ids) else []
+            pairs = trie_join(ids[order], sketches[order], split=left) if 0 < left < len(ids) else []
         if pairs:
             a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     for batch in batches:
-        cell, side, ids, sketches = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        cell, side, ids, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         if not len(cell):
             continue
+        sketches = _sketches(high, low)
         edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-        for low, high in zip(edges, edges[1:], strict=False):
-            if cell[low] != open_cell:
+        for start, end in zip(edges, edges[1:], strict=False):
+            if cell[start] != open_cell:
                 yield from close()
-                open_cell, held = int(cell[low]), []
-            held.append((side[low:high], ids[low:high], sketches[low:high].view(np.uint64)))
+                open_cell, held = int(cell[start]), []
+            held.append((side[start:end], ids[start:end], sketches[start:end]))
     yield from close()
 
 
+def _cells(members: DataFrame, key: str) -> DataFrame:
+    """Each row of (key, block, blocks, ...) once for every pair of blocks that its own takes part in: (cell, side, ...)."""
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("cell", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.when(F.col("block") < F.col("other"), 0).otherwise(F.when(F.col("block") > F.col("other"), 1).otherwise(2)))
+
+
+def _hot(rows: DataFrame, keys: Column, sample: int, most: int) -> DataFrame | None:
+    """(key, blocks) of at most `most` keys that hold more than a `most`-th of all keys of (id, ...) rows, with the number
+    of blocks they need; told from about `sample` rows chosen by id. Null if there are none."""
+    total = rows.count()
+    part = max(1, total // sample)
+    chosen = rows.where(F.pmod("id", F.lit(part)) == 0) if part > 1 else rows
+    counts = chosen.select(keys.alias("key")).groupBy("key").agg((F.count("*") * part).alias("n"))
+    least = max(BLOCK, total * BANDS // most)
+    hot = counts.where(F.col("n") > least).select("key", F.ceil(F.col("n") / BLOCK).cast("int")).collect()
+    return rows.sparkSession.createDataFrame(hot, "key bigint, blocks int") if hot else None
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, each pair once: rows (id, sketch, bands) that share a band key and whose sketches are within the budget."""
-    banded = rows.select(F.explode("bands").alias("band"), F.col("id"), F.col("sketch"))
-    joined = banded.repartition("band").sortWithinPartitions("band").mapInArrow(_join_sorted, _JOINED).checkpoint()
+    """(a, b), a < b, each pair once: rows (id, high, low, bands) that share a band key and whose sketches are within the budget."""
+    hot = _hot(rows, F.explode("bands"), SAMPLE, MOST_HOT)
+    banded = rows.select(F.explode("bands").alias("band"), "id", "high", "low")
+    usual = banded.join(F.broadcast(hot), F.col("band") == F.col("key"), "left_anti") if hot else banded
+    joined = usual.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_join_sorted, _JOINED).checkpoint()
     members = joined.where(F.col("block").isNotNull())
-    blocks = members.groupBy("band").agg(F.max("block").alias("last"))
-    cells = (
-        members.join(blocks, "band")
-        .select("band", "block", "a", "b", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-        .select(
-            F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-            F.when(F.col("block") < F.col("other"), 0).otherwise(F.when(F.col("block") > F.col("other"), 1).otherwise(2)).alias("side"),
-            F.col("a").alias("id"),
-            F.col("b").alias("sketch"),
-        )
-    )
+    blocks = members.groupBy("band").agg((F.max("block") + 1).alias("blocks"))
+    large = members.join(blocks.hint("merge"), "band").select("band", "block", "blocks", F.col("a").alias("id"), F.col("b").alias("high"), F.col("c").alias("low"))
+    if hot:
+        salted = banded.join(F.broadcast(hot), F.col("band") == F.col("key")).select("band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks", "id", "high", "low")
+        large = large.unionByName(salted)
+    cells = _cells(large, "band").select("cell", "side", "id", "high", "low")
     more = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_cells, "a bigint, b bigint")
     pairs = joined.where(F.col("block").isNull()).select("a", "b").unionByName(more)
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -288,13 +338,14 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame) -> DataFrame:
     """(id, runs) with the set as bytes, of the rows of (id, field, text) whose set is that of the class `id`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sets()
         for batch in batches:
-            made = [(i, _digest(field, runs.tobytes()), runs.tobytes()) for i, field, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (runs := make(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["id", "class", "runs"])
+            made = [(i, runs) for i, field, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (got := make(text)) is not None and _class(field, runs := packed(got)) == i]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary()))], names=["id", "runs"])
 
-    return rows.select("id", "field", "text").mapInArrow(run, "id bigint, class binary, runs binary").where(F.xxhash64("class") == F.col("id")).select("id", "runs")
+    return rows.select("id", "field", "text").mapInArrow(run, "id bigint, runs binary")
 
 
 def _similar(similar: float):
@@ -302,7 +353,7 @@ def _similar(similar: float):
         for batch in batches:
             a, b, share = [], [], []
             for i, k, x, y in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = unpacked(x), unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similar * (either := len(x) + len(y) - both) - 1e-9:
                     a.append(i)
@@ -325,18 +376,13 @@ def near_copies(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, D
     checkpoint_dir(spark)
     rows = rows.select("field", "row_id", "text").where(F.col("text").isNotNull())
     banded = _bands(rows).checkpoint()
-    # The id of a class is taken from its digest; the smallest member carries its sketch and bands.
-    identity = F.xxhash64("class").alias("id")
-    members = banded.select("field", "row_id", identity).distinct()
-    firsts = banded.groupBy("class").agg(F.min("row_id").alias("row_id"), F.first("field").alias("field"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).select(identity, "field", "row_id", "sketch", "bands")
-    pairs = candidate_pairs(firsts).checkpoint()
+    members = banded.select("field", "row_id", "id").distinct()
+    pairs = candidate_pairs(banded.where(F.col("bands").isNotNull()).select("id", "high", "low", "bands")).checkpoint()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sources = members.join(wanted, "id").groupBy("id").agg(F.min(F.struct("field", "row_id")).alias("s")).select("id", F.col("s.field").alias("field"), F.col("s.row_id").alias("row_id")).checkpoint()
-    if sources.count() <= BROADCAST_IDS:
-        sources = F.broadcast(sources)
-    # A row_id may have several texts; the digest picks the one that belongs to the class.
-    sets = _sets(rows.join(sources, ["field", "row_id"]).select("id", "field", "text")).dropDuplicates(["id"]).checkpoint()
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("runs").alias(f"{side}_runs"))
+    sources = banded.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("field", "row_id")).alias("s")).select("id", F.col("s.field").alias("field"), F.col("s.row_id").alias("row_id"))
+    # A row_id may have several texts; the id tells which belongs to the class.
+    sets = _sets(rows.join(sources.hint("merge"), ["field", "row_id"]).select("id", "field", "text")).groupBy("id").agg(F.first("runs").alias("runs"))
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("runs").alias(f"{side}_runs")).hint("merge")
     links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_runs", "b_runs").mapInArrow(_similar(similar), "a bigint, b bigint, share double")
     return links, members
 
@@ -368,15 +414,38 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return text_field(spark, folder, "clean_text").unionByName(text_field(spark, folder, "clause_text"))
 
 
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(field, id_a, id_b), id_a < id_b: the links as pairs of rows, and the pairs of rows within each class.
+
+    Members of a large class are put into blocks by hash, and every pair of blocks is a unit of its own.
+    """
+    total = members.count()
+    sizes = members.groupBy("id").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > max(BLOCK, total // MOST_HOT)).select("id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))  # at most MOST_HOT
+    blocks = F.coalesce("blocks", F.lit(1))
+    sized = members.join(F.broadcast(large), "id", "left").select("id", "field", "row_id", blocks.alias("blocks"))
+    placed = sized.withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks").cast("int"))
+    several = sizes.where("n > 1").select("id")
+    inside = _cells(placed.join(several.hint("merge"), "id", "left_semi"), "id").select("cell", "side", "field", "row_id")
+    left = inside.where("side <> 1").select("cell", F.col("field"), F.col("row_id").alias("x"), F.col("side").alias("x_side"))
+    right = inside.where("side <> 0").select("cell", F.col("row_id").alias("y"))
+    within = left.join(right.hint("merge"), "cell").where("x_side = 0 or x < y").select("field", "x", "y")
+
+    def side(name: str) -> DataFrame:
+        return placed.select(F.col("id").alias(name), F.col("block").alias(f"{name}_block"), F.col("field").alias(f"{name}_field"), F.col("row_id").alias(f"{name}_row")).hint("merge")
+
+    cut = links.select("a", "b")
+    for name in ("a", "b"):
+        of = F.broadcast(large.select(F.col("id").alias(name), F.col("blocks").alias(f"{name}_blocks")))
+        cut = cut.join(of, name, "left").withColumn(f"{name}_block", F.explode(F.sequence(F.lit(0), F.coalesce(f"{name}_blocks", F.lit(1)) - 1)))
+    across = cut.join(side("a"), ["a", "a_block"]).join(side("b"), ["b", "b_block"]).select(F.col("a_field").alias("field"), F.col("a_row").alias("x"), F.col("b_row").alias("y"))
+    pairs = across.unionByName(within).where("x <> y")
+    return pairs.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of contracts, and of clauses, that share at least 0.7 of their word triples."""
-    links, members = near_copies(_texts(spark, folder))
-    side = lambda s: members.select(F.col("id").alias(s), F.col("field").alias(f"field_{s}"), F.col("row_id").alias(f"row_{s}"))
-    across = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("field_a = field_b")
-    several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"))
-    within = several.join(side("a"), "a").join(side("b"), F.col("a") == F.col("b")).where("row_a < row_b and field_a = field_b")
-    pairs = across.select("field_a", "row_a", "row_b").unionByName(within.select("field_a", "row_a", "row_b"))
-    return pairs.where("row_a <> row_b").select(F.col("field_a").alias("field"), F.least("row_a", "row_b").alias("id_a"), F.greatest("row_a", "row_b").alias("id_b")).distinct()
+    return expanded(*near_copies(_texts(spark, folder)))
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,14 +61,51 @@ def test_fields_are_kept_apart(spark):
 
 def test_trie_against_all_pairs():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    sketches = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 63, 40, dtype=np.uint64)), np.repeat(base[:1], 70)])
+    base = rng.integers(0, 2**63, (90, 2), dtype=np.uint64)
+    flipped = base.copy()
+    flipped[np.arange(90), rng.integers(0, 2, 90)] ^= np.uint64(1) << rng.integers(0, 63, 90, dtype=np.uint64)
+    far = base[:60].copy()
+    far[:, 1] ^= np.uint64((1 << 36) - 1)
+    far[:30, 1] ^= np.uint64(1)
+    sketches = np.concatenate([base, flipped, np.repeat(base[:1], 70, axis=0), far])
     ids = np.arange(len(sketches))
-    near = {(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if int(np.bitwise_count(sketches[a] ^ sketches[b])) <= n.BUDGET}
-    found = [tuple(sorted(p)) for p in n.trie_join(ids, sketches)]
-    assert set(found) == near and len(found) == len(near)
-    split = [tuple(sorted(p)) for p in n.trie_join(ids, sketches, split=60)]
-    assert set(split) == {p for p in near if (p[0] < 60) != (p[1] < 60)} and len(split) == len(set(split))
+    count = lambda a, b: int(np.bitwise_count(sketches[a] ^ sketches[b]).sum())
+    near = {(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if count(a, b) <= n.BUDGET}
+    assert len({count(a, 250 + a) for a in range(60)}) == 2
+    for leaf in (1, 8, 64):
+        found = [tuple(sorted(p)) for p in n.trie_join(ids, sketches, leaf=leaf)]
+        assert set(found) == near and len(found) == len(near)
+        split = [tuple(sorted(p)) for p in n.trie_join(ids, sketches, split=60, leaf=leaf)]
+        assert set(split) == {p for p in near if (p[0] < 60) != (p[1] < 60)} and len(split) == len(set(split))
+
+
+@pytest.mark.parametrize("salted", [True, False])
+def test_a_band_of_fifty_thousand_rows(spark, monkeypatch, salted):
+    """All pairs within the budget come out, whether the band is salted from the start or cut as it streams by."""
+    monkeypatch.setattr(n, "MOST_HOT", 20_000 if salted else 10)
+    monkeypatch.setattr(n, "SAMPLE", 5_000)
+    rng = np.random.default_rng(7)
+    sketches = rng.integers(-(2**63), 2**63, (50_000, 2), dtype=np.int64)
+    near = rng.choice(25_000, 2_000, replace=False)
+    sketches[near + 25_000] = sketches[near] ^ 7
+    rows = spark.createDataFrame([(k, high, low, [5, 100 + k]) for k, (high, low) in enumerate(sketches.tolist())] * 1 + [(0, *sketches[0].tolist(), [5, 100])], "id bigint, high bigint, low bigint, bands array<bigint>").repartition(8)
+    assert (n._hot(rows, n.F.explode("bands"), n.SAMPLE, n.MOST_HOT) is not None) == salted
+    bits, truth = sketches.view(np.uint64), set()
+    for at in range(0, 50_000, 500):
+        part = bits[at : at + 500]
+        x, y = np.nonzero(np.bitwise_count(part[:, None, 0] ^ bits[None, at:, 0]) + np.bitwise_count(part[:, None, 1] ^ bits[None, at:, 1]) <= n.BUDGET)
+        truth |= {(at + int(i), at + int(k)) for i, k in zip(x, y, strict=True) if i < k}
+    assert {tuple(r) for r in n.candidate_pairs(rows).collect()} == truth and len(truth) >= 2_000
+
+
+def test_large_classes_are_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 7)
+    members = spark.createDataFrame([("f", k, 1) for k in range(40)] + [("f", 100 + k, 2) for k in range(20)] + [("f", 200, 3)], "field string, row_id bigint, id bigint")
+    links = spark.createDataFrame([(1, 2, 0.8), (2, 3, 0.8)], "a bigint, b bigint, share double")
+    of = {1: range(40), 2: range(100, 120), 3: [200]}
+    want = {tuple(sorted(p)) for g in of.values() for p in combinations(g, 2)} | {(x, y) for a, b in ((1, 2), (2, 3)) for x in of[a] for y in of[b]}
+    got = [(r.id_a, r.id_b) for r in n.expanded(links, members).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_groups(spark):
