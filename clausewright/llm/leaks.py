@@ -134,6 +134,16 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, coverage:
     return functools.reduce(DataFrame.unionByName, parts).distinct()
 
 
+def p9_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and items with a common run, the words of the item under tiles and their share."""
+    return leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text"))
+
+
+def p9_longest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the longest common run of words."""
+    return p9_tiles(spark, folder).select("doc_id", "item_id", "longest").distinct()
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that contain at least 12 consecutive words of an item."""
-    return leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text")).select("doc_id", "item_id").distinct()
+    return p9_tiles(spark, folder).select("doc_id", "item_id").distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clausewright.llm.encode import p8_ids
+from clausewright.llm.encode import p8_covered, p8_decoded, p8_ids
 from clausewright.llm.encoding import p1_found, p1_restored
-from clausewright.llm.leaks import p9_found
+from clausewright.llm.leaks import p9_found, p9_longest, p9_tiles
 from clausewright.llm.lookalikes import p7_found, p7_unified
 from clausewright.llm.near_copies import p6_found, p6_groups
 from clausewright.llm.personal import p2_found, p2_masked
@@ -30,7 +30,11 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_unified": p7_unified,
     "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p8_covered": p8_covered,
     "p9_found": p9_found,
+    "p9_longest": p9_longest,
+    "p9_tiles": p9_tiles,
     "p10_counts": p10_counts,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,

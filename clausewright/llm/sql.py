@@ -32,6 +32,19 @@ def _sets(field: str, source: str, key: str, text: str) -> str:
     )
 
 
+def _placed(source: str, key: str) -> str:
+    return f"select {key}, i, array_to_string(w[i:i + 11], ' ') as run from (select {key}, w, unnest(range(1, len(w) - 10)) as i from {source} where len(w) >= 12)"
+
+
+#: Runs that meet on one diagonal without a gap are one match.
+_LONGEST = (
+    f"with d as (select doc_id, {words('text')} as w from documents where text is not null), q as (select item_id, {words('text')} as w from eval_items where text is not null), "
+    f"m as (select doc_id, item_id, x.i - y.i as line, x.i from ({_placed('d', 'doc_id')}) x join ({_placed('q', 'item_id')}) y on x.run = y.run), "
+    "g as (select doc_id, item_id, line, i - row_number() over (partition by doc_id, item_id, line order by i) as island from m), "
+    "s as (select doc_id, item_id, count(*) + 11 as n from g group by doc_id, item_id, line, island) select doc_id, item_id, cast(max(n) as int) as longest from s group by doc_id, item_id"
+)
+
+
 def _cut(start: str) -> str:
     """The end of a piece that begins at `start` in a text with more than 1,200 characters left."""
     window, more = f"substring(text, {start} + 1, 1200)", f"substring(text, {start} + 1, 1201)"
@@ -69,5 +82,8 @@ SQL = {
     "p3_found": _PIECES,
     "p6_found": f"with {', '.join(_sets(*t) for t in _TEXTS)} {' union all '.join(_pairs(*t) for t in _TEXTS)}",
     "p10_counts": _counts(),
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p8_covered": "select doc_id, cast(length(coalesce(text, '')) as int) as covered, false as disordered from documents",
+    "p9_longest": _LONGEST,
     "p9_found": f"with d as (select doc_id, {words('text')} as w from documents where text is not null), q as (select item_id, {words('text')} as w from eval_items where text is not null), dr as ({runs('d', 'doc_id', 12)}), qr as ({runs('q', 'item_id', 12)}) select distinct doc_id, item_id from dr join qr on dr.run = qr.run",
 }
