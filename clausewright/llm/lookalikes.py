@@ -1,9 +1,10 @@
 """Problem 7: one form for texts that look the same but differ in their characters.
 
-Words that hold a character of the mapping are exploded to positioned code points and joined with broadcast tables of
-decompositions and look-alikes (their size is bounded by Unicode, not by the data). Marks are ordered by combining
-class, clusters recomposed by a second table, and the strings rebuilt in order. Words without such characters stay as
-they are and never leave the scan's stage.
+To find the kinds, words that hold a character of the mapping are exploded to positioned code points and joined with
+broadcast tables of decompositions and look-alikes (their size is bounded by Unicode, not by the data). To bring texts
+to one form the same tables are broadcast and looked up where the text is, so no text is shuffled: each distinct word is
+taken apart to code points, these are replaced and decomposed, marks ordered by combining class, clusters recomposed,
+and the string rebuilt. Words without such characters stay as they are and never leave the scan's stage.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from clausewright.llm.base import flat_map, text_fields
-from clausewright.llm.encoding import LOST, Repair, suspects
+from clausewright.llm.base import MEMO_LIMIT, flat_map, text_fields
+from clausewright.llm.encoding import LOST, STRICT, Repair, suspects
 
-#: Letters of Cyrillic, Greek and Armenian, and the Latin letters they look like.
+#: Letters of Cyrillic, Greek, Armenian, Cherokee and Coptic, and the Latin letters they look like. The other
+#: letters of these scripts look like no Latin letter and stay.
 LOOKALIKES = dict(zip(
-    "АВЕЅІЈКМНОРСТХУҮаесԁһіјорԛѕսԝхуѵүӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυϲχγ" "ՕՍԼՏօոսցյգ",
-    "ABESIJKMHOPCTXYYaecdhijopqsuwxyvyl" "ABEZHIKMNOPTYXaikvoptucxy" "OULSonugjq",
+    "АВЕЅІЈКМНОРСТХУҮаесԁһіјорԛѕսԝхуѵүӏԌЬҺԚԜ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυϲχγͿϳϹϺϻ" "ՕՍԼՏօոսցյգհզ"
+    "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ" "ꭰꭱꭲꭺꭻꭼꮃꮇꮋꮓꮢꮩꮪꮮꮯꮲꮶ" "ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲓⲕⲟⲣⲥⲭ",
+    "ABESIJKMHOPCTXYYaecdhijopqsuwxyvylGbhQW" "ABEZHIKMNOPTYXaikvoptucxyJjCMm" "OULSonugjqhq"
+    "DRTiyAJEWMHYGZbRWSVSLCPKdB" "DRTAJEWMHZRVSLCPK" "ABEHIKMNOPCTYXikopcx",
     strict=True,
 ))
 #: Characters without width.
@@ -115,7 +118,7 @@ def words(rows: DataFrame, mask: bool) -> DataFrame:
     def make() -> Callable:
         import regex
 
-        repair, p = Repair(None, 0.0), patterns()
+        repair, p = Repair(None, STRICT), patterns()
         wanted, inner = regex.compile(_python(p["any"])), regex.compile(_python(f"[{p['inner']}]"))
 
         def doubtful(run: str) -> bool:
@@ -161,48 +164,79 @@ def kinds(rows: DataFrame) -> DataFrame:
     return joined.select("field", "row_id", F.explode(F.array_compact(F.array("kind", "accent", letter))).alias("kind")).distinct()
 
 
+class Form:
+    """Rebuilds words in one form."""
+
+    def __init__(self) -> None:
+        import regex
+
+        replace, parts, whole = tables()
+        self.form = {ch: to for ch, to, _ in replace}
+        self.split, self.classes, self.whole = {ch: nfd for ch, nfd, _ in parts}, {ch: c for ch, _, c in parts if c}, dict(whole)
+        self.mixed, self.memo = regex.compile(_python(patterns()["lookalike"])), {}
+
+    def __call__(self, word: str) -> str:
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > MEMO_LIMIT:
+                self.memo.clear()
+            got = self.memo[word] = self.rebuilt(word)
+        return got
+
+    def rebuilt(self, word: str) -> str:
+        latin = LOOKALIKES if self.mixed.search(word) else {}
+        marks: list[str] = []
+        for ch in word:
+            for to in self.form.get(ch, latin.get(ch, ch)):
+                marks += self.split.get(to, to)
+        clusters: list[list[str]] = []
+        for mark in marks:
+            if clusters and mark in self.classes:
+                clusters[-1].append(mark)
+            else:
+                clusters.append([mark])
+        out = []
+        for first, *rest in clusters:
+            ordered = first + "".join(sorted(rest, key=self.classes.get))
+            # The longest beginning that one character stands for; marks that do not join it follow.
+            size = next((k for k in range(len(ordered), 1, -1) if ordered[:k] in self.whole), 0)
+            out.append(self.whole[ordered[:size]] + ordered[size:] if size else ordered)
+        return "".join(out)
+
+
 def unified(rows: DataFrame) -> DataFrame:
     """(field, row_id, text) with every text in one form; rows, repeated ones too, are kept one to one, null stays null.
 
-    Look-alikes are replaced only inside words with Latin letters. Texts without anything of the mapping pass through.
+    Look-alikes are replaced only inside words with Latin letters. Texts without anything of the mapping pass through;
+    very long texts are rebuilt word by word. One scan, nothing is shuffled, and other columns are not carried.
     """
-    spark, p = rows.sparkSession, patterns()
-    replace, parts, whole = tables()
-    form = {ch: to for ch, to, _ in replace}
-    single = spark.createDataFrame([(ch, to) for ch, to in form.items()], "ch string, form string")
-    look = spark.createDataFrame([(ch, to) for ch, to in LOOKALIKES.items()], "ch string, latin string")
-    split = spark.createDataFrame([(ch, nfd) for ch, nfd, _ in parts], "ch string, nfd string")
-    classes = spark.createDataFrame([(ch, c) for ch, _, c in parts if c], "mark string, class int")
-    composed = spark.createDataFrame(whole, "cluster string, composed string")
-    rows = rows.select("field", "row_id", "text").withColumn("row", F.monotonically_increasing_id())
-    touched = F.coalesce(F.col("text").rlike(COARSE), F.lit(False))
-    plain, todo = rows.where(~touched), rows.where(touched)
-    pieces = words(todo.select("field", F.col("row").alias("row_id"), "text"), mask=False).select(F.col("row_id").alias("row"), "piece_no", "piece")
-    exploded = pieces.select("row", "piece_no", "piece", F.posexplode(F.regexp_extract_all("piece", F.lit(r"(?s)(.)"), 1)).alias("pos", "ch"))
-    replaced = exploded.join(F.broadcast(single), "ch", "left").join(F.broadcast(look), "ch", "left")
-    replaced = replaced.withColumn("ch", F.when(F.col("form").isNotNull(), F.col("form")).when(F.col("latin").isNotNull() & F.col("piece").rlike(p["lookalike"]), F.col("latin")).otherwise(F.col("ch")))
-    replaced = replaced.where(F.col("ch") != "").join(F.broadcast(split), "ch", "left")
-    marks = replaced.select("row", "piece_no", "pos", F.posexplode(F.regexp_extract_all(F.coalesce("nfd", "ch"), F.lit(r"(?s)(.)"), 1)).alias("part", "mark")).join(F.broadcast(classes), "mark", "left").withColumn("class", F.coalesce("class", F.lit(0)))
-    order = Window.partitionBy("row", "piece_no").orderBy("pos", "part")
-    clusters = (
-        marks.withColumn("starter", F.sum((F.col("class") == 0).cast("int")).over(order))
-        .groupBy("row", "piece_no", "starter")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "pos", "part", "mark"))), lambda m: m["mark"]), "").alias("cluster"))
-        .join(F.broadcast(composed), "cluster", "left")
-    )
-    new = clusters.groupBy("row", "piece_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("starter", F.coalesce("composed", "cluster").alias("c")))), lambda m: m["c"]), "").alias("new"))
-    changes = pieces.join(new, ["row", "piece_no"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece_no", F.length("piece").alias("size"), F.coalesce("new", F.lit("")).alias("new")))).alias("changes"))
-    glued = F.aggregate(
-        "changes",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda done, change: F.struct(
-            (change["piece_no"] + change["size"]).alias("at"),
-            F.concat(done["out"], F.substring("text", done["at"] + 1, change["piece_no"] - done["at"]), change["new"]).alias("out"),
-        ),
-        lambda done: F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text"))),
-    )
-    rebuilt = todo.join(changes, "row", "left").select("field", "row_id", F.when(F.col("changes").isNull(), F.col("text")).otherwise(glued).alias("text"))
-    return plain.select("field", "row_id", "text").unionByName(rebuilt)
+
+    def make() -> Callable:
+        import regex
+
+        p, form = patterns(), Form()
+        coarse, wanted, inner = regex.compile(_python(COARSE)), regex.compile(_python(p["any"])), regex.compile(_python(f"[{p['inner']}]+"))
+        before = regex.compile(_python(f"[{p['inner']}]+$"))
+
+        def each(field: str, row_id: int, text: str | None) -> list:
+            if text is None or text.isascii() or not coarse.search(text):
+                return [(field, row_id, text)]
+            out, last = [], 0
+            for m in wanted.finditer(text):
+                start, end = m.span()
+                if start < last:
+                    continue
+                if inner.match(text, start):
+                    if (head := text[last:start]) and (lead := before.search(head, max(0, len(head) - 400))):
+                        start = last + lead.start()
+                    end = inner.match(text, end).end() if inner.match(text, end) else end
+                out += [text[last:start], form(text[start:end])]
+                last = end
+            return [(field, row_id, "".join([*out, text[last:]]))]
+
+        return each
+
+    return flat_map(rows, make, "field string, row_id bigint, text string", ["field", "row_id", "text"])
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
