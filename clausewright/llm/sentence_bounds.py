@@ -1,7 +1,10 @@
 """Problem 4: sentences of texts in any language and script.
 
-Candidate boundaries (after closing punctuation; at spaces before letters of a script without sentence punctuation) are
-tagged as boundary or inside by a linear-chain model with Viterbi decoding. Its features come from two unsupervised
+Positions are tagged as boundary or inside by linear-chain models with Viterbi decoding. Where a paragraph has marks, only
+positions after closing punctuation (and spaces before letters of a script without sentence punctuation) can be
+boundaries, all others are inside. In paragraphs of scripts written without spaces that have none of these, every
+character may begin a sentence: a model of the characters around it, trained on sentences joined without their
+punctuation and spaces, tags them all. The features of the first come from two unsupervised
 statistics of all texts - how often a token with a period ends a paragraph, how often a word starts one - and
 from the surroundings: letter classes, quotations, brackets, distances. Weights are learned by an averaged perceptron
 on paragraphs joined at known boundaries; for scripts without periods the joints carry no punctuation.
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.base import MEMO_LIMIT, bounded_sample, flat_map
+from clausewright.llm.encoding import BACK, LOST, bytes_as
 from clausewright.sources.tables import table
 
 #: The bound of the training texts, by their hash; a parameter. Splitting itself covers every text.
@@ -27,19 +31,31 @@ TRAINING_TEXTS = 1_500
 LEAST_MET = 8
 
 _SPACELESS = "฀-๿຀-໿က-႟ក-៿"
+_WIDE = "぀-ヿ㐀-鿿豈-﫿"
 _CLOSERS = "”’\"'»“」』）)\\]】》〉"
 _BREAK = re.compile(r"\n[^\S\n]*\n\s*")
+
+
+def garbled(marks: str) -> list[str]:
+    """What the marks became where UTF-8 was read by a wrong code page, once or (by the commonest page) twice; longest first."""
+    once = {bytes_as(mark.encode(), page) for mark in marks for page in BACK}
+    twice = {bytes_as(bytes_as(mark.encode(), "cp1252").encode(), "cp1252") for mark in marks}
+    wide = {mark.encode().ljust(4, b"\0").decode("gbk", "ignore").rstrip("\0") for mark in marks}
+    return sorted({g for g in once | twice | wide if len(g) > 1}, key=lambda g: (-len(g), g))
+
+
+_OPENED, _CLOSED = garbled("“„«"), garbled("”»")
+_ENDED = "|".join(map(re.escape, garbled("”’»")))
 _CANDIDATE = re.compile(
-    rf"[.?!…][.?!…]*[{_CLOSERS}]*(?:â€\x9d|â€™|‚Äù|‚Äô|ΓÇ¥|ΓÇÖ|вЂќ|вЂ™|Ã¢â‚¬Â\x9d|Ã¢â‚¬â„¢|�)?(?=\s|[{_SPACELESS}]|$)"
+    rf"[.?!…][.?!…]*[{_CLOSERS}]*(?:{_ENDED}|{LOST})?(?=\s|[{_SPACELESS}]|$)"
     rf"|[。！？।۔؟]+[{_CLOSERS}]*"
     rf"|(?<=\S)(?=\s+[{_SPACELESS}])"
 )
 _TOKEN = re.compile(r"\S*$")
 _WORD = re.compile(r"\s*([^\s.,;:?!]*)")
-#: How quotation marks open and close, and what they became when UTF-8 was read by a wrong code page.
-_MARKS = re.compile(
-    "(?P<open>[“„«「『《]|(?<![^\\s(])‘|â€œ|‚Äú|ΓÇ£|вЂњ|Ã¢â‚¬Å“|鈥淸)|(?P<close>[”»」』》]|â€\x9d|‚Äù|ΓÇ¥|вЂќ|Ã¢â‚¬Â\x9d)|(?P<both>\"|�)"
-)
+#: How quotation marks open and close, those read by a wrong code page included.
+_MARKS = re.compile(rf"(?P<open>[“„«「『《]|(?<![^\s(])‘|{'|'.join(map(re.escape, _OPENED))})|(?P<close>[”»」』》]|{'|'.join(map(re.escape, _CLOSED))})|(?P<both>\"|{LOST})")
+_OPENING = "“„«「『‘\"" + LOST + "".join(sorted({g[0] for g in _OPENED}))
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
@@ -50,7 +66,7 @@ def quotations(text: str) -> list[tuple[int, int]]:
         if kind == "both":
             before = text[m.start() - 1] if m.start() else " "
             after = text[m.end()] if m.end() < len(text) else " "
-            if m.group() == "�" and before.isalpha() and after.isalpha():
+            if m.group() == LOST and before.isalpha() and after.isalpha():
                 continue
             kind = "close" if opened is not None and not (before.isspace() and not after.isspace()) else "open"
         if m.group() == "“" and opened is not None and text[opened] == "„":
@@ -76,7 +92,7 @@ def letter_class(ch: str) -> str:
         return "letter"
     if ch in "([":
         return "bracket"
-    if ch in "“„«「『‘\"â‚ΓвÃ鈥�":
+    if ch in _OPENING:
         return "opening"
     return "mark"
 
@@ -88,8 +104,8 @@ def bucket(share: float, n: int) -> str:
 class Tagger:
     """The statistics, the weights, and Viterbi decoding."""
 
-    def __init__(self, ends: dict[str, tuple[int, int]], starts: dict[str, tuple[int, int]], weights: dict[str, float]) -> None:
-        self.ends, self.starts, self.weights = ends, starts, weights
+    def __init__(self, ends: dict[str, tuple[int, int]], starts: dict[str, tuple[int, int]], weights: dict[str, float], breaks: Breaks | None = None) -> None:
+        self.ends, self.starts, self.weights, self.breaks = ends, starts, weights, breaks or Breaks()
         self.memo: dict[tuple, tuple[str, ...]] = {}
 
     def features(self, text: str) -> list[tuple[int, tuple[str, ...]]]:
@@ -136,22 +152,87 @@ class Tagger:
         """The positions of the boundaries inside the text."""
         candidates = self.features(text)
         if not candidates:
-            return []
-        weights, path = self.weights, []
-        best = (0.0, 0.0)
-        # State 1 is a boundary, 0 inside; a boundary's score is that of its features, inside is the zero point.
-        stay, turn = weights.get("t:10", 0.0), weights.get("t:11", 0.0)
-        for _, features in candidates:
-            score = sum(weights.get(f, 0.0) for f in features)
-            into = (best[0], best[1]), (best[0] + score + stay, best[1] + score + turn)
-            path.append(tuple(int(b > a) for a, b in into))
-            best = tuple(max(pair) for pair in into)
-        state, out = int(best[1] > best[0]), []
-        for (end, _), back in zip(reversed(candidates), reversed(path), strict=True):
-            if state:
-                out.append(end)
-            state = back[state]
-        return out[::-1]
+            return self.breaks.tag(text) if self.breaks.applies(text) else []
+        weights = self.weights
+        scores = [sum(weights.get(f, 0.0) for f in features) for _, features in candidates]
+        return [end for (end, _), state in zip(candidates, viterbi(scores, weights.get("t:10", 0.0), weights.get("t:11", 0.0)), strict=True) if state]
+
+
+def viterbi(scores: list[float], stay: float, turn: float) -> list[int]:
+    """The likeliest states: 1 is a boundary, which scores what its features do, 0 inside, the zero point; `stay` and
+    `turn` are added for a boundary after an inside and after a boundary."""
+    path, best = [], (0.0, 0.0)
+    for score in scores:
+        into = (best[0], best[1]), (best[0] + score + stay, best[1] + score + turn)
+        path.append(tuple(int(b > a) for a, b in into))
+        best = tuple(max(pair) for pair in into)
+    state, out = int(best[1] > best[0]), []
+    for back in reversed(path):
+        out.append(state)
+        state = back[state]
+    return out[::-1]
+
+
+class Breaks:
+    """Tags every character of a text without marks and spaces as the first of a sentence or not."""
+
+    #: Characters to either side that are looked at; a text shorter than this many is one unit.
+    REACH, LEAST = 4, 24
+    CONTINUOUS = re.compile(f"[{_SPACELESS}{_WIDE}]")
+    MARK = re.compile(r"[^\w\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]|_")
+
+    def __init__(self, weights: dict[str, float] | None = None) -> None:
+        self.weights = {} if weights is None else weights
+
+    def applies(self, text: str) -> bool:
+        return bool(self.weights) and len(text) >= self.LEAST and len(self.CONTINUOUS.findall(text)) > 0.8 * len(text) and not self.MARK.search(text)
+
+    @classmethod
+    def features(cls, text: str) -> list[tuple[str, ...]]:
+        """Of each position from 1 on; digits are alike."""
+        plain, out = re.sub(r"\d", "0", text), []
+        for i in range(1, len(plain)):
+            left, right = plain[max(0, i - cls.REACH) : i], plain[i : i + cls.REACH]
+            out.append(("b", *("l" + left[-k:] for k in range(1, len(left) + 1)), *("r" + right[:k] for k in range(1, len(right) + 1)), f"x{left[-1:]}{right[:1]}", f"y{left[-2:]}|{right[:2]}"))
+        return out
+
+    def states(self, features: list[tuple[str, ...]]) -> list[int]:
+        get = self.weights.get
+        return viterbi([sum(get(f, 0.0) for f in each) for each in features], get("t:10", 0.0), get("t:11", 0.0))
+
+    def tag(self, text: str) -> list[int]:
+        return [i for i, state in enumerate(self.states(self.features(text)), 1) if state]
+
+    @classmethod
+    def fit(cls, sentences: list[str], units: list[str], rng: random.Random, joins: int = 900, rounds: int = 3) -> Breaks:
+        """From sentences, joined without punctuation and spaces, and from units that hold no boundary."""
+        bare = sorted({b for s in sentences if len(b := cls.MARK.sub("", s)) > 3})
+        samples: list[tuple[list[tuple[str, ...]], list[int]]] = []
+        for _ in range(min(joins, 4 * len(bare)) if len(bare) > 1 else 0):
+            text, borders = "", set()
+            for body in rng.sample(bare, min(len(bare), rng.randint(2, 5))):
+                borders.add(len(text))
+                text += body
+            samples.append((cls.features(text), [int(i in borders) for i in range(1, len(text))]))
+        samples += [(cls.features(b), [0] * (len(b) - 1)) for b in rng.sample(units, min(len(units), joins // 3)) if len(b) > 1]
+        out = cls(weights := Counter())
+        total: Counter[str] = Counter()
+        step = 1
+        for _ in range(rounds):
+            rng.shuffle(samples)
+            for features, states in samples:
+                found = out.states(features)
+                if found != states:
+                    for tags, sign in ((states, 1.0), (found, -1.0)):
+                        before = 0
+                        for tag, other, each in zip(tags, found if sign > 0 else states, features, strict=True):
+                            if tag:
+                                for f in (*(each if not other else ()), f"t:1{before}"):
+                                    weights[f] += sign
+                                    total[f] += sign * step
+                            before = tag
+                step += 1
+        return cls({f: w - total[f] / step for f, w in weights.items() if w or total[f]})
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -292,6 +373,10 @@ def fit(texts: list[str], seed: int = 3, rounds: int = 3, counts: tuple[Counts,
             step += 1
     tagger.weights = {f: w - total[f] / step for f, w in weights.items()}
     tagger.memo.clear()
+    continuous = [body for body in bodies if len(Breaks.CONTINUOUS.findall(body)) > 0.8 * len(body)]
+    known = [body[a:b] for body in continuous for a, b in sentences(body, tagger)]
+    titles = [body for body in continuous if not tagger.features(body) and body[-1] not in "。！？" and len(body) < Breaks.LEAST]
+    tagger.breaks = Breaks.fit(known, titles, rng)
     return tagger
 
 
@@ -304,7 +389,7 @@ def split_sentences(documents: DataFrame, training: int = TRAINING_TEXTS) -> Dat
     """
     rows = documents.select("contract_id", "text").where(F.col("text").isNotNull())
     tagger = fit(sorted(bounded_sample(rows, training)), counts=corpus_counts(rows))
-    shared = rows.sparkSession.sparkContext.broadcast((tagger.ends, tagger.starts, tagger.weights))
+    shared = rows.sparkSession.sparkContext.broadcast((tagger.ends, tagger.starts, tagger.weights, tagger.breaks))
 
     def make() -> Callable:
         own = Tagger(*shared.value)

@@ -71,6 +71,29 @@ def test_table(spark):
     assert s.split_sentences(rows.limit(0)).count() == 0
 
 
+CHINESE = (["服务商", "委托方", "托管机构", "受让人", "任何一方"], ["应当保管全部图纸", "应当在四十日内付款", "不得向第三方披露样品", "经书面同意后转让货物", "可以抽查仓库记录"], ["直至款项结清", "并承担全部费用", "以附件为准", "不另行通知"])
+THAI = (["ผู้ซื้อ", "ผู้ขาย", "คู่สัญญาแต่ละฝ่าย", "ผู้ให้เช่า"], ["ต้องชำระเงินงวดสุดท้าย", "ต้องส่งคืนตัวอย่างสินค้า", "จะตรวจสอบแบบแปลน", "อาจโอนสิทธิการใช้"], ["โดยออกค่าใช้จ่ายเอง", "ภายในสามสิบวัน", "ตามภาคผนวก", "เว้นแต่มีเหตุสุดวิสัย"])
+
+
+@pytest.mark.parametrize(("parts", "end"), [(CHINESE, "。"), (THAI, "")])
+def test_scripts_without_spaces_and_marks(parts, end):
+    """Sentences of held-out combinations, joined without anything between them."""
+    every = [a + b + c for a in parts[0] for b in parts[1] for c in parts[2]]
+    random.Random(6).shuffle(every)
+    seen, held = every[: len(every) // 2], every[len(every) // 2 :]
+    tagger = s.fit(["\n\n".join(x + end for x in seen[k : k + 4]) for k in range(0, len(seen), 4)])
+    rng, right, found, wanted = random.Random(8), 0, 0, 0
+    for _ in range(60):
+        units = rng.sample(held, 4)
+        text, at, want = "".join(units), 0, set()
+        for unit in units:
+            want.add((at, at + len(unit)))
+            at += len(unit)
+        got = set(s.sentences(text, tagger))
+        right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
+    assert 2 * right / (found + wanted) >= 0.9
+
+
 def test_statistics_cover_all_texts(spark, monkeypatch):
     """An abbreviation that no sampled text holds is known from the others."""
     sample = training()
