@@ -3,8 +3,9 @@
 Words are judged against the counts of all words of the corpus. An averaged perceptron edits words: for a word that is
 rare beside one it could have been, it scores the operations (replace, insert, delete) that lead there from its
 characters, their neighbours and both counts; `keep` is the zero point. It is trained on sound words and on copies of
-them with typical recognition errors. Joining at a line end is a rule and not scored: see CUT. Page furniture is found by the line's place on the page
-and its form.
+them with typical recognition errors. At a line end it scores the operations join (the hyphen goes) and keep (a
+compound broken at its own hyphen), by the counts of both forms and of the parts; it is trained on sound words and
+compounds that are cut. Page furniture is found by the line's place on the page and its form.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ _WORDLIKE = re.compile(r"[a-zà-öø-ÿœœß0-9!+|$@€£(\]]*[a-zà-öø-ÿœ
 _SOUND = re.compile(r"[a-zà-öø-ÿœß]+(?:['’-][a-zà-öø-ÿœß]+)*")
 #: A word cut at a line end: hyphen, line break, and a letter on either side.
 CUT = re.compile(r"(?<=[^\W\d_])[-‐][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_BEFORE, _AFTER = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*$"), re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
 def core(raw: str) -> str:
@@ -59,7 +61,7 @@ class Editor:
     """
 
     def __init__(self, counts: dict[str, int], weights: dict[str, float], least: float = LEAST_COUNT, rare: dict[str, int] | None = None) -> None:
-        self.counts, self.weights, self.least, self.rare, self.memo = counts, weights, least, rare or {}, {}
+        self.counts, self.weights, self.least, self.rare, self.memo, self.cuts = counts, weights, least, rare or {}, {}, {}
 
     def count(self, word: str) -> int:
         return self.counts.get(word) or self.rare.get(word, 0)
@@ -101,6 +103,39 @@ class Editor:
         odd = not seen.isalpha()
         return (f"op:{op}", f"p:{seen}>{true}", f"r:{min(ratio, 12)}", f"o:{odd}", f"or:{odd}{min(ratio, 12)}", f"l:{left}{seen}", f"g:{seen}{right}", f"n:{min(len(word), 8)}", f"own:{min(own, 5)}", f"st:{steps}{odd}")
 
+    def joint(self, left: str, right: str, hidden: bool = False) -> tuple[str, ...]:
+        """Features of joining the parts of a word cut at its hyphen; with `hidden` the forms count as never met."""
+        unit = self.least / LEAST_COUNT
+        met = lambda word: self.counts.get(word, 0) / unit
+        whole, compound = (0.0, 0.0) if hidden else (met(left + right), met(f"{left}-{right}"))
+        ratio = round(math.log2((whole + 0.5) / (compound + 0.5)))
+        parts = f"{met(left) >= LEAST_COUNT}{met(right) >= LEAST_COUNT}"
+        seen = f"{whole > 0}{compound > 0}"
+        return ("j:", f"j:r{max(-6, min(6, ratio))}", f"j:s{seen}", f"j:p{parts}", f"j:sp{seen}{parts}", f"j:n{min(len(left), 4)}{min(len(right), 4)}")
+
+    def joins(self, left: str, right: str) -> bool:
+        """Whether parts cut at a line end are one word without the hyphen; the zero point is to keep it."""
+        key = left + "\n" + right
+        got = self.cuts.get(key)
+        if got is None:
+            if len(self.cuts) > MEMO_LIMIT:
+                self.cuts.clear()
+            features = self.joint(left.lower(), right.lower())
+            # Weights that were fitted without any word to cut say nothing: then a hyphen at a line end is taken for a cut.
+            got = self.cuts[key] = features[0] not in self.weights or sum(self.weights.get(f, 0.0) for f in features) > 0
+        return got
+
+    def rejoined(self, text: str) -> tuple[str, bool]:
+        """The text with words joined over line ends, and whether any was cut in two (and not only broken at its own hyphen)."""
+        out, last, cut = [], 0, False
+        for m in CUT.finditer(text):
+            left, right = _BEFORE.search(text[max(last, m.start() - 60) : m.start()]), _AFTER.match(text, m.end(), m.end() + 60)
+            whole = self.joins(left.group(), right.group()) if left and right else True
+            cut |= whole
+            out += [text[last : m.start()], "" if whole else "-"]
+            last = m.end()
+        return "".join([*out, text[last:]]), cut
+
     def __call__(self, raw: str) -> str | None:
         """What the raw token should read; null to keep it."""
         try:
@@ -179,6 +214,14 @@ def train(counts: dict[str, int], least: float = LEAST_COUNT, seed: int = 11, wo
     samples += [(w, None, None) for w in rng.sample(rare, min(words // 2, len(rare)))]
     described = [(goal, list(editor.edits(word, own=own))) for word, goal, own in samples]
     described = [(goal, edits) for goal, edits in described if edits]
+    # Words cut anywhere are to be joined, compounds broken at their own hyphen to be kept, whether their form is met elsewhere or not.
+    compounds = sorted((w for w, n in counts.items() if w.count("-") == 1 and n >= 2 * least and min(map(len, w.split("-"))) > 1), key=lambda w: (-counts[w], w))[: 4 * words]
+    for word in rng.sample(pool, min(words, len(pool))):
+        if len(word) > 4:
+            at = rng.randint(2, len(word) - 2)
+            described.append(("join", [("join", editor.joint(word[:at], word[at:], rng.random() < 0.3))]))
+    for word in rng.sample(compounds, min(words, len(compounds))):
+        described.append((None, [("join", editor.joint(*word.split("-"), rng.random() < 0.3))]))
     for _ in range(rounds):
         rng.shuffle(described)
         for goal, edits in described:
@@ -241,16 +284,14 @@ def edges(field: str, text: str) -> list[tuple[int, int, str]]:
 
 
 def kinds(field: str, text: str, editor: Editor) -> set[str]:
-    found = set()
-    if CUT.search(text):
-        found.add("hyphen")
+    joined, cut = editor.rejoined(text)
+    found = {"hyphen"} if cut else set()
     for start, _, line in edges(field, text):
         head, number = furniture(line)
         if head and (start or field != "page_text" or not line.strip().isupper()):
             found.add("header")
         if number:
             found.add("page_no")
-    joined = CUT.sub("", text)
     memo = editor.memo
     for raw in joined.split():
         try:
@@ -270,7 +311,7 @@ def repaired(field: str, text: str, editor: Editor) -> str:
     for a, b in drop:
         out.append(text[last:a])
         last = b + 1
-    body = CUT.sub("", "".join([*out, text[last:]]))
+    body, _ = editor.rejoined("".join([*out, text[last:]]))
     body = re.sub(r"\S+", lambda m: editor(m.group()) or m.group(), body)
     return re.sub(r"[ \t]*(?<!\n)\n(?!\s*\n)[ \t]*", " ", body).strip()
 
@@ -318,7 +359,7 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
         editor, known = Editor(*shared.value), {}
 
         def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
-            for raw in set(CUT.sub("", text).split()):
+            for raw in set(editor.rejoined(text)[0].split()):
                 if (words := known.get(raw)) is None:
                     if len(known) > MEMO_LIMIT:
                         known.clear()

@@ -86,3 +86,15 @@ def test_rare_words_count_exactly(spark, monkeypatch):
     assert seen.unsure("drawirg") <= {"drawirg"} and list(seen.edits("drawirg")) == []
     assert {(r.row_id, r.kind) for r in n.noise(rows).collect()} == {(2_000, "misread")}
     assert {r.row_id for r in n.repair(rows).collect()} == {2_000}
+
+
+def test_compounds_keep_the_hyphen_they_are_broken_at():
+    words = {w: 40 for t in CLEAN for w in map(n.core, t.split())}
+    counts = {**words, "long-term": 300, "third-party": 200, "well-known": 90, "per-seat": 80, "non-disclosure": 60, "long": 500, "term": 900, "third": 70, "party": 800, "well": 30, "known": 40, "seat": 50, "non": 9, "per": 700}
+    for times in (1, 1_000):
+        scaled = {w: c * times for w, c in counts.items()}
+        editor = n.Editor(scaled, n.train(scaled, n.LEAST_COUNT * times), n.LEAST_COUNT * times)
+        assert editor.rejoined("a long-\nterm plan") == ("a long-term plan", False)
+        assert editor.rejoined("any third-\n party or well-\nknown one") == ("any third-party or well-known one", False)
+        assert editor.rejoined("the deli-\nvery and the treas-\nurer") == ("the delivery and the treasurer", True)
+        assert editor.rejoined("an unheard-of zorbli-\nnated word")[0] == "an unheard-of zorblinated word"
