@@ -3,7 +3,8 @@
 Candidate spans come from wide patterns and a gazetteer of given names that is learned from the whole corpus by context. On
 each candidate labelers vote (format, gazetteer, title before it, cue words around it, firm or case or code beside it);
 expectation-maximisation estimates how reliable each labeler is and how likely each candidate is a mention; with those
-probabilities as targets a logistic span classifier is trained, which decides on all candidates. Before matching, a text
+probabilities as targets a logistic span classifier is trained, on the votes and on features of its own (shape and
+letters of the span, words beside it, place), which decides on all candidates. Before matching, a text
 is brought to plain characters with a map back to its own positions, so disguised mentions are found as well.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.base import bounded_sample, flat_map, text_fields
+from clausewright.llm.encoding import LOST, PAGES, bytes_as
 from clausewright.llm.lookalikes import INVISIBLE, LOOKALIKES, SPACES, _expanded
 
 #: The bound of what the classifier is fitted on; the texts are chosen by their hash.
@@ -78,7 +81,13 @@ _HINDI_TITLE = re.compile(r"(?:श्रीमती|श्री|सुश्
 _OTHER_TITLE = re.compile(r"(?:السيدة|السيد|الأستاذ|جناب|محترمہ|محترم)\s+([؀-ۿ]{2,})\s+([؀-ۿ]{2,})|([一-鿿]{2,4}?)(?:先生|女士|小姐)|([一-鿿]{1,4}[ 　]?[぀-ヿ一-鿿]{1,4})(?:氏|様|さん)(?=[はがをにとのへ、。])|(?:นางสาว|นาย|นาง)([฀-๏]{2,})\s([฀-๏]{2,})")
 #: Words of a name after a Hindi title that show it is none (a committee, an office).
 _HINDI_NONE = frozenset("समिति के की का विभाग कार्यालय मंडल".split())
-_FIRM_AFTER = re.compile(r"[\w .]*?(?:&|and)?\s*\w*\s*(?:Private Limited|Pvt\.? Ltd|Limited|Ltd|LLP|LLC|Inc|Corporation|Company|Partnership|Trust|Foundation|Society|Estates|Energy|Foods|Ceramics|Textiles|Marine|Logistics|Studios|Analytics|Systems|Technologies|Agro|Works|Area|brand|marks?\b|works\b|plant|licence|depot|programme|Road|Street|Avenue|Lane)")
+#: Legal forms of firms.
+_LEGAL = r"(?:Private Limited|Pvt\.? Ltd|Limited|Ltd|LLP|LLC|Inc|Corporation|Company|Partnership|Trust|Foundation|Society)"
+#: Words after a name that show that it is no person's.
+_THING = r"(?:Area|brand|marks?\b|works\b|plant|licence|depot|programme|Road|Street|Avenue|Lane)"
+_LEGAL_AFTER = re.compile(rf"[\w .]*?(?:&|and)?\s*\w*\s*(?:{_LEGAL}|{_THING})")
+#: The word before a legal form; a kind of firm if it is met so often.
+_BUSINESS = re.compile(rf"([A-Z][a-z]+)\s+(?={_LEGAL}\b)")
 _PART = r"[A-ZÀ-Þ][a-zà-öø-ÿœ]+(?:['’-][A-ZÀ-Þ][a-zà-öø-ÿœ]+)?"
 _REST = rf"(?:\s+(?:[A-Z]\.\s*)+|\s+(?:van|de|von|del|da|bin|al)(?:\s+(?:der|la|den))?)?\s*{_PART}"
 _SURNAME = re.compile(rf"(?:\s+(?:[A-ZÀ-Þ]\.\s?)+|\s+(?:van|de|von|del|da|bin|al)(?:\s+(?:der|la|den))?)?\s+(?P<last>{_PART}|[A-ZÀ-Þ]{{3,}})(?![\w@])")
@@ -104,7 +113,10 @@ _ID_CUE = re.compile(r"(?:aadhaar|aadhar|uid|pan|passport|licen[cs]e|voter|socia
 _PHONE_CUE = re.compile(r"(?:tel|telefon|teléfono|téléphone|phone|call|line|mobile|fax|joignable au|दूरभाष|फोन|الهاتف|فون|电话|電話|โทรศัพท์|or|on|at|is)[\s.:]*(?:is|is:)?\s*$", re.IGNORECASE)
 _CODE_CUE = re.compile(r"(?:invoice|part numbers?|batch code(?: is)?|reference(?: is)?|ref\.? no\.?|lot|and|annexure|schedule|grade|संख्या|مرجع|حوالہ)[\s:]*$", re.IGNORECASE)
 
+#: The sharp s, written out, or read by a wrong code page once.
+_SHARP = "|".join(["ß", "ss", LOST, *sorted({re.escape(bytes_as("ß".encode(), page)) for page in PAGES}), "脽"])
 _CITY = r"[A-ZÀ-Þ][a-zà-öø-ÿ]+(?:[ -][A-ZÀ-Þ][a-zà-öø-ÿ]+)?"
+#: Words that end the name of a street; others are learned from addresses that name a town as well.
 _WAY = r"(?:Salai|Rasta|Road|Street|Avenue|Lane|Marg|Path|Cross|Quay|Drive|Way|Close|Row|Nagar|Chowk|Gali|Boulevard|Square|Court|Terrace)"
 ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt\.?|Unit|Suite)\s+(?:No\.?\s*)?\d+[A-Z]?,\s+{_PART}\s+(?:Heights|Towers?|Apartments|Residency|Court|House)"
@@ -113,10 +125,13 @@ ADDRESS = re.compile(
     rf"|\d+[A-Z]?(?:[/-]\d+)*,?\s+{_PART}(?:\s+{_PART})?\s+{_WAY}(?=[,\s.;)]|$)"
     rf"|\d+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|quai|impasse|allée)\s+(?:de la |de l['’]|des |du |de |d['’])?{_PART}"
     rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera)\s+(?:de (?:la |los |las )?|del )?{_PART},?\s+(?:n\.º\s*)?\d+"
-    rf"|[A-ZÀ-Þ][a-zà-öø-ÿ]+(?:stra(?:ß|ss|Ã[^ ]|├ƒ|√ü|Гџ|脽|�)e|weg|platz|gasse|allee|damm)\s+\d+[a-z]?)"
+    rf"|[A-ZÀ-Þ][a-zà-öø-ÿ]+(?:stra(?:{_SHARP})e|weg|platz|gasse|allee|damm)\s+\d+[a-z]?)"
 )
+#: A number and a name of several words, whatever the last one is.
+_NUMBERED = re.compile(rf"(?<![/.,\d-])\d{{1,4}}[A-Z]?(?:[/-]\d+)*,?\s+{_PART}(?:\s+{_PART})?\s+(?P<way>[A-Z][a-z]{{2,}})(?P<town>,\s+{_CITY}(?:\s+-?\s*\d{{3}}\s?\d{{3}}|,\s+\d{{5}})?)?(?=[,\s.;)]|$)")
 _ADDRESS_START = re.compile(r"[FAUSDPHC](?:(?:lat|pt|nit|uite|oor|lot|ouse|hop|\.\s?No|No|alle|venida|laza|aseo|amino|arrera)(?=[.\s]))|[0-9](?<![/.,0-9-].)[0-9A-Z/-]*(?:\s+(?:bis|ter))?,?\s+(?=[A-Zra-c])")
-_STREET_END = re.compile(r"[swpgad](?:tra(?:ß|ss|Ã[^ ]|├ƒ|√ü|Гџ|脽|�)e|eg|latz|asse|llee|amm)\s+\d")
+_STREET_END = re.compile(rf"[swpgad](?:tra(?:{_SHARP})e|eg|latz|asse|llee|amm)\s+\d")
+_PLACE_CUE = re.compile(r"(?:\bat|\bof|address(?:ed)?(?: is| to)?|reside[sd]?(?: at)?|residing at|resident of|house|home|live[sd]?(?: at)?)[\s:]*$", re.IGNORECASE)
 _HINDI = re.compile("[ऀ-ॿ]")
 _SCRIPTS = re.compile("[؀-ۿ一-鿿฀-๿]")
 
@@ -125,11 +140,24 @@ KINDS = ("name", "email", "phone", "idno", "address")
 LABELERS = ("format", "gazetteer", "title", "cue", "company", "against", "code")
 
 
+class Known(NamedTuple):
+    """What is learned by context from all texts: given names, last names, given names in Devanagari, kinds of firms,
+    words that end street names."""
+
+    given: frozenset[str] = frozenset()
+    surnames: frozenset[str] = frozenset()
+    hindi: frozenset[str] = frozenset()
+    firms: frozenset[str] = frozenset()
+    ways: frozenset[str] = frozenset()
+
+
 class Finder:
     """Yields the candidates of a text with the labelers' votes."""
 
-    def __init__(self, given: frozenset[str], surnames: frozenset[str], hindi: frozenset[str]) -> None:
-        self.given, self.surnames, self.hindi = given, surnames, hindi
+    def __init__(self, known: Known) -> None:
+        self.given, self.surnames, self.hindi, self.ways, self.firms = known.given, known.surnames, known.hindi, known.ways, known.firms - known.surnames
+        business = "|".join(map(re.escape, sorted(known.firms)))
+        self.firm_after = re.compile(rf"{_LEGAL_AFTER.pattern}|[\w .]*?(?:&|and)?\s*\w*\s*(?:{business})") if business else _LEGAL_AFTER
 
     def spans(self, text: str) -> Iterator[Span]:
         yield from self.emails(text)
@@ -188,6 +216,10 @@ class Finder:
             end = m.end() + (tail.end() if tail else 0)
             last = end
             yield Span("address", m.start(), end, (1, int(end > m.end()), 0, 1, 0, int(bool(re.match(r"\s+(?:depot|plant|works|office)\b", text[end:]))), 0))
+        for m in _NUMBERED.finditer(text):
+            if (way := m.group("way")) in self.ways or m.group("town"):
+                cue = bool(_PLACE_CUE.search(text[max(0, m.start() - 24) : m.start()]))
+                yield Span("address", *m.span(), (int(way in self.ways), int(bool(m.group("town"))), 0, int(cue), 0, int(not cue and way not in self.ways), 0))
 
     def names(self, text: str) -> Iterator[Span]:
         given, surnames = self.given, self.surnames
@@ -203,7 +235,8 @@ class Finder:
                 continue
             last = rest.group("last")
             after = text[rest.end() : rest.end() + 40]
-            firm = bool(_FIRM_AFTER.match(after)) and not re.match(r"\s*[,.;()]", after) and bool(re.match(r"\s+(?:&|[A-Z])", after)) or bool(re.match(r"\s*&", after)) or before.endswith("& ") or bool(re.match(r"\s+(?:LLP|Ltd|Limited|Inc|Trust|brand|marks?)\b", after))
+            firm = bool(self.firm_after.match(after)) and not re.match(r"\s*[,.;()]", after) and bool(re.match(r"\s+(?:&|[A-Z])", after)) or bool(re.match(r"\s*&", after)) or before.endswith("& ") or bool(re.match(r"\s+(?:LLP|Ltd|Limited|Inc|Trust|brand|marks?)\b", after))
+            firm = firm or last in self.firms
             case = bool(re.search(r"\bv\.?\s$", before)) or bool(re.match(r"\s+v\.?\s", after))
             yield Span("name", m.start(), rest.end(), (1, int(known), int(titled), int(bool(_CUED.search(before))), int(last in surnames or last.capitalize() in surnames), int(firm or case), 0))
         if text.isascii():
@@ -218,7 +251,13 @@ class Finder:
 
 
 def introduced(text: str) -> Iterator[tuple[str, str]]:
-    """("given" or "hindi", name) of each name in the plain text that stands after a title or cue."""
+    """("given" or "hindi", name) of each name in the plain text that stands after a title or cue, ("firm", word) of each
+    word before a legal form, ("way", word) of each last word of a street before a town."""
+    for m in _BUSINESS.finditer(text):
+        yield "firm", m.group(1)
+    for m in _NUMBERED.finditer(text):
+        if m.group("town") and _PLACE_CUE.search(text[max(0, m.start() - 24) : m.start()]):
+            yield "way", m.group("way")
     for m in _TITLED_NAME.finditer(text):
         yield "given", m.group(1)
     if not text.isascii() and _HINDI.search(text):
@@ -234,16 +273,16 @@ def followers(text: str, given: frozenset[str]) -> Iterator[tuple[str, str]]:
             yield "last", rest.group("last")
 
 
-def gazetteer(texts: list[str]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """Given names met after a title, the last names that follow them, and given names in Devanagari."""
+def gazetteer(texts: list[str]) -> Known:
+    """What is known from these texts alone."""
     names = Counter(name for text in texts for name in introduced(text))
-    given = frozenset(w for (kind, w), n in names.items() if kind == "given" and n >= LEAST_MET)
-    last = Counter(w for text in texts for _, w in followers(text, given))
-    return given, frozenset(w for w, n in last.items() if n >= LEAST_MET), frozenset(w for (kind, w), n in names.items() if kind == "hindi" and n >= LEAST_MET)
+    often = {kind: frozenset(w for (k, w), n in names.items() if k == kind and n >= LEAST_MET) for kind in ("given", "hindi", "firm", "way")}
+    last = Counter(w for text in texts for _, w in followers(text, often["given"]))
+    return Known(often["given"], frozenset(w for w, n in last.items() if n >= LEAST_MET), often["hindi"], often["firm"] - often["given"], often["way"])
 
 
-def corpus_gazetteer(rows: DataFrame) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """The same over all texts of (text), each distinct text once. Only names met LEAST_MET times reach the driver."""
+def corpus_gazetteer(rows: DataFrame) -> Known:
+    """The same over all texts of (text), each distinct text once. Only words met LEAST_MET times reach the driver."""
     hashed = rows.select("text", F.xxhash64("text").alias("key"))
 
     def names(find: Callable[[str], Iterator[tuple[str, str]]]) -> dict[str, frozenset[str]]:
@@ -260,7 +299,7 @@ def corpus_gazetteer(rows: DataFrame) -> tuple[frozenset[str], frozenset[str], f
     first = names(introduced)
     given = first.get("given", none)
     last = names(lambda text: followers(text, given)) if given else {}
-    return given, last.get("last", none), first.get("hindi", none)
+    return Known(given, last.get("last", none), first.get("hindi", none), first.get("firm", none) - given, first.get("way", none))
 
 
 def estimate(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -281,13 +320,41 @@ def estimate(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
     return p
 
 
-def classifier(votes: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 0.5) -> np.ndarray:
-    """Weights of a logistic regression on the votes, their pairs and a constant, fitted to the probabilities."""
-    x = design(votes)
-    w = np.zeros(x.shape[1])
+#: Buckets of the classifier's hashed features, and on how many candidates of a kind it is fitted at most.
+BUCKETS, CANDIDATES = 1 << 13, 8_000
+_SHAPES = ((re.compile(r"[A-ZÀ-Þ]+"), "A"), (re.compile(r"[a-zà-öø-ÿœ]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"\s+"), " "))
+
+
+def shape(text: str) -> str:
+    for pattern, to in _SHAPES:
+        text = pattern.sub(to, text)
+    return text
+
+
+def features(text: str, span: Span) -> tuple[int, ...]:
+    """Buckets of what the span and its surroundings look like: its shape, the letters its words begin and end with, the
+    words beside it, its length and place in the line. None of it is a labeler's vote."""
+    body, before, after = text[span.start : span.end], text[max(0, span.start - 40) : span.start], text[span.end : span.end + 24]
+    ahead = re.sub(r"\d", "0", before.lower()).split()
+    behind = re.sub(r"\d", "0", after).split()
+    words = body.split() or [""]
+    named = (
+        f"s{shape(body)[:24]}", f"n{min(len(body) // 4, 9)}", f"w{min(len(words), 6)}", f"b{ahead[-1] if ahead else ''}", f"c{' '.join(ahead[-2:])}", f"t{before[-1:]}",
+        f"a{behind[0].lower() if behind else ''}", f"d{shape(behind[0]) if behind else ''}", f"e{after[:1]}", f"x{words[0][-3:].lower()}", f"y{words[-1][-3:].lower()}", f"l{not before or before.rstrip(' ')[-1:] in chr(10)}",
+    )
+    return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in named)
+
+
+def classifier(votes: np.ndarray, seen: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a logistic regression on votes, their pairs and a constant, and on the buckets of `seen` (-1 is none), fitted to the probabilities."""
+    x, total = design(votes), weight.sum()
+    w, own = np.zeros(x.shape[1]), np.zeros(BUCKETS + 1)
     for _ in range(rounds):
-        w -= rate * (x.T @ (1 / (1 + np.exp(-x @ w)) - p) / len(p) + 1e-4 * w)
-    return w
+        error = weight * (1 / (1 + np.exp(-np.clip(x @ w + own[seen].sum(axis=1), -30, 30))) - p) / total
+        w -= rate * (x.T @ error + 1e-4 * w)
+        own -= rate * (np.bincount((seen % (BUCKETS + 1)).ravel(), np.repeat(error, seen.shape[1]), BUCKETS + 1) + 1e-3 * own)
+        own[-1] = 0.0
+    return w, own
 
 
 #: Candidates against which a labeler speaks, each counted as so many candidates that are no mention when the classifier
@@ -301,40 +368,45 @@ def design(votes: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(votes)), votes, *pairs]).astype(float)
 
 
-def fit(texts: list[str], names: tuple[frozenset[str], frozenset[str], frozenset[str]] | None = None) -> tuple[Finder, dict[str, np.ndarray]]:
-    """The finder with the given names (without any, those of the texts), and the classifiers fitted on the texts."""
+def fit(texts: list[str], known: Known | None = None) -> tuple[Known, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """What is known (if it isn't given, from these texts), and the classifiers fitted on the texts."""
     simple = [plain(t)[0] for t in texts]
-    finder = Finder(*(names or gazetteer(simple)))
-    votes: dict[str, list[tuple[int, ...]]] = {kind: [] for kind in KINDS}
+    known = known or gazetteer(simple)
+    finder = Finder(known)
+    found: dict[str, list[tuple[tuple[int, ...], tuple[int, ...]]]] = {kind: [] for kind in KINDS}
     for text in simple:
         for span in finder.spans(text):
-            votes[span.kind].append(span.votes)
+            if len(found[span.kind]) < CANDIDATES:
+                found[span.kind].append((span.votes, features(text, span)))
     weights = {}
-    for kind, rows in votes.items():
+    for kind, rows in found.items():
         if len(rows) >= 5:
-            table, known = np.array(rows), np.repeat(np.array(PRIOR), PRIOR_WEIGHT, axis=0)
-            chance = np.concatenate([estimate(table), np.full(len(known), 0.03)])
-            weights[kind] = classifier(np.concatenate([table, known]), chance)
+            votes, seen = np.array([v for v, _ in rows]), np.array([f for _, f in rows])
+            prior = np.array(PRIOR)
+            chance = np.concatenate([estimate(votes), np.full(len(prior), 0.03)])
+            weights[kind] = classifier(np.concatenate([votes, prior]), np.concatenate([seen, np.full((len(prior), seen.shape[1]), -1)]), chance, np.concatenate([np.ones(len(rows)), np.full(len(prior), float(PRIOR_WEIGHT))]))
         else:  # too few candidates to learn from: votes for count against votes against
-            weights[kind] = np.array([-0.5, 0.6, 0.6, 0.6, 0.6, 0.6, -3.0, -3.0, *[0.0] * 21])
-    return finder, weights
+            weights[kind] = np.array([-0.5, 0.6, 0.6, 0.6, 0.6, 0.6, -3.0, -3.0, *[0.0] * 21]), np.zeros(BUCKETS + 1)
+    return known, weights
 
 
 class Detector:
-    def __init__(self, finder: Finder, weights: dict[str, np.ndarray]) -> None:
-        self.finder, self.weights, self.memo = finder, weights, {}
+    def __init__(self, known: Known, weights: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.finder, self.memo = Finder(known), {}
+        self.weights = {kind: (w, own.tolist()) for kind, (w, own) in weights.items()}
 
-    def accepted(self, span: Span) -> bool:
+    def accepted(self, text: str, span: Span) -> bool:
         key = (span.kind, span.votes)
+        w, own = self.weights[span.kind]
         got = self.memo.get(key)
         if got is None:
-            got = self.memo[key] = bool(design(np.array([span.votes]))[0] @ self.weights[span.kind] > 0)
-        return got
+            got = self.memo[key] = float(design(np.array([span.votes]))[0] @ w)
+        return got + sum(own[f] for f in features(text, span)) > 0
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of the mentions in the text as it is; of overlapping ones the earlier and longer stays."""
         body, back = plain(text)
-        found = sorted((s.start, -s.end, s.kind) for s in self.finder.spans(body) if self.accepted(s))
+        found = sorted((s.start, -s.end, s.kind) for s in self.finder.spans(body) if self.accepted(body, s))
         out, last = [], 0
         for start, end, kind in found:
             if start >= last:
@@ -345,14 +417,8 @@ class Detector:
 
 def _detectors(rows: DataFrame, training: int) -> Callable[[], Detector]:
     # Names are counted over all texts. The sample is for the classifier; short texts (entities) would fill it.
-    finder, weights = fit(sorted(bounded_sample(rows.where(F.length("text") > 80), training)), corpus_gazetteer(rows))
-    shared = rows.sparkSession.sparkContext.broadcast((finder.given, finder.surnames, finder.hindi, weights))
-
-    def make() -> Detector:
-        given, surnames, hindi, learned = shared.value
-        return Detector(Finder(given, surnames, hindi), learned)
-
-    return make
+    shared = rows.sparkSession.sparkContext.broadcast(fit(sorted(bounded_sample(rows.where(F.length("text") > 80), training)), corpus_gazetteer(rows)))
+    return lambda: Detector(*shared.value)
 
 
 def mentions(rows: DataFrame, training: int = TRAINING_TEXTS) -> DataFrame:

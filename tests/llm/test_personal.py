@@ -54,7 +54,14 @@ def test_expectation_maximisation_separates():
     good, bad = [(1, 1, 1, 1, 1, 0, 0)] * 50, [(1, 0, 0, 1, 0, 1, 1)] * 50
     chance = p.estimate(np.array(good + bad))
     assert chance[:50].min() > 0.9 and chance[50:].max() < 0.1
-    assert ((p.design(np.array(good + bad)) @ p.classifier(np.array(good + bad), chance) > 0) == (chance > 0.5)).all()
+    none = np.full((100, 3), -1)
+    w, own = p.classifier(np.array(good + bad), none, chance, np.ones(100))
+    assert ((p.design(np.array(good + bad)) @ w > 0) == (chance > 0.5)).all() and not own.any()
+    # With the same votes all over, its own features tell what the labelers cannot.
+    same, seen = np.ones((100, 7), dtype=int), np.array([[1, 9, 9]] * 50 + [[2, 9, 9]] * 50)
+    w, own = p.classifier(same, seen, np.repeat([0.9, 0.1], 50), np.ones(100))
+    score = p.design(same) @ w + own[seen].sum(axis=1)
+    assert (score[:50] > 0).all() and (score[50:] < 0).all()
 
 
 def test_names_are_learned_from_all_texts(spark, monkeypatch):
@@ -63,9 +70,35 @@ def test_names_are_learned_from_all_texts(spark, monkeypatch):
     cues = ["Attn: Tobrin Askellan", "Mr. Tobrin Askellan of the mill", "The deed was Signed by Tobrin Q. Askellan on a day that all the parties to the lease had agreed on before."]
     bare = "Any notice may be left with Tobrin Askellan at the gate of the yard."
     rows = spark.createDataFrame([("f", k, t) for k, t in enumerate([*TRAIN, *cues, bare, bare, cues[0]])], "field string, row_id bigint, text string")
-    given, last, _ = p.corpus_gazetteer(rows)
+    given, last, *_ = p.corpus_gazetteer(rows)
     assert "Tobrin" in given and "Askellan" in last
     assert p.corpus_gazetteer(rows.where(~rows.text.startswith("Mr. T")))[0] == frozenset(GIVEN)
     got = [(r.kind, r.start_at) for r in p.mentions(rows).collect() if r.row_id == len(TRAIN) + len(cues)]
     assert got == [("name", bare.index("Tobrin"))]
     assert "[NAME] at the gate" in {r.row_id: r.text for r in p.masked(rows).collect()}[len(TRAIN) + len(cues)]
+
+
+HELD_WAYS = ["Crescent", "Mews", "Wharf", "Parade"]
+HELD_GIVEN = ["Ilvane", "Tobrin", "Selka", "Marrod"]
+HELD_FIRMS = ["Tanneries", "Foundries", "Granaries"]
+
+
+def test_streets_firms_and_names_that_are_in_no_list(spark):
+    """All are learned from the corpus by their context; the mentions that are scored stand in other wording."""
+    cities = ["Orlburg", "Calville", "Fenhalli", "Silport", "Brindor"]
+    known = [f"The tenant Mr. {g} Askellan resides at {n + 3} {c} {w}, {c} - 4000{n} and {n}2, and the deed of lot {n} stays there." for w, g in zip(HELD_WAYS, HELD_GIVEN, strict=True) for n, c in enumerate(cities)]
+    known += [f"The lessor {c} {f} Limited keeps all records of lot {n} at its own cost for the whole of the term." for f in HELD_FIRMS for n, c in enumerate(cities)]
+    known += [f"Within {n + 10} Business Days of the notice the lessee of lot {n} shall pay all of it to the lessor without any delay." for n in range(30)]
+    want, none = {}, []
+    for k, (w, g) in enumerate(zip(HELD_WAYS, HELD_GIVEN, strict=True)):
+        for city in ("Elmwick", "Rosbrook"):
+            text = f"Any notice is left with {g} {city}son at {k + 20} {city} {w}."
+            want[text] = {("name", text.index(g)), ("address", text.index(f"{k + 20} {city}"))}
+    none += [f"The yard of {g} {f} stays shut on 14 Working Days of the year." for g, f in zip(HELD_GIVEN, HELD_FIRMS, strict=False)]
+    texts = [*known, *TRAIN, *want, *none]
+    got = {}
+    for r in p.mentions(spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "field string, row_id bigint, text string")).collect():
+        got.setdefault(texts[r.row_id], set()).add((r.kind, r.start_at))
+    right = sum(len(got.get(t, set()) & m) for t, m in want.items())
+    found = sum(len(got.get(t, set())) for t in [*want, *none])
+    assert 2 * right / (found + sum(map(len, want.values()))) >= 0.9
