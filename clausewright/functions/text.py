@@ -103,7 +103,7 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
 def supported(text: Column, source: Column, allowed: Column, note: Column) -> Column:
     """Whether a rephrased text invents nothing: its length is in bounds, each section it names is among the allowed
     ones, and each number of two or more digits occurs in the source, as written or by its digits."""
-    sections = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(section\s+\d+[A-Za-z]*)"), 1)
+    sections = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(section\s+\d+[A-Za-z]?)"), 1)
     numbers = F.regexp_extract_all(text, F.lit(r"(\d[\d,./-]*)"), 1)
     lowered = F.lower(source)
     spaced = F.regexp_replace(lowered, r"[^\d]", " ")

@@ -69,11 +69,11 @@ BLOCK_LABELS = 10_000
 
 
 def nearest_centroid(items: DataFrame, centres: DataFrame, key: str, vector: str = "embedding", least: float = fixed.CENTROID_LEAST, margin: float = fixed.CENTROID_MARGIN) -> DataFrame:
-    """(key, best, score, runner_up, second_score, accepted): the two nearest centroids of each item.
+    """(key, best, score, confidence, runner_up, second_score, accepted): the two nearest centroids of each item.
 
     The labels are the stated set that every item is held against, in blocks that are broadcast one by one; of each
-    block an item keeps its two best. Accepted are scores of at least `least` that lead by `margin`. Ties go to the
-    lesser label.
+    block an item keeps its two best. Accepted are scores of at least `least` that lead by `margin`; confidence is the
+    score, but not below zero, accepted or not. Ties go to the lesser label.
     """
     blocks = max(1, -(-centres.count() // BLOCK_LABELS))
     items = items.where(F.col(vector).isNotNull()).select(key, vector)
@@ -89,7 +89,7 @@ def nearest_centroid(items: DataFrame, centres: DataFrame, key: str, vector: str
         scored = functools.reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, 2).alias("r"))
     best, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
     score, lead = -best["less"], F.coalesce(-best["less"] + second["less"], F.lit(float("inf")))
-    return scored.select(key, best["label"].alias("best"), score.alias("score"), second["label"].alias("runner_up"), (-second["less"]).alias("second_score"), ((score >= least) & (lead >= margin)).alias("accepted"))
+    return scored.select(key, best["label"].alias("best"), score.alias("score"), F.greatest(F.lit(0.0), score).alias("confidence"), second["label"].alias("runner_up"), (-second["less"]).alias("second_score"), ((score >= least) & (lead >= margin)).alias("accepted"))
 
 
 def ensemble(cosines: DataFrame, keywords: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausewright.functions import fixed, text
 from clausewright.functions import vectors as V
@@ -11,6 +12,8 @@ from clausewright.operators import audit, classify, entities, library, notes, re
 from clausewright.sources import files, reports
 from clausewright.sources.tables import table
 
+#: Letters whose counts stand in for an encoder's vector.
+LETTERS = "aehinorstd"
 #: Rules and required types of the example queries; the engine itself has none built in.
 RULES = [
     rules.Rule("RENEWAL", r"automatically|each anniversary", None, "LOW", "renews-by-itself"),
@@ -25,8 +28,9 @@ CASES = [
 
 
 def contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct (contract_id, text); repeated deliveries count once."""
-    return table(spark, folder, "contract_docs").select("contract_id", F.col("clean_text").alias("text")).where(F.col("text").isNotNull()).distinct()
+    """(contract_id, text) of every delivery. Work on the texts runs in the scan's stage; what repeated deliveries give
+    is reduced in the results, so that whole texts are not shuffled only to find repetitions."""
+    return table(spark, folder, "contract_docs").select("contract_id", F.col("clean_text").alias("text")).where(F.col("text").isNotNull())
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,15 +61,15 @@ def clause_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paragraph_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.paragraphs(contracts(spark, folder), "contract_id")
+    return segment.paragraphs(contracts(spark, folder), "contract_id").distinct()
 
 
 def clause_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.segment(contracts(spark, folder), "contract_id").drop("clause_no")
+    return segment.segment(contracts(spark, folder), "contract_id").drop("clause_no").distinct()
 
 
 def rule_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.sentences(contracts(spark, folder), "contract_id")
+    return segment.sentences(contracts(spark, folder), "contract_id").distinct()
 
 
 def classified_clauses(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,11 +80,11 @@ def classified_clauses(spark: SparkSession, folder: str) -> DataFrame:
 def segmented_and_classified(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: contract text to clauses to types, in the scan's stage."""
     typed = classify.classify_by_cues(segment.segment(contracts(spark, folder), "contract_id"))
-    return typed.select("contract_id", "clause_id", "assigned_type", F.round("confidence", 6).alias("confidence"), "runner_up")
+    return typed.select("contract_id", "clause_id", "assigned_type", F.round("confidence", 6).alias("confidence"), "runner_up").distinct()
 
 
 def extracted_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return entities.entities(contracts(spark, folder), "contract_id")
+    return entities.entities(contracts(spark, folder), "contract_id").distinct()
 
 
 #: Rules that SQL can repeat (no lookahead in its patterns).
@@ -88,7 +92,7 @@ PLAIN_RULES = tuple(r for r in fixed.ENTITY_RULES if "(?=" not in r[1])
 
 
 def entity_values(spark: SparkSession, folder: str) -> DataFrame:
-    return entities.entities(contracts(spark, folder), "contract_id", rules=PLAIN_RULES).select("contract_id", "entity_type", "text")
+    return entities.entities(contracts(spark, folder), "contract_id", rules=PLAIN_RULES).select("contract_id", "entity_type", "text").distinct()
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,25 +123,53 @@ def nearest_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Every twentieth vector against all vectors: the three nearest others."""
-    from pyspark.sql.window import Window
+    """Every twentieth vector against all vectors: the three nearest others. The queries are the stated set; each of them
+    meets the vectors in blocks and keeps its eight best, itself included, before anything is shuffled."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("v")).where(F.col("v").isNotNull())
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("ord"), F.col("v").alias("embedding"))
+    near = retrieval.best_matches(vectors.select(F.col("vec_id"), F.col("v").alias("embedding")), queries, "vec_id", most=8)
+    ranked = near.where("ord <> vec_id").withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where("rank <= 3").select(F.col("ord").alias("query_id"), "rank", "vec_id", "score")
 
-    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    queries = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    pairs = vectors.join(F.broadcast(queries)).select("vec_id", "embedding", F.explode("qs").alias("one")).where("vec_id <> one.query_id")
-    scored = pairs.select(F.col("one.query_id").alias("query_id"), "vec_id", F.round(V.dot(F.col("embedding"), F.col("one.q")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where("rank <= 3").select("query_id", "rank", "vec_id", "score")
+
+def text_vectors(rows: DataFrame, key: str, body: str = "text") -> DataFrame:
+    """(key, embedding) by a stand-in for an encoder: the counts of some letters, of length one."""
+    lowered = F.lower(F.coalesce(F.col(body), F.lit("")))
+    counts = F.array(*((F.length(lowered) - F.length(F.replace(lowered, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    return rows.select(key, V.unit(counts).alias("embedding"))
+
+
+def provision_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return text_vectors(corpus(spark, folder), "ord", "search_text")
+
+
+def vector_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The five provisions whose vectors are nearest to each clause's."""
+    rows = clauses(spark, folder).where(F.col("text").isNotNull())
+    scores = retrieval.cosine_scores(text_vectors(rows, "clause_uid"), provision_vectors(spark, folder), "clause_uid")
+    rounded = scores.select("clause_uid", "ord", F.round("score", 6).alias("score"))
+    ranked = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("clause_uid").orderBy(F.desc("score"), "ord")))
+    return ranked.where("rank <= 5").select("clause_uid", "rank", "ord", "score")
+
+
+def hybrid_grounding(spark: SparkSession, folder: str) -> DataFrame:
+    """Provisions by keywords, vectors and tags together."""
+    rows, held = clauses(spark, folder), corpus(spark, folder)
+    told = rows.where(F.col("text").isNotNull())
+    by_vectors = retrieval.cosine_scores(text_vectors(told, "clause_uid"), provision_vectors(spark, folder), "clause_uid")
+    found = retrieval.ground(rows, held, retrieval.bm25(told, held, "clause_uid"), "clause_uid", "clause_type", by_vectors)
+    return found.select("clause_uid", "rank", "ord", F.round("score", 6).alias("score"), "method")
 
 
 def ensemble_types(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    centres = classify.centroids(vectors)
-    held = centres.agg(F.collect_list(F.struct("label", "centroid")).alias("c"))
-    cosines = vectors.join(F.broadcast(held)).select("vec_id", "embedding", F.explode("c").alias("one")).select("vec_id", F.col("one.label").cast("string").alias("type"), F.round(V.dot(F.col("embedding"), F.col("one.centroid")), 9).alias("cosine"))
-    keywords = vectors.select("vec_id", F.col("label").cast("string").alias("type"), (1 + F.col("vec_id") % 5).cast("double").alias("score"))
-    return classify.ensemble(cosines, keywords, "vec_id").withColumn("confidence", F.round("confidence", 6))
+    """Clause types by the cosine to the mean vector of each type's cues and by the cues' scores."""
+    rows = clauses(spark, folder).where(F.col("text").isNotNull())
+    cues = spark.createDataFrame([(kind, cue) for kind, weighted in fixed.CUES.items() for cue, _ in weighted], "label string, text string")
+    centres = classify.centroids(text_vectors(cues, "label"))
+    held = centres.select(F.col("label").alias("ord"), F.col("centroid").alias("embedding"))
+    cosines = retrieval.cosine_scores(text_vectors(rows, "clause_uid"), held, "clause_uid").select("clause_uid", F.col("ord").alias("type"), F.round("score", 9).alias("cosine"))
+    keywords = rows.select("clause_uid", F.explode(classify.cue_scores(F.lower("text"))).alias("s")).select("clause_uid", F.col("s.type").alias("type"), (-F.col("s.less")).alias("score"))
+    return classify.ensemble(cosines, keywords, "clause_uid").withColumn("confidence", F.round("confidence", 6))
 
 
 def clause_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,6 +305,8 @@ QUERIES = {
     "nearest_labels": nearest_labels,
     "vector_matches": vector_matches,
     "ensemble_types": ensemble_types,
+    "vector_scores": vector_scores,
+    "hybrid_grounding": hybrid_grounding,
     "clause_flags": clause_flags,
     "clause_notes": clause_notes,
     "missing_clause_types": missing_clause_types,

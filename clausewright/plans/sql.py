@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clausewright.functions import fixed
-from clausewright.plans.queries import CASES, PLAIN_RULES, REQUIRED, RULES
+from clausewright.plans.queries import CASES, LETTERS, PLAIN_RULES, REQUIRED, RULES
 
 
 def quoted(value: str) -> str:
@@ -91,6 +91,19 @@ BM25 = (
 )
 
 
+def vectors(name: str, source: str, key: str, body: str) -> str:
+    """A relation (key, v) of the vectors that stand in for an encoder's."""
+    counts = ", ".join(f"cast(length(lower(coalesce({body}, ''))) - length(replace(lower(coalesce({body}, '')), '{c}', '')) as double)" for c in LETTERS)
+    return (
+        f"{name}_raw as (select {key}, [{counts}] as r from {source}), "
+        f"{name} as (select {key}, case when list_dot_product(r, r) = 0 then r else list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) end as v from {name}_raw)"
+    )
+
+
+CUE_ROWS = ", ".join(f"({quoted(kind)}, {quoted(cue)})" for kind, weighted in fixed.CUES.items() for cue, _ in weighted)
+BY_VECTOR = f"{vectors('qv', 'own', 'clause_uid', 'text')}, {vectors('pv', 'provisions', 'ord', SEARCH)}, by_vector as (select qv.clause_uid, pv.ord, list_dot_product(qv.v, pv.v) as emb from qv join own on own.clause_uid = qv.clause_uid cross join pv where own.text is not null)"
+
+
 def entity_rows() -> str:
     parts = []
     for order, (kind, pattern, group, loose) in enumerate(PLAIN_RULES):
@@ -130,7 +143,7 @@ def supported(source: str) -> str:
     digits = "regexp_replace(n, '[^\\d]', '', 'g')"
     return (
         f"length(p.summary) >= 40 and length(p.summary) <= greatest(700, floor(length(p.heading) * 3 / 2) + 200) "
-        f"and len(list_filter(regexp_extract_all(p.summary, '(?i)\\bsection\\s+\\d+[A-Za-z]*'), lambda s: not contains(lower(p.provision), lower(s)))) = 0 "
+        f"and len(list_filter(regexp_extract_all(p.summary, '(?i)\\bsection\\s+\\d+[A-Za-z]?'), lambda s: not contains(lower(p.provision), lower(s)))) = 0 "
         f"and len(list_filter({numbers}, lambda n: length({digits}) >= 2 and not contains({lowered}, lower(n)) and not contains(regexp_replace({lowered}, '[^\\d]', ' ', 'g'), {digits}))) = 0"
     )
 
@@ -191,8 +204,20 @@ SQL = {
         "ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 3"
     ),
     "ensemble_types": (
-        f"with {COSINES}, valued as (select c.vec_id, cast(c.label as varchar) as type, 0.6 * round(c.score, 9) + case when e.label = c.label then 0.4 else 0.0 end as value from cosines c join embeddings e on c.vec_id = e.vec_id), "
-        "ranked as (select *, row_number() over (partition by vec_id order by value desc, type) as n from valued) select a.vec_id, case when a.value >= 0.42 then a.type else 'UNCLASSIFIED' end as assigned_type, round(greatest(0.0, a.value), 6) as confidence, case when a.value >= 0.42 then b.type else a.type end as runner_up from ranked a left join ranked b on a.vec_id = b.vec_id and b.n = 2 where a.n = 1"
+        f"with {CLAUSES}, rows as (select clause_uid, text, lower(text) as l from own where text is not null), {vectors('rv', 'rows', 'clause_uid', 'text')}, cues(label, text) as (values {CUE_ROWS}), {vectors('cv', 'cues', 'label', 'text')}, "
+        "parts as (select label, unnest(v) as x, generate_subscripts(v, 1) as pos from cv), means as (select label, pos, avg(x) as x from parts group by label, pos), "
+        "centres as (select label, case when sqrt(sum(x * x) over (partition by label)) = 0 then x else x / sqrt(sum(x * x) over (partition by label)) end as x, pos from means), held as (select label, list(x order by pos) as v from centres group by label), "
+        f"cosines as (select clause_uid, label as type, round(list_dot_product(rv.v, held.v), 9) as cosine from rv cross join held), cued as (select clause_uid, unnest({ranked_types('l')}) as s from rows), keyed as (select clause_uid, s.type as type, -s.less as score, max(-s.less) over (partition by clause_uid) as most from cued), "
+        "valued as (select c.clause_uid, c.type, 0.6 * cosine + 0.4 * coalesce(score, 0.0) / coalesce(most, 1.0) as value from cosines c left join keyed k on c.clause_uid = k.clause_uid and c.type = k.type), "
+        "ranked as (select *, row_number() over (partition by clause_uid order by value desc, type) as n from valued) select a.clause_uid, case when a.value >= 0.42 then a.type else 'UNCLASSIFIED' end as assigned_type, round(greatest(0.0, a.value), 6) as confidence, case when a.value >= 0.42 then b.type else a.type end as runner_up from ranked a left join ranked b on a.clause_uid = b.clause_uid and b.n = 2 where a.n = 1"
+    ),
+    "vector_scores": f"with {CLAUSES}, {BY_VECTOR}, ranked as (select clause_uid, ord, round(emb, 6) as score, row_number() over (partition by clause_uid order by round(emb, 6) desc, ord) as rank from by_vector) select clause_uid, cast(rank as int) as rank, ord, score from ranked where rank <= 5",
+    "hybrid_grounding": (
+        f"with {CLAUSES}, {BM25}, {BY_VECTOR}, dense as (select o.clause_uid, o.clause_type, o.text, c.ord, c.clause_types, coalesce(s.score, 0.0) as bm, coalesce(e.emb, 0.0) as emb from own o cross join corpus c left join scores s on s.clause_uid = o.clause_uid and s.ord = c.ord left join by_vector e on e.clause_uid = o.clause_uid and e.ord = c.ord), "
+        "bounds as (select *, min(bm) over w as low, max(bm) over w as high, min(emb) over w as least, max(emb) over w as most from dense window w as (partition by clause_uid)), "
+        "fused as (select clause_uid, ord, text, round(0.45 * case when high - low <= 1e-9 then 0.0 else (bm - low) / (high - low) end + 0.30 * case when most - least <= 1e-9 then 0.0 else (emb - least) / (most - least) end + case when clause_type is not null and clause_type <> 'UNCLASSIFIED' and list_contains(clause_types, clause_type) then 0.55 else 0.0 end, 12) as value from bounds), "
+        "kept as (select clause_uid, ord, least(1.0, value) as score, row_number() over (partition by clause_uid order by least(1.0, value) desc, ord) as rank from fused where value >= 0.30 and trim(coalesce(text, '')) <> '') "
+        "select clause_uid, cast(rank as int) as rank, ord, round(score, 6) as score, 'hybrid' as method from kept where rank <= 3"
     ),
     "clause_flags": f"with {CLAUSES} {_flag_rows('clause_uid')}",
     "missing_clause_types": f"with {CLAUSES}, required(type, severity, category) as (values {REQUIRED_ROWS}), docs as (select distinct contract_id from own) select d.contract_id, r.type, r.severity, r.category from docs d cross join required r where not exists (select 1 from own o where o.contract_id = d.contract_id and o.clause_type = r.type)",

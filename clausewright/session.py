@@ -13,8 +13,8 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the plans are written for."""
-    return (
+    """A local session with the settings the plans are written for; its workers can import this package."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,16 +24,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where the cluster names none."""
+    """The shared folder for checkpoints that the cluster names. Only a local session that names none gets a temporary
+    one, which is removed at its end; on a cluster that is an error."""
+    context = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir().isDefined():
+        return named or context.getCheckpointDir().get()
     if named is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
     return named
 
 
