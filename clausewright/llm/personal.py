@@ -34,33 +34,36 @@ _HIDDEN = frozenset(_expanded(INVISIBLE))
 _BLANKS = frozenset(_expanded(SPACES))
 _ODD = re.compile("[" + "".join(sorted(map(re.escape, {ch for ch in (*_HIDDEN, *_BLANKS) if ch <= "\uffff"}))) + "０-９Ａ-Ｚａ-ｚﬀ-ﬆ̀-ͯͰ-ϿЀ-ԯԱ-֏]")
 _STYLED = re.compile("[\U0001d400-\U0001d7ff]")
+#: Characters that never change, as runs; any other alone.
+_STRETCH = re.compile("(?P<same>[\x00-\x9f\xa1-\xac\xae-\u02ff\u0900-\u109f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff]+)|.", re.DOTALL)
 
 
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The text in plain characters, and the position of each in the text; no map if nothing changed."""
     if text.isascii() or not (_ODD.search(text) or _STYLED.search(text)):
         return text, None
-    out, places = [], []
-    for at, ch in enumerate(text):
+    flat, back = [], []
+    for m in _STRETCH.finditer(text):
+        at, end = m.span()
+        if m.lastgroup:  # characters that stay as they are
+            flat += (text[at : end - 1], text[end - 1])
+            back += range(at, end)
+            continue
+        ch = text[at]
         if ch in _HIDDEN:
             continue
+        form = ch
         if ch in _BLANKS:
             form = " "
-        elif "̀" <= ch <= "ͯ" and out:
-            joined = unicodedata.normalize("NFC", out[-1] + ch)
+        elif "̀" <= ch <= "ͯ" and flat:
+            joined = unicodedata.normalize("NFC", flat[-1] + ch)
             if len(joined) == 1:
-                out[-1] = joined
+                flat[-1] = joined
             continue
-        elif ch in LOOKALIKES and (out and out[-1].isascii() and out[-1].isalpha() or text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].isalpha()):
+        elif ch in LOOKALIKES and (flat and flat[-1].isascii() and flat[-1].isalpha() or text[end : end + 1].isascii() and text[end : end + 1].isalpha()):
             form = LOOKALIKES[ch]
         elif ch > "˿" and unicodedata.decomposition(ch)[:6] in ("<wide>", "<font>", "<compa"):
             form = unicodedata.normalize("NFKC", ch)
-        else:
-            form = ch
-        out.append(form[:1] if len(form) <= 1 else form)
-        places.append(at)
-    flat, back = [], []
-    for form, at in zip(out, places, strict=True):
         flat.append(form)
         back += [at] * len(form)
     return "".join(flat), back
@@ -87,7 +90,8 @@ _LEGAL = r"(?:Private Limited|Pvt\.? Ltd|Limited|Ltd|LLP|LLC|Inc|Corporation|Com
 _THING = r"(?:Area|brand|marks?\b|works\b|plant|licence|depot|programme|Road|Street|Avenue|Lane)"
 _LEGAL_AFTER = re.compile(rf"[\w .]*?(?:&|and)?\s*\w*\s*(?:{_LEGAL}|{_THING})")
 #: The word before a legal form; a kind of firm if it is met so often.
-_BUSINESS = re.compile(rf"([A-Z][a-z]+)\s+(?={_LEGAL}\b)")
+_LEGAL_WORD, _LEGAL_WHOLE = re.compile(r"[PLICTFS](?<=\s.)[a-zL][a-zPC]"), re.compile(rf"{_LEGAL}\b")
+_BUSINESS = re.compile(r"([A-Z][a-z]+)\s+$")
 _PART = r"[A-ZÀ-Þ][a-zà-öø-ÿœ]+(?:['’-][A-ZÀ-Þ][a-zà-öø-ÿœ]+)?"
 _REST = rf"(?:\s+(?:[A-Z]\.\s*)+|\s+(?:van|de|von|del|da|bin|al)(?:\s+(?:der|la|den))?)?\s*{_PART}"
 _SURNAME = re.compile(rf"(?:\s+(?:[A-ZÀ-Þ]\.\s?)+|\s+(?:van|de|von|del|da|bin|al)(?:\s+(?:der|la|den))?)?\s+(?P<last>{_PART}|[A-ZÀ-Þ]{{3,}})(?![\w@])")
@@ -128,7 +132,7 @@ ADDRESS = re.compile(
     rf"|[A-ZÀ-Þ][a-zà-öø-ÿ]+(?:stra(?:{_SHARP})e|weg|platz|gasse|allee|damm)\s+\d+[a-z]?)"
 )
 #: A number and a name of several words, whatever the last one is.
-_NUMBERED = re.compile(rf"(?<![/.,\d-])\d{{1,4}}[A-Z]?(?:[/-]\d+)*,?\s+{_PART}(?:\s+{_PART})?\s+(?P<way>[A-Z][a-z]{{2,}})(?P<town>,\s+{_CITY}(?:\s+-?\s*\d{{3}}\s?\d{{3}}|,\s+\d{{5}})?)?(?=[,\s.;)]|$)")
+_NUMBERED = re.compile(rf"[0-9](?<![/.,\d-].)\d{{0,3}}[A-Z]?(?:[/-]\d+)*,?\s+{_PART}(?:\s+{_PART})?\s+(?P<way>[A-Z][a-z]{{2,}})(?P<town>,\s+{_CITY}(?:\s+-?\s*\d{{3}}\s?\d{{3}}|,\s+\d{{5}})?)?(?=[,\s.;)]|$)")
 _ADDRESS_START = re.compile(r"[FAUSDPHC](?:(?:lat|pt|nit|uite|oor|lot|ouse|hop|\.\s?No|No|alle|venida|laza|aseo|amino|arrera)(?=[.\s]))|[0-9](?<![/.,0-9-].)[0-9A-Z/-]*(?:\s+(?:bis|ter))?,?\s+(?=[A-Zra-c])")
 _STREET_END = re.compile(rf"[swpgad](?:tra(?:{_SHARP})e|eg|latz|asse|llee|amm)\s+\d")
 _PLACE_CUE = re.compile(r"(?:\bat|\bof|address(?:ed)?(?: is| to)?|reside[sd]?(?: at)?|residing at|resident of|house|home|live[sd]?(?: at)?)[\s:]*$", re.IGNORECASE)
@@ -253,8 +257,9 @@ class Finder:
 def introduced(text: str) -> Iterator[tuple[str, str]]:
     """("given" or "hindi", name) of each name in the plain text that stands after a title or cue, ("firm", word) of each
     word before a legal form, ("way", word) of each last word of a street before a town."""
-    for m in _BUSINESS.finditer(text):
-        yield "firm", m.group(1)
+    for m in _LEGAL_WORD.finditer(text):
+        if _LEGAL_WHOLE.match(text, m.start()) and (before := _BUSINESS.search(text[max(0, m.start() - 30) : m.start()])):
+            yield "firm", before.group(1)
     for m in _NUMBERED.finditer(text):
         if m.group("town") and _PLACE_CUE.search(text[max(0, m.start() - 24) : m.start()]):
             yield "way", m.group("way")
@@ -322,6 +327,8 @@ def estimate(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
 
 #: Buckets of the classifier's hashed features, and on how many candidates of a kind it is fitted at most.
 BUCKETS, CANDIDATES = 1 << 13, 8_000
+#: How many features of its own a span has.
+OWN = 12
 _SHAPES = ((re.compile(r"[A-ZÀ-Þ]+"), "A"), (re.compile(r"[a-zà-öø-ÿœ]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"\s+"), " "))
 
 
@@ -394,6 +401,8 @@ class Detector:
     def __init__(self, known: Known, weights: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.finder, self.memo = Finder(known), {}
         self.weights = {kind: (w, own.tolist()) for kind, (w, own) in weights.items()}
+        #: The least and the most that a span's own features can add; where the votes decide alone they need no look.
+        self.reach = {kind: (np.sort(own)[:OWN].clip(max=0).sum(), np.sort(own)[-OWN:].clip(min=0).sum()) for kind, (_, own) in weights.items()}
 
     def accepted(self, text: str, span: Span) -> bool:
         key = (span.kind, span.votes)
@@ -401,7 +410,8 @@ class Detector:
         got = self.memo.get(key)
         if got is None:
             got = self.memo[key] = float(design(np.array([span.votes]))[0] @ w)
-        return got + sum(own[f] for f in features(text, span)) > 0
+        low, high = self.reach[span.kind]
+        return got + low > 0 or got + high > 0 and got + sum(own[f] for f in features(text, span)) > 0
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of the mentions in the text as it is; of overlapping ones the earlier and longer stays."""
