@@ -1,4 +1,4 @@
-"""Analyses the documents under a path: `python -m clausewright PATH [--json] [--provisions FILE] [--out FOLDER]`."""
+"""Analyses the documents under a path: `python -m clausewright PATH [--json] [--provisions FILE] [--out FOLDER]`, or audits cases."""
 
 from __future__ import annotations
 
@@ -14,8 +14,12 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("path", nargs="?")
     parser.add_argument("--json", action="store_true", help="one JSON document each instead of plain text")
     parser.add_argument("--provisions", help="a JSON corpus of provisions to rank for each clause")
+    parser.add_argument("--explanations", help="a JSON object of notes by clause type")
     parser.add_argument("--out", help="write the reports under this folder instead of printing them")
     parser.add_argument("--threads", default="*", help="local threads")
+    parser.add_argument("--models", help="the folder of model files")
+    parser.add_argument("--no-model", action="store_true", help="do without a model even where one lies")
+    parser.add_argument("--audit", metavar="CASES", help="audit a JSON list of cases; 1 if an exchange of words changes an analysis")
     parser.add_argument("--check", action="store_true", help="say which optional libraries are there")
     try:
         given = parser.parse_args(args)
@@ -24,8 +28,13 @@ def main(args: list[str] | None = None) -> int:
     if given.check:
         from clausewright.runtime import probe
 
+        from clausewright.runtime import model_file, model_folder
+
         print("\n".join(f"{k}: {v}" for k, v in probe().items()))
+        print(f"model: {None if given.no_model else model_file(model_folder(given.models))}")
         return 0
+    if given.audit:
+        return _audit(given.audit, given.threads)
     if not given.path:
         parser.print_usage(sys.stderr)
         return 2
@@ -34,13 +43,17 @@ def main(args: list[str] | None = None) -> int:
     from clausewright.sources import files, reports
 
     spark = local_session(given.threads)
-    read = files.pages(files.read_files(spark, given.path))
-    bad = read.where("error is not null").select("path", "error").collect()
-    for path, error in bad:
+    # Every file is parsed once; errors and each of the report's parts read the parsed pages.
+    read = files.pages(files.read_files(spark, given.path)).persist()
+    bad = 0
+    for path, error in read.where("error is not null").select("path", "error").toLocalIterator():
         print(f"{path}: {error}", file=sys.stderr)
+        bad += 1
     pages = read.where("error is null").select(F.col("path").alias("doc_id"), "page_no", "text")
-    result = analyse(pages, files.provisions(spark, given.provisions) if given.provisions else None)
-    made = (reports.json_reports if given.json else reports.text_reports)(result.documents, result.clauses, result.entities)
+    law = files.provisions(spark, given.provisions) if given.provisions else None
+    told = files.explanations(spark, given.explanations) if given.explanations else None
+    result = analyse(pages, law, explanations=told)
+    made = (reports.json_reports if given.json else reports.text_reports)(result, law)
     if given.out:
         made.write.mode("overwrite").json(given.out)
     else:
@@ -49,5 +62,19 @@ def main(args: list[str] | None = None) -> int:
     return int(bool(bad))
 
 
+def _audit(path: str, threads: str) -> int:
+    """Prints how many cases are stable and what changed; 1 if any did."""
+    from clausewright.operators import audit, classify
+    from clausewright.session import local_session
+    from clausewright.sources import files
+
+    results = audit.audit(files.cases(local_session(threads), path), lambda texts: audit.signals(texts, classify.classify_by_cues)).persist()
+    total = audit.summary(results).head()
+    print(total["line"])
+    for row in audit.report(results).orderBy("name").toLocalIterator():
+        print(row["line"])
+    return int(not total["all_stable"])
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -72,6 +72,14 @@ PARTY_LEAD = r"^(?:for|by|between|name|title|director|designated partner|authori
 PARTY_TAIL = r"\s+(?:name|title|for)\s+.*$"
 LONGEST_ENTITY, LONGEST_PARTY_WORDS = 120, 8
 
+#: What stands before the headline of a note that explains a clause, and of a note on a flag of each severity.
+EXPLAINS = "What this clause does: "
+NOTE_PREFIX = {"HIGH": "High-priority point: ", "MEDIUM": "Worth checking: ", "LOW": "Minor note: "}
+#: Characters of the clause, of the note and of each provision's note that a rephrasing stage is given.
+REPHRASE_CLAUSE, REPHRASE_NOTE, REPHRASE_STATUTE = 700, 500, 180
+#: Confidence below this is shown as low.
+LOW_CONFIDENCE = 0.6
+
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 UPLOAD_EXTENSIONS = ("docx", "pdf", "txt")
 UPLOAD_BYTES = 25 * 1024 * 1024

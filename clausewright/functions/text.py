@@ -115,3 +115,13 @@ def supported(text: Column, source: Column, allowed: Column, note: Column) -> Co
         & F.forall(sections, lambda s: F.contains(F.lower(allowed), F.lower(s)))
         & F.forall(numbers, lambda n: (F.length(digits(n)) < 2) | F.contains(lowered, F.lower(n)) | F.contains(spaced, digits(n)))
     )
+
+
+def clamped(confidence: Column) -> Column:
+    """A confidence as a bar shows it: within 0 and 1; null counts as 0."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.0))))
+
+
+def is_low(confidence: Column) -> Column:
+    """Whether a confidence is marked as low; null is."""
+    return F.coalesce(confidence, F.lit(0.0)) < fixed.LOW_CONFIDENCE

@@ -45,3 +45,28 @@ def report(results: DataFrame) -> DataFrame:
     shown = F.when(~F.col("stable"), F.concat(F.col("variant"), F.lit(" +["), F.array_join("added", ", "), F.lit("] -["), F.array_join("removed", ", "), F.lit("]")))
     each = results.groupBy("name").agg(F.bool_and("stable").alias("stable"), F.array_sort(F.collect_list(shown)).alias("changes"))
     return each.select("name", F.concat(F.col("name"), F.lit(": "), F.when(F.col("stable"), "STABLE").otherwise(F.concat(F.lit("CHANGED "), F.array_join("changes", "; ")))).alias("line"))
+
+
+def signals(texts: DataFrame, typed: Callable[[DataFrame], DataFrame], flagged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(name, variant, signal): the types of the clauses of each text, but for the unclassified, and the categories of the
+    flags on its clauses. What is said of a document as a whole is no signal.
+
+    texts: (name, variant, text). typed adds assigned_type to its clauses (name, variant, text, type), flagged makes
+    (name, variant, category) of them.
+    """
+    from clausewright.functions import fixed
+    from clausewright.operators import segment
+
+    keyed = texts.withColumn("doc", F.struct("name", "variant")).withColumn("doc", F.to_json("doc"))
+    clauses = typed(segment.segment(keyed, "doc").join(keyed.select("doc", "name", "variant"), "doc"))
+    found = clauses.where(F.col("assigned_type") != fixed.UNCLASSIFIED).select("name", "variant", F.concat(F.lit("clause:"), F.col("assigned_type")).alias("signal"))
+    if flagged:
+        found = found.unionByName(flagged(clauses).select("name", "variant", F.concat(F.lit("risk:"), F.col("category")).alias("signal")))
+    return found
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """(stable, total, all_stable, line): how many cases no exchange changed."""
+    each = results.groupBy("name").agg(F.bool_and("stable").alias("stable"))
+    counted = each.agg(F.count_if("stable").alias("stable"), F.count("*").alias("total"))
+    return counted.select("stable", "total", (F.col("stable") == F.col("total")).alias("all_stable"), F.concat(F.col("stable").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" cases stable")).alias("line"))

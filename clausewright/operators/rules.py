@@ -18,6 +18,10 @@ class Rule(NamedTuple):
     category: str
 
 
+#: A rule that no clause meets.
+NEVER = Rule("", None, None, "LOW", "none")
+
+
 def greatest_number(body: Column, pattern: str) -> Column:
     """The greatest of the numbers in group 1 of all matches; 0 without any."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(body, F.lit(pattern), 1), lambda n: n.try_cast("int"))), F.lit(0))
@@ -28,7 +32,7 @@ def flags(clauses: DataFrame, rules: list[Rule], key: list[str], kind: str = "as
     made = []
     for rule in rules:
         holds = F.lit(True)
-        if rule.type:
+        if rule.type is not None:
             holds = holds & (F.col(kind) == rule.type)
         if rule.pattern:
             holds = holds & F.col(body).rlike(f"(?i){rule.pattern}")
@@ -57,3 +61,23 @@ def top_severity(spark: SparkSession, flagged: DataFrame, document: str) -> Data
     """(document, severity): the highest of its flags."""
     rank = F.when(F.col("severity") == "HIGH", 2).when(F.col("severity") == "MEDIUM", 1).otherwise(0)
     return flagged.groupBy(document).agg(F.max_by("severity", rank).alias("severity"))
+
+
+def first_clauses(clauses: DataFrame, document: str, order: str = "span_start") -> DataFrame:
+    """The first clause of each document, all its columns together; what a document's own flags cite."""
+    rest = [c for c in clauses.columns if c != document]
+    return clauses.groupBy(document).agg(F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("c")).select(document, "c.*")
+
+
+def counts(clauses: DataFrame, flagged: DataFrame, found: DataFrame, document: str) -> DataFrame:
+    """(document, clause_count, risk_count, entity_count): documents that have any of them; each is counted before the join."""
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(document).agg(F.count("*").alias(name))
+
+    joined = of(clauses, "clause_count").join(of(flagged, "risk_count"), document, "full").join(of(found, "entity_count"), document, "full")
+    return joined.select(document, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("clause_count", "risk_count", "entity_count")))
+
+
+def united(of_clauses: DataFrame, of_documents: DataFrame, document: str, columns: list[str]) -> DataFrame:
+    """(document, scope, columns): what was said of clauses, then what was said of the document as a whole."""
+    return of_clauses.select(document, F.lit("clause").alias("scope"), *columns).unionByName(of_documents.select(document, F.lit("document").alias("scope"), *columns))

@@ -134,3 +134,12 @@ def page_of(spans: DataFrame, starts: DataFrame, key: str = "doc_id", at: str =
     reached = F.filter("starts", lambda s: s["start_at"] <= F.col(at))
     page = F.when(F.col("starts").isNull(), 0).when(F.size(reached) > 0, F.element_at(reached, -1)["page_no"]).otherwise(F.element_at("starts", 1)["page_no"])
     return spans.join(each, key, "left").withColumn("page", page).drop("starts")
+
+
+def page_by_sentence(spans: DataFrame, sentences: DataFrame, key: str = "doc_id", at: str = "span_start") -> DataFrame:
+    """spans with `page`: that of the sentence (key, span_start, page) which holds the offset, else of the last one that
+    starts before it; 0 if there is none. An as-of join on the document, by one sorted array per document."""
+    each = sentences.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("span_start").alias("start_at"), F.col("page").alias("page_no")))).alias("starts"))
+    reached = F.filter("starts", lambda s: s["start_at"] <= F.col(at))
+    page = F.when(F.coalesce(F.size(reached), F.lit(0)) > 0, F.element_at(reached, -1)["page_no"]).otherwise(0)
+    return spans.join(each, key, "left").withColumn("page", page).drop("starts")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from clausewright.functions import fixed, text
 from clausewright.functions import vectors as V
-from clausewright.operators import audit, classify, entities, library, notes, retrieval, rules, segment
+from clausewright.operators import audit, classify, entities, library, notes, pipeline, retrieval, rules, segment, wordpiece
 from clausewright.sources import files, reports
 from clausewright.sources.tables import table
 
@@ -18,9 +18,11 @@ LETTERS = "aehinorstd"
 RULES = [
     rules.Rule("RENEWAL", r"automatically|each anniversary", None, "LOW", "renews-by-itself"),
     rules.Rule("TERMINATION", r"for convenience", r"each party", "MEDIUM", "one-sided-exit"),
-    rules.Rule(None, r"without any (?:cap|limit)", None, "HIGH", "without-limit"),
+    rules.Rule(None, r"whether or not a dispute", None, "HIGH", "despite-a-dispute"),
 ]
 REQUIRED = [("GOVERNING_LAW", "MEDIUM", "no-governing-law"), ("CONFIDENTIALITY", "LOW", "no-confidentiality")]
+#: Notes that explain some clause types.
+EXPLANATIONS = [("INDEMNITY", "One side makes good a loss of the other."), ("PAYMENT", "It says what is paid, when and how."), ("TERMINATION", "It says how the contract can end early.")]
 CASES = [
     ("exchange-of-names", "1. SCOPE\nTarnby Foods Limited engages Morven Logistics LLP for the scope of services in each order.\n\nPayment of each invoice falls due in thirty days.", {"Tarnby": "Bellow", "Morven": "Quenby"}),
     ("exchange-of-meaning", "The Supplier shall indemnify and hold harmless the Client against all claims.", {"indemnify and hold harmless": "inform", "Client": "Buyer"}),
@@ -273,18 +275,141 @@ def upload_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("contract_id", files.media_type(F.coalesce("source_path", F.lit(""))).alias("media_type"), files.reason(F.col("source_path"), F.col("size")).alias("reason")).distinct()
 
 
+def sentence_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The page that each stored sentence begins on."""
+    rows = table(spark, folder, "sentences").select("sent_uid", "contract_id", "span_start").distinct()
+    starts = segment.page_starts(pages(spark, folder), "contract_id")
+    return segment.page_of(rows, starts, "contract_id").select("sent_uid", "page")
+
+
+def clause_sentence_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The page of each clause by the sentence it begins in."""
+    rows = table(spark, folder, "sentences").select("sent_uid", "contract_id", "span_start").distinct()
+    told = segment.page_of(rows, segment.page_starts(pages(spark, folder), "contract_id"), "contract_id")
+    return segment.page_by_sentence(clauses(spark, folder).select("clause_uid", "contract_id", "span_start"), told, "contract_id").select("clause_uid", "page")
+
+
+def explanations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EXPLANATIONS, "type string, body string")
+
+
+def explained_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """The note that explains each clause of a known type."""
+    made = notes.explainers(clauses(spark, folder).where(F.col("text").isNotNull()), explanations(spark), ["clause_uid"], "clause_type")
+    return made.select("clause_uid", "headline", "body", F.col("citations")[0]["wording"].alias("cited"))
+
+
+def document_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes on what a contract as a whole lacks, citing its first clause."""
+    rows = clauses(spark, folder)
+    missing = rules.missing_types(rows, REQUIRED, "contract_id", "clause_type").withColumn("rationale", F.concat(F.lit("Found by the rule "), F.col("category"), F.lit(".")))
+    first = rules.first_clauses(rows.select("contract_id", "span_start", "clause_uid", "text"), "contract_id", "clause_uid")
+    return notes.document_notes(missing, first, "contract_id").select("contract_id", "headline", "body", F.col("citations")[0]["wording"].alias("cited"))
+
+
+def rephrase_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a rephrasing stage would be given for each flag, and what its answer is checked against."""
+    rows = clauses(spark, folder)
+    flagged = rules.flags(rows, RULES, ["clause_uid"], "clause_type").join(rows.select("clause_uid", F.col("text").alias("clause")), "clause_uid")
+    law = table(spark, folder, "provisions").select("ord", F.concat(F.col("act"), F.lit(", "), F.col("provision"), F.lit(": "), F.col("summary")).alias("law"))
+    best = grounded_clauses(spark, folder).where("rank = 1").join(law, "ord").select("clause_uid", F.array("law").alias("provisions"))
+    asked = notes.prompts(flagged.withColumn("body", F.concat(F.lit("Found by the rule "), F.col("category"), F.lit("."))).join(best, "clause_uid", "left"))
+    return asked.select("clause_uid", "category", F.length("prompt").alias("prompt_length"), "allowed", "source")
+
+
+def contract_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses, flags and entities of each contract."""
+    rows = clauses(spark, folder)
+    found = library.latest(table(spark, folder, "entities").select("entity_uid", "contract_id", "loaded_at"), ["entity_uid"], "loaded_at")
+    return rules.counts(rows, rules.flags(rows, RULES, ["contract_id"], "clause_type"), found, "contract_id")
+
+
+def contract_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """What was found in clauses, and what the contract as a whole lacks."""
+    rows = clauses(spark, folder)
+    return rules.united(rules.flags(rows, RULES, ["contract_id"], "clause_type"), rules.missing_types(rows, REQUIRED, "contract_id", "clause_type"), "contract_id", ["severity", "category"]).distinct()
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Display labels of the flags of each clause."""
+    flagged = rules.flags(clauses(spark, folder), RULES, ["clause_uid"], "clause_type")
+    return flagged.select("clause_uid", "category", text.category_label(F.col("category")).alias("category_label"), text.severity_label(F.col("severity")).alias("severity_label"))
+
+
+def match_labels(spark: SparkSession, folder: str) -> DataFrame:
+    found = grounded_clauses(spark, folder).unionByName(hybrid_grounding(spark, folder))
+    return found.groupBy(text.method_label(F.col("method")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def confidence_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Confidences as they are shown: within 0 and 1, low ones marked."""
+    rows = library.latest(table(spark, folder, "entities").select("entity_uid", "confidence", "loaded_at"), ["entity_uid"], "loaded_at")
+    return rows.select("entity_uid", text.clamped(F.col("confidence")).alias("shown"), text.is_low(F.col("confidence")).alias("low"))
+
+
+def library_found_of(spark: SparkSession, folder: str) -> DataFrame:
+    """How many entries a search finds, of how many."""
+    return library.found_of(library_entries(spark, folder), "Agreement")
+
+
+def masked_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean vectors of the letters of each provision's heading, blanks masked out."""
+    rows = table(spark, folder, "provisions").select("ord", F.split(F.lower("heading"), "").alias("letters")).withColumn("letters", F.filter("letters", lambda c: c != ""))
+    each = rows.select("ord", F.transform("letters", lambda c: F.array(F.ascii(c).cast("double"), F.lit(1.0))).alias("states"), F.transform("letters", lambda c: (c != " ").cast("int")).alias("mask"))
+    return each.select("ord", F.round(V.masked_mean(F.col("states"), F.col("mask"))[0], 6).alias("x"), F.round(V.masked_mean(F.col("states"), F.col("mask"))[1], 6).alias("y"))
+
+
+def vocabulary(most: int = 400) -> dict[str, int]:
+    """A small vocabulary: the words of the fixed values, letters, and letters that go on."""
+    words = [w for weighted in fixed.CUES.values() for cue, _ in weighted for w in cue.split() if w.isalpha()] + list(fixed.STOP_WORDS)
+    letters = [chr(c) for c in range(97, 123)]
+    every = [wordpiece.CLS, wordpiece.SEP, wordpiece.UNKNOWN, *dict.fromkeys([*words, *letters, *("##" + c for c in letters), "."])]
+    return {piece: n for n, piece in enumerate(every[:most])}
+
+
+def word_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The word pieces of every document by a small vocabulary, cut to 256."""
+    return wordpiece.encode(table(spark, folder, "documents"), "doc_id", "text", vocabulary()).select("doc_id", "ids")
+
+
+def known_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each cue word, with the letters that follow where the word is not known."""
+    rows = spark.createDataFrame([(kind, w) for kind in fixed.CLAUSE_TYPES for w in kind.lower().split("_")], "kind string, word string").distinct()
+    back = {n: piece for piece, n in vocabulary().items()}
+    named = F.create_map(*[F.lit(x) for pair in back.items() for x in pair])
+    ids = wordpiece.encode(rows.select("word").distinct(), "word", "word", vocabulary())
+    return ids.select("word", F.array_join(F.transform("ids", lambda i: named[i.cast("int")]), " ").alias("pieces"))
+
+
+def analysis(spark: SparkSession, folder: str) -> pipeline.Analysis:
+    """The whole pipeline over the pages."""
+    return pipeline.analyse(pages(spark, folder), table(spark, folder, "provisions"), "contract_id", flagging=RULES, required=REQUIRED, explanations=explanations(spark))
+
+
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = contracts(spark, folder)
-    parts = classify.classify_by_cues(segment.segment(rows, "contract_id"))
-    found = entities.entities(rows, "contract_id")
-    return reports.json_reports(rows, parts, found, "contract_id")
+    return reports.json_reports(analysis(spark, folder), table(spark, folder, "provisions"))
 
 
 def text_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = contracts(spark, folder)
-    parts = classify.classify_by_cues(segment.segment(rows, "contract_id"))
-    found = entities.entities(rows, "contract_id")
-    return reports.text_reports(rows, parts, found, "contract_id")
+    return reports.text_reports(analysis(spark, folder), table(spark, folder, "provisions"))
+
+
+def json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What the JSON documents say of each contract, read back from them."""
+    kinds = "document struct<char_count:int, clause_count:int, risk_count:int, entity_count:int>, backends map<string,string>, documentRiskFlags array<struct<category:string>>, documentAdvice array<struct<headline:string>>, clauses array<struct<clause_id:string, type:string, page:int, riskFlags:array<struct<category:string>>, groundedIn:array<struct<act:string>>, advice:array<struct<headline:string, citations:array<struct<kind:string>>>>>>"
+    read = json_documents(spark, folder).select("contract_id", F.from_json("json", kinds).alias("j"))
+    none = lambda rows: F.coalesce(F.size(rows), F.lit(0))
+    each = F.col("j.clauses")
+    return read.select(
+        "contract_id", "j.document.char_count", "j.document.clause_count", "j.document.risk_count", F.array_join(F.transform(each, lambda c: F.concat_ws(":", c["clause_id"], c["type"])), ",").alias("clauses"),
+        F.array_join(F.transform("j.documentRiskFlags", lambda f: f["category"]), ",").alias("lacking"), none(F.col("j.documentAdvice")).alias("document_notes"),
+        F.aggregate(F.coalesce(each, F.array().cast("array<struct<clause_id:string,type:string,page:int,riskFlags:array<struct<category:string>>,groundedIn:array<struct<act:string>>,advice:array<struct<headline:string,citations:array<struct<kind:string>>>>>>")), F.lit(0), lambda s, c: s + F.coalesce(F.size(c["advice"]), F.lit(0))).alias("notes"), F.col("j.backends")["grounding"].alias("grounding"),
+    )
+
+
+def text_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """The heads of the clauses in the text documents."""
+    return text_documents(spark, folder).select("contract_id", F.array_join(F.regexp_extract_all("report", F.lit(r"(?m)^\[([a-z]+-\d+)\]  "), 1), ",").alias("clauses"), F.regexp_extract("report", r"CLAUSES  \((\d+) classified", 1).cast("int").alias("classified"))
 
 
 QUERIES = {
@@ -325,6 +450,22 @@ QUERIES = {
     "counterfactual_audit": counterfactual_audit,
     "contract_terms": contract_terms,
     "upload_reasons": upload_reasons,
+    "sentence_pages": sentence_pages,
+    "clause_sentence_pages": clause_sentence_pages,
+    "explained_clauses": explained_clauses,
+    "document_notes": document_notes,
+    "rephrase_prompts": rephrase_prompts,
+    "contract_counts": contract_counts,
+    "contract_flags": contract_flags,
+    "labels": labels,
+    "match_labels": match_labels,
+    "confidence_hints": confidence_hints,
+    "library_found_of": library_found_of,
+    "masked_means": masked_means,
+    "word_pieces": word_pieces,
+    "known_pieces": known_pieces,
+    "json_fields": json_fields,
+    "text_heads": text_heads,
     "json_documents": json_documents,
     "text_documents": text_documents,
 }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from clausewright.functions import fixed
-from clausewright.plans.queries import CASES, LETTERS, PLAIN_RULES, REQUIRED, RULES
+from clausewright.operators import notes
+from clausewright.plans.queries import CASES, EXPLANATIONS, LETTERS, PLAIN_RULES, REQUIRED, RULES, vocabulary
 
 
 def quoted(value: str) -> str:
@@ -104,20 +105,34 @@ CUE_ROWS = ", ".join(f"({quoted(kind)}, {quoted(cue)})" for kind, weighted in fi
 BY_VECTOR = f"{vectors('qv', 'own', 'clause_uid', 'text')}, {vectors('pv', 'provisions', 'ord', SEARCH)}, by_vector as (select qv.clause_uid, pv.ord, list_dot_product(qv.v, pv.v) as emb from qv join own on own.clause_uid = qv.clause_uid cross join pv where own.text is not null)"
 
 
-def entity_rows() -> str:
+#: Entity rules without lookahead: what a pattern looks ahead for is consumed instead; and what stands before the group.
+_AHEAD = {r"(?=[.,;]| and| whose)": r"(?:[.,;]| and| whose)", r"(?=[.,; ]|and)": r"(?:[.,; ]|and)"}
+_BEFORE_GROUP = {
+    "GOVERNING_LAW": r"^governed by (?:and construed in accordance with )?the laws (?:of|in force in) ",
+    "JURISDICTION": r"^(?:(?:courts?|tribunals?)\s+(?:at|of|in|within)\s+|seat (?:and venue )?of arbitration shall be )",
+}
+
+
+def entity_rows(rules: tuple = PLAIN_RULES, spans: bool = False) -> str:
     parts = []
-    for order, (kind, pattern, group, loose) in enumerate(PLAIN_RULES):
-        flagged = f"(?i){pattern}" if loose else pattern
-        parts.append(f"select contract_id, {order} as rule, '{kind}' as entity_type, unnest(m) as raw, generate_subscripts(m, 1) as i from (select contract_id, regexp_extract_all(text, {quoted(flagged)}, {group}) as m from contracts)")
+    for order, (kind, pattern, group, loose) in enumerate(rules):
+        for ahead, consumed in _AHEAD.items():
+            pattern = pattern.replace(ahead, consumed)
+        flagged = quoted(f"(?i){pattern}" if loose else pattern)
+        lead = f"length(regexp_extract(w[i], {quoted('(?i)' + _BEFORE_GROUP[kind])}))" if kind in _BEFORE_GROUP else "2" if pattern.startswith(r"\(") else "0"
+        at = f", length(list_aggregate(p[1:i], 'string_agg', '')) + coalesce(length(list_aggregate(w[1:i - 1], 'string_agg', '')), 0) + {lead} as pos" if spans else ""
+        cut = f", regexp_extract_all(text, {flagged}, 0) as w, string_split_regex(text, {flagged}) as p" if spans else ""
+        parts.append(f"select contract_id, {order} as rule, '{kind}' as entity_type, m[i] as raw, i{at} from (select *, unnest(range(1, len(m) + 1)) as i from (select contract_id, regexp_extract_all(text, {flagged}, {group}) as m{cut} from contracts))")
     lead, tail = quoted(f"(?i){fixed.PARTY_LEAD}"), quoted(f"(?i){fixed.PARTY_TAIL}")
     party = strip(f"regexp_replace({strip(f'regexp_replace(bare, {lead}, {quoted(str())})')}, {tail}, '')")
     few = f"len(string_split_regex(value, '[ \\t\\n\\v\\f\\r]+')) <= {fixed.LONGEST_PARTY_WORDS}"
     none = ", ".join(quoted(w) for w in fixed.NOT_A_PARTY)
+    more, columns = (", pos, raw", "contract_id, cast(row_number() over (partition by contract_id order by rule, i) as int) as entity_no, entity_type, value as text, cast(pos as int) as span_start, cast(pos + length(raw) as int) as span_end, 1.0::double as confidence") if spans else ("", "contract_id, entity_type, value as text")
     return (
         f"with {CONTRACTS}, raw as ({' union all '.join(parts)}), stripped as (select *, {strip('raw')} as bare from raw), kept as (select * from stripped where bare <> '' and length(bare) <= {fixed.LONGEST_ENTITY}), "
-        f"cleaned as (select contract_id, rule, i, entity_type, case when entity_type = 'PARTY' then {party} else bare end as value from kept), "
+        f"cleaned as (select contract_id, rule, i, entity_type, case when entity_type = 'PARTY' then {party} else bare end as value{more} from kept), "
         f"good as (select * from cleaned where entity_type <> 'PARTY' or ({few} and lower(value) not in ({none}) and not contains(value, chr(10)) and regexp_matches(value, '\\p{{Ll}}'))), "
-        "numbered as (select *, row_number() over (partition by contract_id, entity_type, lower(value) order by rule, i) as n from good) select contract_id, entity_type, value as text from numbered where n = 1"
+        f"numbered as (select *, row_number() over (partition by contract_id, entity_type, lower(value) order by rule, i) as n from good) select {columns} from numbered where n = 1"
     )
 
 
@@ -252,3 +267,50 @@ SQL["clause_notes"] = (
     f"with {CLAUSES}, flagged as ({_flag_rows('clause_uid')}), matched as ({SQL['grounded_clauses']}), best as (select m.clause_uid, p.act, 'Related law - ' || p.act || ', ' || p.provision || ': ' || {_FIRST} as law from matched m join provisions p on m.ord = p.ord where m.rank = 1) "
     f"select f.clause_uid, case severity when 'HIGH' then 'High-priority point: ' when 'MEDIUM' then 'Worth checking: ' else 'Minor note: ' end || {label('category')} as headline, concat_ws(' ', 'Found by the rule ' || category || '.', law) as body, case when act is null then 1 else 2 end as citations from flagged f left join best b on f.clause_uid = b.clause_uid"
 )
+
+SENTENCES_ON_PAGES = "told as (select s.sent_uid, s.contract_id, s.span_start, case when count(p.page_no) = 0 then 0 else coalesce(max_by(p.page_no, p.start_at) filter (where p.start_at <= s.span_start), min_by(p.page_no, p.start_at)) end as page from (select distinct sent_uid, contract_id, span_start from sentences) s left join starts p on s.contract_id = p.contract_id group by all)"
+EXPLANATION_ROWS = ", ".join(f"({quoted(t)}, {quoted(b)})" for t, b in EXPLANATIONS)
+_LAW = "p.act || ', ' || p.provision || ': ' || p.summary"
+#: Contract texts as the pipeline joins them, in place of the stored ones; and its clauses with their types.
+_JOINED = SQL["joined_pages"].removeprefix("with ").rsplit(" select contract_id", 1)
+ANALYSED = (
+    f"{_JOINED[0]}, contracts as (select contract_id{_JOINED[1]}), {PARAGRAPHS}, {SEGMENTS}, stripped as (select contract_id, clause_id, type, span_start, {strip('substring(text, span_start + 1, span_end - span_start)')} as text from segments), "
+    f"{typed('stripped', 'contract_id, clause_id, span_start, text', 'type')}, own as (select *, assigned_type as clause_type, contract_id || '/' || clause_id as clause_uid from typed)"
+)
+_PARTS = f"flagged as ({_flag_rows('contract_id, clause_uid')}), lacking as (select d.contract_id, r.category from (select distinct contract_id from own) d cross join required r where not exists (select 1 from own o where o.contract_id = d.contract_id and o.clause_type = r.type))"
+_COUNTS = (
+    "select coalesce(a.contract_id, b.contract_id, c.contract_id) as contract_id, coalesce(clause_count, 0) as clause_count, coalesce(risk_count, 0) as risk_count, coalesce(entity_count, 0) as entity_count from (select contract_id, count(*) as clause_count from own group by contract_id) a "
+    "full join (select contract_id, count(*) as risk_count from flagged group by contract_id) b on a.contract_id = b.contract_id full join (select contract_id, count(distinct entity_uid) as entity_count from entities group by contract_id) c on coalesce(a.contract_id, b.contract_id) = c.contract_id"
+)
+SQL |= {
+    "extracted_entities": entity_rows(fixed.ENTITY_RULES, spans=True),
+    "sentence_pages": f"with {PAGES}, {STARTS}, {SENTENCES_ON_PAGES} select sent_uid, page from told",
+    "clause_sentence_pages": f"with {PAGES}, {STARTS}, {SENTENCES_ON_PAGES}, {CLAUSES} select clause_uid, coalesce(arg_max(t.page, struct_pack(a := t.span_start, b := t.page)) filter (where t.span_start <= o.span_start), 0) as page from own o left join told t on o.contract_id = t.contract_id group by clause_uid",
+    "explained_clauses": f"with {CLAUSES}, told(type, body) as (values {EXPLANATION_ROWS}) select clause_uid, 'What this clause does: ' || {label('clause_type')} as headline, body, text as cited from own join told on type = clause_type where text is not null",
+    "document_notes": f"with {CLAUSES}, required(type, severity, category) as (values {REQUIRED_ROWS}), firsts as (select contract_id, min_by(struct_pack(t := text), clause_uid) as f from own group by contract_id) select d.contract_id, case severity when 'MEDIUM' then 'Worth checking: ' else 'Minor note: ' end || {label('category')} as headline, 'Found by the rule ' || category || '.' as body, d.f.t as cited from firsts d cross join required r where not exists (select 1 from own o where o.contract_id = d.contract_id and o.clause_type = r.type)",
+    "rephrase_prompts": (
+        f"with {CLAUSES}, flagged as ({_flag_rows('clause_uid')}), matched as ({SQL['grounded_clauses']}), best as (select m.clause_uid, {_LAW} as law from matched m join provisions p on m.ord = p.ord where m.rank = 1), "
+        "asked as (select f.clause_uid, category, o.text as clause, 'Found by the rule ' || category || '.' as body, coalesce(case when length(law) <= 180 then law else substring(law, 1, 180) || ' ...' end, '') as allowed from flagged f join own o on f.clause_uid = o.clause_uid left join best b on f.clause_uid = b.clause_uid) "
+        f"select clause_uid, category, cast({len(notes.INSTRUCTION)} + length('Clause:Note:Provisions:') + 6 + case when length(clause) <= 700 then length(clause) else 704 end + length(body) + case when allowed = '' then 6 else length(allowed) end as int) as prompt_length, allowed, clause || ' ' || body || ' ' || allowed as source from asked"
+    ),
+    "contract_counts": f"with {CLAUSES}, flagged as ({_flag_rows('contract_id')}) {_COUNTS}",
+    "contract_flags": f"with {CLAUSES}, required(type, severity, category) as (values {REQUIRED_ROWS}), flagged as ({_flag_rows('contract_id')}) select distinct contract_id, 'clause' as scope, severity, category from flagged union all select d.contract_id, 'document', r.severity, r.category from (select distinct contract_id from own) d cross join required r where not exists (select 1 from own o where o.contract_id = d.contract_id and o.clause_type = r.type)",
+    "labels": f"with {CLAUSES}, flagged as ({_flag_rows('clause_uid')}) select clause_uid, category, {label('category')} as category_label, {label('severity')} as severity_label from flagged",
+    "match_labels": f"select case method when 'bm25' then 'keyword match' else 'combined match' end as label, count(*) as n from (({SQL['grounded_clauses']}) union all ({SQL['hybrid_grounding']})) group by 1",
+    "confidence_hints": "select entity_uid, least(1.0, greatest(0.0, coalesce(c, 0.0))) as shown, coalesce(c, 0.0) < 0.6 as low from (select entity_uid, max_by(struct_pack(c := confidence), loaded_at).c as c from entities group by entity_uid)",
+    "library_found_of": f"with {ENTRIES} select count(*) filter (contains(lower(display_name), 'agreement')) as found, count(*) as total, count(*) filter (contains(lower(display_name), 'agreement')) || ' of ' || count(*) as line from entries",
+    "masked_means": "with l as (select ord, unnest(string_split(lower(heading), '')) as c from provisions), m as (select ord, avg(cast(ascii(c) as double)) as a from l where c not in ('', ' ') group by ord) select ord, round(a / sqrt(a * a + 1), 6) as x, round(1 / sqrt(a * a + 1), 6) as y from m",
+    "known_pieces": (
+        f"with recursive vocabulary(piece) as (values {', '.join(f'({quoted(v)})' for v in vocabulary())}), words as (select distinct unnest(string_split(lower(kind), '_')) as word from (values {', '.join(f'({quoted(k)})' for k in fixed.CLAUSE_TYPES)}) t(kind)), "
+        "steps(word, pos, pieces) as (select word, 0, '[CLS]' from words union all select s.word, s.pos + n.size, s.pieces || ' ' || case when s.pos > 0 then '##' else '' end || substring(s.word, s.pos + 1, n.size) from steps s, lateral (select max(k) as size from range(1, 40) r(k) where s.pos + k <= length(s.word) and (case when s.pos > 0 then '##' else '' end || substring(s.word, cast(s.pos + 1 as bigint), k)) in (select piece from vocabulary)) n where s.pos < length(s.word) and n.size is not null) "
+        "select word, pieces || ' [SEP]' as pieces from steps where pos = length(word)"
+    ),
+    "json_fields": (
+        f"with {ANALYSED}, required(type, severity, category) as (values {REQUIRED_ROWS}), {_PARTS}, told(type, body) as (values {EXPLANATION_ROWS}), "
+        "noted as (select contract_id, count(*) as n from (select contract_id from flagged union all select contract_id from own join told on type = clause_type) group by contract_id) "
+        "select c.contract_id, cast(length(c.text) as int) as char_count, cast(coalesce(o.n, 0) as int) as clause_count, cast(coalesce(f.n, 0) + coalesce(l.n, 0) as int) as risk_count, o.clauses, l.lacking, cast(coalesce(l.n, 0) as int) as document_notes, cast(coalesce(n.n, 0) as int) as notes, 'bm25' as grounding from contracts c "
+        "left join (select contract_id, count(*) as n, string_agg(clause_id || ':' || clause_type, ',' order by span_start) as clauses from own group by contract_id) o on c.contract_id = o.contract_id left join (select contract_id, count(*) as n from flagged group by contract_id) f on c.contract_id = f.contract_id "
+        "left join (select contract_id, count(*) as n, string_agg(category, ',' order by category) as lacking from lacking group by contract_id) l on c.contract_id = l.contract_id left join noted n on c.contract_id = n.contract_id"
+    ),
+    "text_heads": f"with {ANALYSED} select c.contract_id, coalesce(string_agg(clause_id, ',' order by span_start), '') as clauses, cast(count(*) filter (clause_type not in ('UNCLASSIFIED', 'PREAMBLE')) as int) as classified from contracts c left join own o on c.contract_id = o.contract_id group by c.contract_id",
+}

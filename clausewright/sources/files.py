@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -31,10 +32,29 @@ def media_type(path: Column) -> Column:
     return out.otherwise("application/octet-stream")
 
 
+def sniffed(content: Column) -> Column:
+    """The media type by what the bytes begin with: PDF, a packed DOCX, HTML, or text if they are UTF-8 without zero
+    bytes; null, empty and other contents are octet streams."""
+    head = F.lower(F.ltrim(F.substring(F.decode(F.substring(content, 1, 512), "ISO-8859-1"), 1, 512)))
+    whole = F.decode(content, "ISO-8859-1")
+    return (
+        F.when(content.isNull() | (F.length(content) == 0), "application/octet-stream")
+        .when(head.startswith("%pdf-"), MEDIA_TYPES["pdf"])
+        .when(head.startswith("pk") & F.contains(whole, F.lit("word/document.xml")), MEDIA_TYPES["docx"])
+        .when(head.rlike(r"^(?:<!doctype html|<html)"), MEDIA_TYPES["html"])
+        .when(F.is_valid_utf8(content.cast("string")) & ~F.contains(whole, F.lit("\0")), MEDIA_TYPES["txt"])
+        .otherwise("application/octet-stream")
+    )
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, media_type) of the files under a path; the source itself leaves empty files out."""
+    """(path, length, content, media_type) of the files under a path, the type by the name, else by the content; the
+    source itself leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content", media_type(F.col("path")).alias("media_type"))
+    by_name, by_content = media_type(F.col("path")), sniffed(F.col("content"))
+    # That bytes are text says little about a file that is named otherwise.
+    told = (by_content != MEDIA_TYPES["txt"]) | (extension(F.col("path")) == "")
+    return files.select("path", "length", "content", F.when((by_name == "application/octet-stream") & told, by_content).otherwise(by_name).alias("media_type"))
 
 
 def reason(path: Column, size: Column, is_file: Column | None = None) -> Column:
@@ -72,7 +92,7 @@ def pages(files: DataFrame, pdf: Pages | None = None) -> DataFrame:
 
     def make() -> Callable:
         def texts(path: str, content: bytes, kind: str) -> list[str]:
-            if path.lower().endswith(".docx"):
+            if path.lower().endswith(".docx") or kind == MEDIA_TYPES["docx"]:
                 return [docx_text(content)]
             if kind.startswith("text/"):
                 return [content.decode("utf-8", "replace")]
@@ -106,3 +126,29 @@ def provisions(spark: SparkSession, path: str, authority: str = "https://www.ind
     rows = root.select(F.col("authority").alias("root"), F.posexplode("provisions").alias("ord", "p"))
     empty = F.array().cast("array<string>")
     return rows.select("ord", "p.corpus_id", "p.act", "p.provision", "p.heading", F.coalesce("p.summary", "p.text").alias("summary"), F.when(F.trim("p.bare_act") != "", F.col("p.bare_act")).alias("bare_act"), F.coalesce("p.authority", "root", F.lit(authority)).alias("authority"), F.coalesce("p.topics", empty).alias("topics"), F.coalesce("p.clause_types", empty).alias("clause_types"))
+
+
+def cues(path: str) -> dict[str, list[tuple[str, float]]]:
+    """The cues of a JSON object {type: [[pattern, weight], ...]} in its order; a weight left out is 1."""
+    with open(path, encoding="utf-8") as file:
+        return {kind: [(pattern, float(weight[0]) if weight else 1.0) for pattern, *weight in rows] for kind, rows in json.load(file).items()}
+
+
+def _by_type(spark: SparkSession, path: str, value: str) -> DataFrame:
+    read = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("type", "value"))
+    return read.where(F.col("value").isNotNull())
+
+
+def explanations(spark: SparkSession, path: str) -> DataFrame:
+    """(type, body) of a JSON object {type: note}."""
+    return _by_type(spark, path, "string").select("type", F.col("value").alias("body"))
+
+
+def seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(label, text) of a JSON object {type: [phrase, ...]}."""
+    return _by_type(spark, path, "array<string>").select(F.col("type").alias("label"), F.explode("value").alias("text"))
+
+
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """(name, base_text, substitutions) of a JSON list of audit cases."""
+    return spark.read.schema("name string, base_text string, substitutions map<string,string>").option("multiLine", "true").json(path)

@@ -144,10 +144,39 @@ def test_library(spark, tmp_path):
     assert lib.resubmit("h1", 9) == "b" and lib.touch("a", 10) and not lib.touch("../a", 1)
     assert library.listed(lib.read()).first().id == "a" and lib.load("../x") is None and lib.load("a").count() == 1
     assert lib.delete("a") and not lib.delete("a") and lib.read().count() == 2
+    lib.save(rows.where("id = 'a'"))
+    assert lib.read().count() == 3 and lib.load("a").head().display_name == "Lease"
+    before = sorted((r.id, r.display_name, r.analyzed_at_epoch_millis) for r in lib.read().collect())
+    lib.compact()
+    assert sorted((r.id, r.display_name, r.analyzed_at_epoch_millis) for r in lib.read().collect()) == before and len(lib._parts("entries")) == 1
+    assert library.found_of(lib.read(), "lease").head().line == "1 of 3"
     seen = library.unseen(spark.createDataFrame([("h1",), ("h2",), (None,)], "content_hash string"), lib.read())
     assert sorted(str(r[0]) for r in seen.collect()) == ["None", "h2"]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = (library.Library(spark, str(tmp_path / "lib")) for _ in range(2))
+    row = lambda id_: spark.createDataFrame([(id_, id_, 1, None)], "id string, display_name string, analyzed_at_epoch_millis long, content_hash string")
+    one.save(row("a"))
+    seen = one.read()
+    two.save(row("b"))
+    one.save(row("c"))
+    assert seen.count() == 1 and {r.id for r in two.read().collect()} == {"a", "b", "c"}
+
+
+def test_results_and_sources_of_the_library(spark, tmp_path):
+    lib = library.Library(spark, str(tmp_path / "lib"))
+    pages = spark.createDataFrame([("f", 1, TEXT)], "doc_id string, page_no int, text string")
+    result = pipeline.analyse(pages, key="doc_id")
+    entries = result.counts().select(F.col("doc_id").alias("id"), F.lit("Lease").alias("display_name"), F.lit(5).cast("long").alias("analyzed_at_epoch_millis"), F.lit("h").alias("content_hash"), "clause_count", "risk_count", "entity_count")
+    lib.save(entries)
+    lib.save(reports.json_reports(result).withColumnRenamed("doc_id", "id"), "results")
+    lib.save(spark.createDataFrame([("f", bytearray(b"bytes"), "txt")], "id string, content binary, source_extension string"), "sources")
+    assert lib.load("f").head().clause_count == 3 and json.loads(lib.load("f", "results").head().json)["clauses"] and bytes(lib.load("f", "sources").head().content) == b"bytes"
+    assert lib.delete("f") and all(lib.load("f", name).count() == 0 for name in library.TABLES)
+
+
+
 def test_latest(spark):
     rows = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, None, 1)], "id int, v string, at int")
     assert sorted((r.id, r.v) for r in library.latest(rows, ["id"], "at").collect()) == [(1, "new"), (2, None)]
@@ -171,6 +200,41 @@ def test_uploads_and_files(spark, tmp_path):
     assert all(r.error and r.text is None for r in files.pages(empty).collect())
 
 
+def test_kinds_by_content(spark):
+    import io
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("word/document.xml", "<x/>")
+    rows = [(1, b"%PDF-1.7 x"), (2, packed.getvalue()), (3, b"<!DOCTYPE html><html>"), (4, "schön".encode()), (5, b"\x00\x01\xff"), (6, None), (7, b"")]
+    got = {r.id: r.kind for r in spark.createDataFrame([(k, bytearray(c) if c is not None else None) for k, c in rows], "id int, content binary").select("id", files.sniffed(F.col("content")).alias("kind")).collect()}
+    assert got == {1: "application/pdf", 2: files.MEDIA_TYPES["docx"], 3: "text/html", 4: "text/plain", 5: "application/octet-stream", 6: "application/octet-stream", 7: "application/octet-stream"}
+
+
+def test_rule_assets(spark, tmp_path):
+    (tmp_path / "cues.json").write_text(json.dumps({"B": [["x y", 2], ["z"]], "A": [["q", 1.5]]}))
+    (tmp_path / "notes.json").write_text(json.dumps({"A": "about a"}))
+    (tmp_path / "seeds.json").write_text(json.dumps({"A": ["one", "two"]}))
+    (tmp_path / "cases.json").write_text(json.dumps([{"name": "n", "base_text": "t", "substitutions": {"a": "b"}}]))
+    cues = files.cues(str(tmp_path / "cues.json"))
+    assert list(cues) == ["B", "A"] and cues["B"] == [("x y", 2.0), ("z", 1.0)]
+    assert [tuple(r) for r in files.explanations(spark, str(tmp_path / "notes.json")).collect()] == [("A", "about a")]
+    assert [tuple(r) for r in files.seeds(spark, str(tmp_path / "seeds.json")).collect()] == [("A", "one"), ("A", "two")]
+    assert files.cases(spark, str(tmp_path / "cases.json")).head().substitutions == {"a": "b"}
+    typed = classify.classify_by_cues(docs(spark, "x y and q"), given=None, cues=cues).head()
+    assert typed.assigned_type == "B" and typed.runner_up == "A"
+
+
+def test_audit_runner(tmp_path, capsys, spark):
+    from clausewright.__main__ import main
+
+    (tmp_path / "same.json").write_text(json.dumps([{"name": "names", "base_text": "1. INDEMNITY\n\nAsha shall indemnify Ravi.", "substitutions": {"Asha": "Meera"}}]))
+    assert main(["--audit", str(tmp_path / "same.json")]) == 0 and "1/1 cases stable" in capsys.readouterr().out
+    (tmp_path / "other.json").write_text(json.dumps([{"name": "words", "base_text": "We indemnify you.", "substitutions": {"indemnify": "thank"}}]))
+    assert main(["--audit", str(tmp_path / "other.json")]) == 1 and "CHANGED" in capsys.readouterr().out
+
+
 def test_provisions_source(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"authority": "root", "provisions": [{"corpus_id": "x-1", "act": "Act", "provision": "S 1", "heading": "H", "text": "T", "bare_act": " ", "topics": ["t"]}]}))
     row = files.provisions(spark, str(tmp_path / "p.json")).head()
@@ -179,7 +243,7 @@ def test_provisions_source(spark, tmp_path):
 
 def test_pipeline_and_reports(spark):
     pages = spark.createDataFrame([(1, 1, TEXT), (2, 1, None)], "doc_id int, page_no int, text string")
-    provisions = spark.createDataFrame([(0, ["INDEMNITY"], "Indemnity", "A promise to save from loss.", None, ["indemnity"])], "ord int, clause_types array<string>, heading string, summary string, bare_act string, topics array<string>")
+    provisions = PROVISION(spark)
     heard = []
 
     def listener(stage):
@@ -190,9 +254,61 @@ def test_pipeline_and_reports(spark):
     assert heard == list(pipeline.STAGES) == list(result.stage_millis)
     assert {r.assigned_type for r in result.clauses.collect()} == {"PREAMBLE", "PAYMENT", "INDEMNITY"}
     assert result.matches.count() == 1
-    report = json.loads(reports.json_reports(result.documents, result.clauses, result.entities).where("doc_id = 1").head().json)
+    report = json.loads(reports.json_reports(result, PROVISION(spark)).where("doc_id = 1").head().json)
     assert [c["clause_id"] for c in report["clauses"]] == ["clause-0", "clause-1", "clause-2"] and report["disclaimer"]
-    assert "clause-2  Indemnity" in reports.text_reports(result.documents, result.clauses, result.entities).where("doc_id = 1").head().report
+    assert report["backends"] == {"extraction": "keyword-only", "grounding": "bm25", "advisory": "templates"} and set(report["stageMillis"]) == set(pipeline.STAGES)
+    assert report["document"]["clause_count"] == 3 and "[clause-2]  Indemnity (" in reports.text_reports(result).where("doc_id = 1").head().report
+
+
+def PROVISION(spark):
+    return spark.createDataFrame([(0, ["INDEMNITY"], "Act", "S 1", "Indemnity", "A promise to save from loss.", None, ["indemnity"])], "ord int, clause_types array<string>, act string, provision string, heading string, summary string, bare_act string, topics array<string>")
+
+
+def test_pipeline_with_rules_notes_and_given_stages(spark):
+    pages = spark.createDataFrame([(1, 1, TEXT), (2, 1, None)], "doc_id int, page_no int, text string")
+    told = spark.createDataFrame([("INDEMNITY", "One side makes good a loss.")], "type string, body string")
+    propose = lambda n: n.select("clause_key", "headline", F.concat(F.lit("In plain words, "), F.lower("body"), F.lit(" This is no advice.")).alias("candidate"))
+    result = pipeline.analyse(pages, PROVISION(spark), flagging=[rules.Rule("INDEMNITY", "indemnif", None, "HIGH", "open-ended")], required=[("GOVERNING_LAW", "LOW", "no-law")], explanations=told)
+    assert {(r.scope, r.category) for r in result.all_flags().collect()} == {("clause", "open-ended"), ("document", "no-law")}
+    made = result.all_notes().collect()
+    assert {(r.scope, r.headline) for r in made} == {("clause", "What this clause does: Indemnity"), ("clause", "High-priority point: Open ended"), ("document", "Minor note: No law")}
+    assert all(r.citations for r in made) and {len(r.citations) for r in made if "High" in r.headline} == {2}
+    assert [tuple(r) for r in result.counts().collect()] == [(1, 3, 2, result.entities.count())]
+    report = json.loads(reports.json_reports(result, PROVISION(spark)).where("doc_id = 1").head().json)
+    clause = report["clauses"][2]
+    assert clause["riskFlags"] == [{"severity": "HIGH", "category": "open-ended"}] and clause["groundedIn"][0]["act"] == "Act" and "bareAct" not in clause["groundedIn"][0]
+    assert len(clause["advice"]) == 2 and report["documentRiskFlags"][0]["category"] == "no-law" and report["documentAdvice"][0] == {"headline": "Minor note: No law", "body": "Found by the rule no-law."}
+    shown = reports.text_reports(result, PROVISION(spark)).where("doc_id = 1").head().report
+    assert all(part in shown for part in ("KEY TERMS", "WHOLE-DOCUMENT NOTES", "(!) High open-ended", "grounded in: Act S 1 [", "CLAUSES  (2 classified, 1 with flags)"))
+    assert "WHOLE-DOCUMENT" not in reports.text_reports(result).where("doc_id = 2").head().report
+    given = pipeline.analyse(
+        pages, PROVISION(spark), classifier=lambda c: c.select("*", F.lit("NOTICES").alias("assigned_type"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("runner_up")),
+        extractor=lambda d, key: entities.entities(d, key).where("false"), retriever=lambda q, p, key, kind: q.select(key, F.lit(1).alias("rank"), F.lit(0).alias("ord"), F.lit(0.5).alias("score"), F.lit("given").alias("method")), rephrase=propose, explanations=spark.createDataFrame([("NOTICES", "How one side tells the other.")], "type string, body string"),
+    )
+    assert {r.assigned_type for r in given.clauses.collect()} == {"NOTICES"} and given.entities.count() == 0 and given.matches.count() == 3
+    assert given.backends == {"extraction": "given", "grounding": "given", "advisory": "rephrased"}
+    assert {r.body for r in given.notes.collect()} == {"In plain words, how one side tells the other. This is no advice."}
+    hybrid = pipeline.analyse(pages, PROVISION(spark), encoder=lambda rows, key, body: rows.select(key, F.array(F.length(body).cast("double"), F.lit(1.0)).alias("embedding")))
+    assert {r.method for r in hybrid.matches.collect()} == {"hybrid"}
+
+
+def test_prompts_are_cut(spark):
+    rows = spark.createDataFrame([(1, "c" * 900, "n" * 600, ["p" * 300]), (2, None, None, None)], "id int, clause string, body string, provisions array<string>")
+    got = {r.id: r for r in notes.prompts(rows).collect()}
+    assert "c" * 700 + " ..." in got[1].prompt and "n" * 500 + " ..." in got[1].prompt and got[1].allowed == "p" * 180 + " ..." and "(none)" in got[2].prompt and got[2].allowed == ""
+
+
+def test_pages_by_sentences(spark):
+    spans = spark.createDataFrame([(1, 0), (1, 5), (1, 99), (2, 3)], "doc_id int, span_start int")
+    told = spark.createDataFrame([(1, 4, 1), (1, 50, 3)], "doc_id int, span_start int, page int")
+    assert [(r.span_start, r.page) for r in segment.page_by_sentence(spans, told).orderBy("doc_id", "span_start").collect()] == [(0, 0), (5, 1), (99, 3), (3, 0)]
+
+
+def test_masked_mean(spark):
+    from clausewright.functions import vectors
+
+    rows = spark.createDataFrame([(1, [[3.0, 4.0], [9.0, 9.0]], [1, 0]), (2, [[1.0, 1.0]], [0]), (3, None, None)], "id int, s array<array<double>>, m array<int>")
+    assert [r[0] for r in rows.orderBy("id").select(vectors.masked_mean(F.col("s"), F.col("m"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
 
 
 def test_key_terms(spark):
