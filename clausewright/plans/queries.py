@@ -265,6 +265,13 @@ def counterfactual_audit(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("name", "variant", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "stable")
 
 
+def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cases stay as they are under each exchange, flags included."""
+    cases = spark.createDataFrame(CASES, "name string, base_text string, substitutions map<string,string>")
+    flagged = lambda c: rules.flags(c, RULES, ["name", "variant"])
+    return audit.summary(audit.audit(cases, lambda texts: audit.signals(texts, classify.classify_by_cues, flagged)))
+
+
 def contract_terms(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "entities").select("contract_id", "entity_type", "text", "span_start", F.col("entity_uid").alias("entity_no"))
     return reports.key_terms(rows, "contract_id")
@@ -448,6 +455,7 @@ QUERIES = {
     "entity_labels": entity_labels,
     "supported_notes": supported_notes,
     "counterfactual_audit": counterfactual_audit,
+    "audit_summary": audit_summary,
     "contract_terms": contract_terms,
     "upload_reasons": upload_reasons,
     "sentence_pages": sentence_pages,

@@ -314,3 +314,26 @@ SQL |= {
     ),
     "text_heads": f"with {ANALYSED} select c.contract_id, coalesce(string_agg(clause_id, ',' order by span_start), '') as clauses, cast(count(*) filter (clause_type not in ('UNCLASSIFIED', 'PREAMBLE')) as int) as classified from contracts c left join own o on c.contract_id = o.contract_id group by c.contract_id",
 }
+
+#: White space of any kind, the mark that is put at ends of sentences, and the abbreviations that end none.
+_WHITE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SHORT = r"(?:Pvt|Ltd|Rs|No|Nos|Mr|Mrs|Ms|Dr|Smt|Art|Sec|Cl|St|v|vs|viz|etc|i\.e|e\.g|approx|[A-Z])"
+_CLOSING = r"[\"''”’)\]]*"
+
+
+def _marked(body: str) -> str:
+    out = f"regexp_replace({body}, '([.?!]+{_CLOSING})({_WHITE})', '\\1' || chr(1) || '\\2', 'g')"
+    out = f"regexp_replace({out}, '([。！？।۔]+)', '\\1' || chr(1), 'g')"
+    out = f"regexp_replace({out}, '((?:^|{_WHITE}|[(]){_SHORT}\\.[.?!]*{_CLOSING})' || chr(1), '\\1', 'g')"
+    return f"regexp_replace({out}, chr(1) || '({_WHITE}{{1,3}}[a-z0-9(])', '\\1', 'g')"
+
+
+SQL |= {
+    "rule_sentences": (
+        f"with {CONTRACTS}, {PARAGRAPHS}, split as (select contract_id, para_no, span_start, string_split({_marked('piece')}, chr(1)) as p from paragraphs), each as (select contract_id, para_no, span_start, unnest(p) as s, generate_subscripts(p, 1) as i from split), "
+        "located as (select *, span_start + cast(coalesce(sum(length(s)) over (partition by contract_id, para_no order by i rows between unbounded preceding and 1 preceding), 0) as int) as pos from each), "
+        f"bare as (select *, {strip('s')} as t, length(s) - length(regexp_replace(s, '^{fixed.BLANK}+', '')) as lead from located) "
+        "select contract_id, cast(row_number() over (partition by contract_id order by para_no, i) - 1 as int) as sent_idx, t as text, cast(pos + lead as int) as span_start, cast(pos + lead + length(t) as int) as span_end from bare where t <> ''"
+    ),
+    "audit_summary": f"select count(*) filter (where ok) as stable, count(*) as total, count(*) filter (where ok) = count(*) as all_stable, count(*) filter (where ok) || '/' || count(*) || ' cases stable' as line from (select name, bool_and(stable) as ok from ({SQL['counterfactual_audit']}) group by name)",
+}

@@ -231,7 +231,7 @@ def test_audit_runner(tmp_path, capsys, spark):
 
     (tmp_path / "same.json").write_text(json.dumps([{"name": "names", "base_text": "1. INDEMNITY\n\nAsha shall indemnify Ravi.", "substitutions": {"Asha": "Meera"}}]))
     assert main(["--audit", str(tmp_path / "same.json")]) == 0 and "1/1 cases stable" in capsys.readouterr().out
-    (tmp_path / "other.json").write_text(json.dumps([{"name": "words", "base_text": "We indemnify you.", "substitutions": {"indemnify": "thank"}}]))
+    (tmp_path / "other.json").write_text(json.dumps([{"name": "words", "base_text": "We shall indemnify you against each loss that the goods may cause.", "substitutions": {"indemnify": "thank"}}]))
     assert main(["--audit", str(tmp_path / "other.json")]) == 1 and "CHANGED" in capsys.readouterr().out
 
 
