@@ -5,7 +5,9 @@ rare beside one it could have been, it scores the operations (replace, insert, d
 characters, their neighbours and both counts; `keep` is the zero point. It is trained on sound words and on copies of
 them with typical recognition errors. At a line end it scores the operations join (the hyphen goes) and keep (a
 compound broken at its own hyphen), by the counts of both forms and of the parts; it is trained on sound words and
-compounds that are cut. Page furniture is found by the line's place on the page and its form.
+compounds that are cut. Page furniture is told by a perceptron over lines: their place on the page, shape, words and
+surroundings. It learns from lines at the edge of pages that come again on other pages of the document or hold the
+page's own number, and from known forms; lines inside pages are the others.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.base import MEMO_LIMIT, flat_map, text_fields
+from clausewright.llm.base import FIELDS, MEMO_LIMIT, flat_map
+from clausewright.sources.tables import table
 
 #: Words with fewer than this share of all words are left out of the broadcast counts, so that they hold at most a
 #: million words at any size of the corpus. They can't be what an odd word stands for; how often they occur themselves
@@ -267,28 +272,189 @@ def furniture(line: str) -> tuple[bool, bool]:
     return bool(HEADER.fullmatch(line)), False
 
 
-def edges(field: str, text: str) -> list[tuple[int, int, str]]:
-    """(start, end, line) of the lines that may be furniture by their place: at the head or foot of a page; in a clean
-    text any line but the first that is set off by single line breaks or stands at the end of a line run."""
-    found, at = [], 0
-    lines = []
+class Placed(NamedTuple):
+    """A line that may be furniture: where it stands, and what stands around it."""
+
+    start: int
+    end: int
+    line: str
+    place: str
+    before: str  # the last character of the line above: a stop, another, or none
+    after: str  # the first character of the line below: a small letter, another, or none
+
+
+#: Longest line that may be furniture.
+LONGEST = 111
+_ROMAN = re.compile(r"\b[ivxlc]{1,7}\b|\b[IVXLC]{1,7}\b")
+
+
+def placed(field: str, text: str) -> list[Placed]:
+    """The lines that may be furniture: on a page its two first and two last lines are `top` or `bottom`, others `inner`; in
+    a clean text, whose pages are joined, every line but the first is `clean`."""
+    full, at = [], 0
     for line in text.split("\n"):
-        lines.append((at, at + len(line), line))
+        if line.strip():
+            full.append((at, at + len(line), line))
         at += len(line) + 1
-    full = [entry for entry in lines if entry[2].strip()]
-    if field == "page_text":
-        found = full[:2] + [e for e in full[-2:] if e not in full[:2]]
-    else:
-        found = [e for e in full[1:] if len(e[2]) < 112]
-    return found
-
+    out, last = [], len(full) - 1
+    for k, (a, b, line) in enumerate(full):
+        if len(line) > LONGEST or field != "page_text" and not k:
+            continue
+        place = "clean" if field != "page_text" else "top" if k < 2 else "bottom" if k > last - 2 else "inner"
+        before = ("none" if not k else "stop" if full[k - 1][2].rstrip()[-1] in ".;:!?।。" else "open") + ("+" if k and text[full[k - 1][1] : a].count("\n") > 1 else "")
+        after = "none" if k == last else "small" if full[k + 1][2].lstrip()[0].islower() else "other"
+        out.append(Placed(a, b, line, place, before, after + ("+" if k < last and text[b : full[k + 1][0]].count("\n") > 1 else "")))
+    return out
+
+
+def masked(line: str) -> str:
+    """The line with numbers alike."""
+    return _ROMAN.sub("#", re.sub(r"\d+", "#", " ".join(line.split())))
+
+
+class Furniture:
+    """Tells headers and page numbers from lines of text by an averaged perceptron for either kind."""
+
+    KINDS = ("header", "page_no")
+    BUCKETS = 1 << 13
+
+    def __init__(self, weights: dict[str, list[float]] | None = None) -> None:
+        self.weights = weights or {}
+        self.reach = {kind: sum(sorted(w)[-FEATURES:]) for kind, w in self.weights.items()}
+        self.memo: dict[tuple, tuple[bool, bool]] = {}
+
+    @classmethod
+    def coarse(cls, p: Placed) -> tuple[int, ...]:
+        """Features that most lines are already told by."""
+        line = p.line.strip()
+        kind = lambda ch: "a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
+        return cls.buckets(f"p{p.place}", f"n{len(line) // 8}", f"f{kind(line[0])}{p.place}", f"e{kind(line[-1])}{len(line) // 24}", f"fe{kind(line[0])}{kind(line[-1])}{p.after}", f"c{p.before}{p.after}", f"w{min(line.count(' '), 12)}")
+
+    @classmethod
+    def fine(cls, p: Placed) -> tuple[int, ...]:
+        line = masked(p.line)
+        words = line.split()
+        shape = re.sub(r"[a-zß-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", line))
+        bare = re.sub(r"[^#\W]+", "", line).replace(" ", "")
+        return cls.buckets(f"s{shape[:20]}", f"m{line.lower()[:24]}", f"b{bare[:12]}", f"h{words[0].lower()}", f"t{words[-1].lower()}", f"tt{' '.join(words[-2:]).lower()}", f"ms{line.count('#')}{bare[:4]}{min(len(words), 5)}", f"u{line.isupper()}{'#' in line}")
+
+    @classmethod
+    def buckets(cls, *named: str) -> tuple[int, ...]:
+        return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % cls.BUCKETS for f in named)
+
+    def __call__(self, p: Placed) -> tuple[bool, bool]:
+        """(is a header, holds a page number)."""
+        if not self.weights:
+            return furniture(p.line)
+        coarse = self.coarse(p)
+        open_ = {kind: score for kind, w in self.weights.items() if (score := sum(w[f] for f in coarse)) + self.reach[kind] > 0}
+        if not open_:
+            return False, False
+        key = (masked(p.line), p.place, p.before, p.after)
+        got = self.memo.get(key)
+        if got is None:
+            if len(self.memo) > MEMO_LIMIT:
+                self.memo.clear()
+            fine = self.fine(p)
+            got = self.memo[key] = tuple(kind in open_ and open_[kind] + sum(self.weights[kind][f] for f in fine) > 0 for kind in self.KINDS)
+        return got
 
-def kinds(field: str, text: str, editor: Editor) -> set[str]:
+    @classmethod
+    def fit(cls, samples: list[tuple[Placed, bool, bool]], seed: int = 7, rounds: int = 8) -> Furniture:
+        """From lines and whether each is a header and holds a page number. With few examples of either kind, or of plain
+        lines, the known forms decide."""
+        weights, rng = {}, random.Random(seed)
+        described = [(cls.coarse(p) + cls.fine(p), labels) for p, *labels in samples]
+        for k, kind in enumerate(cls.KINDS):
+            examples = sum(labels[k] for _, labels in described)
+            if min(examples, len(described) - examples) < LEAST_EXAMPLES:
+                return cls()
+            w, total, step, order = [0.0] * cls.BUCKETS, [0.0] * cls.BUCKETS, 1, list(described)
+            for _ in range(rounds):
+                rng.shuffle(order)
+                for features, labels in order:
+                    score, sign = sum(w[f] for f in features), 1.0 if labels[k] else -1.0
+                    if score * sign <= 0.5:
+                        for f in features:
+                            w[f] += sign
+                            total[f] += sign * step
+                    step += 1
+            weights[kind] = [a - b / step for a, b in zip(w, total, strict=True)]
+        return cls(weights)
+
+
+#: How many features the second look has.
+FEATURES = 8
+#: About so many lines the furniture model is fitted on, of documents chosen by their hash; inner lines are thinned.
+TRAINING_LINES, THINNED = 12_000, 12
+#: With fewer examples of a kind than this the known forms decide.
+LEAST_EXAMPLES = 30
+
+
+def labelled(lines: list[tuple]) -> list[tuple[Placed, bool, bool]]:
+    """Weak labels of (document, page_no, Placed fields): a header comes again at the edge of another page of its document, a
+    page number is alone on its line and that of the page; lines of known forms are either, as far as they stand alone."""
+    pages: dict[int, set] = defaultdict(set)
+    seen: dict[tuple, set] = defaultdict(set)
+    for document, page_no, *fields in lines:
+        p = Placed(*fields)
+        pages[document].add(page_no)
+        if p.place in ("top", "bottom") and len(p.line.strip()) > 6:
+            seen[document, p.place, p.line.strip()].add(page_no)
+    # A line that comes again by chance, as short ends of common sentences do, mostly stands once in a document.
+    held: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    for (document, place, line), on in seen.items():
+        if len(pages[document]) > 2:
+            held[place, line][0] += len(on) > 1 and 2 * len(on) >= len(pages[document])
+            held[place, line][1] += 1
+    out = []
+    for document, page_no, *fields in lines:
+        p = Placed(*fields)
+        head, number = furniture(p.line)
+        times, of = held.get((p.place, p.line.strip()), (0, 0))
+        again = len(seen.get((document, p.place, p.line.strip()), ())) > 1 and 2 * times > of and not number
+        own = p.place in ("top", "bottom") and page_no is not None and len(p.line.strip()) < 14 and str(page_no) in re.findall(r"\d+", p.line) and not re.search(r"[A-Za-z]{6}", p.line)
+        title = p.place == "top" and p.before.startswith("none") and p.line.strip().isupper() and page_no in (None, 1)
+        out.append((p, (head or again) and not title, number or own))
+    return out
+
+
+def learned(rows: DataFrame, most: int = TRAINING_LINES) -> Furniture:
+    """The furniture model from lines of (field, row_id, text, document, page_no)."""
+
+    def each(field: str, text: str, document: int, page_no: int | None) -> Iterator[tuple]:
+        for p in placed(field, text):
+            if p.place in ("top", "bottom") or any(furniture(p.line)) or zlib.crc32(p.line.encode("utf-8", "surrogatepass")) % THINNED == 0:
+                yield document, page_no, *p
+
+    schema = "document bigint, page_no int, start int, end int, line string, place string, before string, after string"
+    documents = max(1, rows.select("document").distinct().count())
+    share = min(1 << 30, -(-((most // 8) << 30) // documents))
+    chosen = rows.where(F.pmod(F.xxhash64("document"), F.lit(1 << 30)) < share)
+    lines = flat_map(chosen, lambda: each, schema, ["field", "text", "document", "page_no"]).distinct()
+    got = (tuple(r) for r in lines.orderBy(F.xxhash64("document"), *lines.columns).limit(2 * most).collect())
+    return Furniture.fit(labelled(sorted(got, key=repr)))
+
+
+def found_furniture(field: str, text: str, model: Furniture) -> list[tuple[Placed, bool, bool]]:
+    """The lines that are furniture. On a page only its edge is; the title at the head of a page is none."""
+    out = []
+    for p in placed(field, text):
+        if p.place == "inner":
+            continue
+        head, number = model(p)
+        if head and not p.start and field == "page_text" and p.line.strip().isupper() and not number and "#" not in masked(p.line):
+            head = False
+        if head or number:
+            out.append((p, head, number))
+    return out
+
+
+def kinds(field: str, text: str, editor: Editor, model: Furniture) -> set[str]:
     joined, cut = editor.rejoined(text)
     found = {"hyphen"} if cut else set()
-    for start, _, line in edges(field, text):
-        head, number = furniture(line)
-        if head and (start or field != "page_text" or not line.strip().isupper()):
+    for _, head, number in found_furniture(field, text, model):
+        if head:
             found.add("header")
         if number:
             found.add("page_no")
@@ -304,9 +470,9 @@ def kinds(field: str, text: str, editor: Editor) -> set[str]:
     return found
 
 
-def repaired(field: str, text: str, editor: Editor) -> str:
+def repaired(field: str, text: str, editor: Editor, model: Furniture) -> str:
     """The text without furniture, with cut words joined, misread words restored, and lines of a paragraph joined."""
-    drop = [(a, b) for a, b, line in edges(field, text) if any(furniture(line))]
+    drop = [(p.start, p.end) for p, _, _ in found_furniture(field, text, model)]
     out, last = [], 0
     for a, b in drop:
         out.append(text[last:a])
@@ -350,13 +516,16 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
 
     spark = rows.sparkSession
     checkpoint_dir(spark)
+    for name, kind, value in (("document", "bigint", F.col("row_id")), ("page_no", "int", F.lit(None))):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, value.cast(kind))
     counts, least, rare = word_counts(rows)
-    shared = spark.sparkContext.broadcast((counts, train(counts, least), least))
+    shared = spark.sparkContext.broadcast(((counts, train(counts, least), least), learned(rows).weights))
     if rare is None:
-        return flat_map(rows, lambda: make_each(Editor(*shared.value)), schema, ["field", "row_id", "text"]).distinct()
+        return flat_map(rows, lambda: make_each(Editor(*shared.value[0]), Furniture(shared.value[1])), schema, ["field", "row_id", "text"]).distinct()
 
     def unsure() -> Callable:
-        editor, known = Editor(*shared.value), {}
+        editor, known = Editor(*shared.value[0]), {}
 
         def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
             for raw in set(editor.rejoined(text)[0].split()):
@@ -369,9 +538,9 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
         return each
 
     def exact() -> Callable:
-        plain = Editor(*shared.value)
-        each = make_each(plain)
-        return lambda field, row_id, text, words: (make_each(Editor(*shared.value, {w['word']: w['n'] for w in words}))(field, row_id, text) if words else each(field, row_id, text))
+        given, model = shared.value[0], Furniture(shared.value[1])
+        each = make_each(Editor(*given), model)
+        return lambda field, row_id, text, words: (make_each(Editor(*given, {w["word"]: w["n"] for w in words}), model)(field, row_id, text) if words else each(field, row_id, text))
 
     words = flat_map(rows, unsure, "field string, row_id bigint, word string", ["field", "row_id", "text"]).distinct()
     words = words.join(rare, "word").groupBy("field", "row_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
@@ -379,35 +548,46 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
     return flat_map(met, exact, schema, ["field", "row_id", "text", "words"]).distinct()
 
 
+def _given(rows: DataFrame) -> DataFrame:
+    return rows.select("field", "row_id", "text", *(c for c in ("document", "page_no") if c in rows.columns)).where(F.col("text").isNotNull())
+
+
 def noise(rows: DataFrame) -> DataFrame:
-    """(field, row_id, kind) of every kind of scan noise in (field, row_id, text).
+    """(field, row_id, kind) of every kind of scan noise in (field, row_id, text), and if given (document, page_no).
 
     Null, empty and blank texts hold none; repeated rows count once; very long texts are read once, line by line and word
     by word. Other columns are not carried.
     """
-    rows = rows.select("field", "row_id", "text").where(F.col("text").isNotNull())
 
-    def make(editor: Editor) -> Callable:
-        return lambda field, row_id, text: ((field, row_id, kind) for kind in sorted(kinds(field, text, editor)))
+    def make(editor: Editor, model: Furniture) -> Callable:
+        return lambda field, row_id, text: ((field, row_id, kind) for kind in sorted(kinds(field, text, editor, model)))
 
-    return _applied(rows, make, "field string, row_id bigint, kind string")
+    return _applied(_given(rows), make, "field string, row_id bigint, kind string")
 
 
 def repair(rows: DataFrame) -> DataFrame:
     """(field, row_id, text) of the rows with noise, as continuous paragraphs."""
-    rows = rows.select("field", "row_id", "text").where(F.col("text").isNotNull())
 
-    def make(editor: Editor) -> Callable:
-        return lambda field, row_id, text: [(field, row_id, repaired(field, text, editor))] if kinds(field, text, editor) else []
+    def make(editor: Editor, model: Furniture) -> Callable:
+        return lambda field, row_id, text: [(field, row_id, repaired(field, text, editor, model))] if kinds(field, text, editor, model) else []
+
+    return _applied(_given(rows), make, "field string, row_id bigint, text string")
+
 
-    return _applied(rows, make, "field string, row_id bigint, text string")
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for field in ("clean_text", "page_text"):
+        name, key, column = FIELDS[field]
+        page = F.col("page_no") if field == "page_text" else F.lit(None)
+        parts.append(table(spark, folder, name).select(F.lit(field).alias("field"), F.col(key).cast("bigint").alias("row_id"), F.col(column).alias("text"), F.col("contract_id").alias("document"), page.cast("int").alias("page_no")))
+    return parts[0].unionByName(parts[1])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Contract texts and pages with the kinds of scan noise they hold."""
-    return noise(text_fields(spark, folder, ["clean_text", "page_text"]))
+    return noise(_texts(spark, folder))
 
 
 def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The same records as continuous paragraphs."""
-    return repair(text_fields(spark, folder, ["clean_text", "page_text"]))
+    return repair(_texts(spark, folder))

@@ -98,3 +98,27 @@ def test_compounds_keep_the_hyphen_they_are_broken_at():
         assert editor.rejoined("any third-\n party or well-\nknown one") == ("any third-party or well-known one", False)
         assert editor.rejoined("the deli-\nvery and the treas-\nurer") == ("the delivery and the treasurer", True)
         assert editor.rejoined("an unheard-of zorbli-\nnated word")[0] == "an unheard-of zorblinated word"
+
+
+def test_headers_of_unknown_form_are_learned(spark):
+    """Headers that no known form describes come again on the pages of a document; they are found there, and where a
+    document shows its header once."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for d in range(60):
+        head = f"~ {rng.choice(['Mill', 'Yard', 'Dock'])} {rng.choice(['north', 'south'])} copy ~"
+        count = 1 if d >= 50 else 4
+        for no in range(1, count + 1):
+            body = "\n".join(rng.sample([line for s in SENTENCES for line in (s[: len(s) // 2], s[len(s) // 2 :])], 7))
+            rows.append(("page_text", 1_000 * d + no, f"{head}\n{body}\nFolio {no}" if no > 1 or count == 1 else f"{body}\nFolio {no}", d, no))
+    frame = spark.createDataFrame(rows, "field string, row_id bigint, text string, document bigint, page_no int")
+    assert n.furniture(rows[1][2].split("\n")[0]) == (False, False) == n.furniture("Folio 3")
+    found = {}
+    for r in n.noise(frame).collect():
+        found.setdefault(r.kind, set()).add(r.row_id)
+    heads = {r[1] for r in rows if r[2].startswith("~")}
+    assert len(found["header"] & heads) >= 0.95 * len(heads) and len(found["header"] - heads) <= 3
+    assert len(found["page_no"]) >= 0.95 * len(rows)
+    repaired = {r.row_id: r.text for r in n.repair(frame).collect()}
+    assert "~" not in repaired[59_001] and "Folio" not in repaired[59_001]
