@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from clausewright.llm import split_items as s
 from clausewright.llm.split_items import pieces, split_items
 
 
@@ -40,3 +41,13 @@ def test_table(spark):
     assert got == [(1, 1, 0, 1200), (1, 2, 1050, 2000)]
     assert split_items(rows.limit(0), "id", "text").count() == 0
     assert re.fullmatch(r"bigint", dict(split_items(rows, "id", "text").dtypes)["id"])
+
+
+def test_structure_is_cut_before_its_parts():
+    """Sections by headings first, then blocks and list items, and only then sentences."""
+    body = "The party keeps the ledger and pays for it. " * 16
+    text = f"# One\n{body}\n\n## A\n{body}\n# Two\n" + "".join(f"- item {k} of the list\n" for k in range(40)) + "<ul><li>x</li></ul>" + body
+    got = [(a, b) for _, a, b in s.pieces(text, 1200, 300, 0, s.STRUCTURE)]
+    assert "".join(text[a:b] for a, b in got) == text and all(b - a <= 1200 for a, b in got)
+    assert text[got[1][0] :].startswith("## A") and text[got[2][0] :].startswith("# Two")
+    assert text[got[3][0] - 5 : got[3][0]] in ("</ul>", "list\n")
