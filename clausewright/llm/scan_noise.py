@@ -288,9 +288,9 @@ LONGEST = 111
 _ROMAN = re.compile(r"\b[ivxlc]{1,7}\b|\b[IVXLC]{1,7}\b")
 
 
-def placed(field: str, text: str) -> list[Placed]:
-    """The lines that may be furniture: on a page its two first and two last lines are `top` or `bottom`, others `inner`; in
-    a clean text, whose pages are joined, every line but the first is `clean`."""
+def placed(field: str, text: str, inner: bool = False) -> list[Placed]:
+    """The lines that may be furniture: on a page its two first and two last lines are `top` or `bottom`, others `inner`, left out unless
+    asked for; in a clean text, whose pages are joined, every line but the first is `clean`."""
     full, at = [], 0
     for line in text.split("\n"):
         if line.strip():
@@ -301,6 +301,8 @@ def placed(field: str, text: str) -> list[Placed]:
         if len(line) > LONGEST or field != "page_text" and not k:
             continue
         place = "clean" if field != "page_text" else "top" if k < 2 else "bottom" if k > last - 2 else "inner"
+        if place == "inner" and not inner:
+            continue
         before = ("none" if not k else "stop" if full[k - 1][2].rstrip()[-1] in ".;:!?।。" else "open") + ("+" if k and text[full[k - 1][1] : a].count("\n") > 1 else "")
         after = "none" if k == last else "small" if full[k + 1][2].lstrip()[0].islower() else "other"
         out.append(Placed(a, b, line, place, before, after + ("+" if k < last and text[b : full[k + 1][0]].count("\n") > 1 else "")))
@@ -316,38 +318,52 @@ class Furniture:
     """Tells headers and page numbers from lines of text by an averaged perceptron for either kind."""
 
     KINDS = ("header", "page_no")
-    BUCKETS = 1 << 13
+    #: Each feature has a range of buckets of its own, first the coarse ones.
+    COARSE, FINE, RANGE = 7, 10, 1 << 10
+    BUCKETS = (COARSE + FINE) * RANGE
 
     def __init__(self, weights: dict[str, list[float]] | None = None) -> None:
         self.weights = weights or {}
-        self.reach = {kind: sum(sorted(w)[-FEATURES:]) for kind, w in self.weights.items()}
+        #: The most that the fine features can add.
+        ranges = range(self.COARSE * self.RANGE, self.BUCKETS, self.RANGE)
+        self.reach = {kind: sum(max(0.0, max(w[at : at + self.RANGE])) for at in ranges) for kind, w in self.weights.items()}
         self.memo: dict[tuple, tuple[bool, bool]] = {}
+        self.looks: dict[tuple, dict[str, float]] = {}
 
     @classmethod
-    def coarse(cls, p: Placed) -> tuple[int, ...]:
-        """Features that most lines are already told by."""
+    def look(cls, p: Placed) -> tuple:
+        """What most lines are already told by: place, length, first and last character, surroundings, number of spaces."""
         line = p.line.strip()
         kind = lambda ch: "a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
-        return cls.buckets(f"p{p.place}", f"n{len(line) // 8}", f"f{kind(line[0])}{p.place}", f"e{kind(line[-1])}{len(line) // 24}", f"fe{kind(line[0])}{kind(line[-1])}{p.after}", f"c{p.before}{p.after}", f"w{min(line.count(' '), 12)}")
+        return p.place, len(line) // 8, kind(line[0]), kind(line[-1]), p.before, p.after, min(line.count(" "), 12)
+
+    @classmethod
+    def coarse(cls, p: Placed) -> tuple[int, ...]:
+        place, size, first, last, before, after, spaces = cls.look(p)
+        return cls.buckets(0, place, str(size), first + place, f"{last}{size // 3}", first + last + after, before + after, str(spaces))
 
     @classmethod
     def fine(cls, p: Placed) -> tuple[int, ...]:
         line = masked(p.line)
         words = line.split()
+        form = "".join("01"[known] for known in furniture(p.line))  # a known form is a feature like the others
         shape = re.sub(r"[a-zß-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", line))
         bare = re.sub(r"[^#\W]+", "", line).replace(" ", "")
-        return cls.buckets(f"s{shape[:20]}", f"m{line.lower()[:24]}", f"b{bare[:12]}", f"h{words[0].lower()}", f"t{words[-1].lower()}", f"tt{' '.join(words[-2:]).lower()}", f"ms{line.count('#')}{bare[:4]}{min(len(words), 5)}", f"u{line.isupper()}{'#' in line}")
+        return cls.buckets(cls.COARSE, shape[:20], line.lower()[:24], bare[:12], words[0].lower(), words[-1].lower(), " ".join(words[-2:]).lower(), f"{line.count('#')}{bare[:4]}{min(len(words), 5)}", f"{line.isupper()}{'#' in line}", form, form + p.place)
 
     @classmethod
-    def buckets(cls, *named: str) -> tuple[int, ...]:
-        return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % cls.BUCKETS for f in named)
+    def buckets(cls, first: int, *named: str) -> tuple[int, ...]:
+        return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % cls.RANGE + k * cls.RANGE for k, f in enumerate(named, first))
 
     def __call__(self, p: Placed) -> tuple[bool, bool]:
         """(is a header, holds a page number)."""
         if not self.weights:
             return furniture(p.line)
-        coarse = self.coarse(p)
-        open_ = {kind: score for kind, w in self.weights.items() if (score := sum(w[f] for f in coarse)) + self.reach[kind] > 0}
+        look = self.look(p)
+        open_ = self.looks.get(look)
+        if open_ is None:
+            coarse = self.coarse(p)
+            open_ = self.looks[look] = {kind: score for kind, w in self.weights.items() if (score := sum(w[f] for f in coarse)) + self.reach[kind] > 0}
         if not open_:
             return False, False
         key = (masked(p.line), p.place, p.before, p.after)
@@ -383,8 +399,6 @@ class Furniture:
         return cls(weights)
 
 
-#: How many features the second look has.
-FEATURES = 8
 #: About so many lines the furniture model is fitted on, of documents chosen by their hash; inner lines are thinned.
 TRAINING_LINES, THINNED = 12_000, 12
 #: With fewer examples of a kind than this the known forms decide.
@@ -423,7 +437,7 @@ def learned(rows: DataFrame, most: int = TRAINING_LINES) -> Furniture:
     """The furniture model from lines of (field, row_id, text, document, page_no)."""
 
     def each(field: str, text: str, document: int, page_no: int | None) -> Iterator[tuple]:
-        for p in placed(field, text):
+        for p in placed(field, text, inner=True):
             if p.place in ("top", "bottom") or any(furniture(p.line)) or zlib.crc32(p.line.encode("utf-8", "surrogatepass")) % THINNED == 0:
                 yield document, page_no, *p
 
@@ -440,8 +454,6 @@ def found_furniture(field: str, text: str, model: Furniture) -> list[tuple[Place
     """The lines that are furniture. On a page only its edge is; the title at the head of a page is none."""
     out = []
     for p in placed(field, text):
-        if p.place == "inner":
-            continue
         head, number = model(p)
         if head and not p.start and field == "page_text" and p.line.strip().isupper() and not number and "#" not in masked(p.line):
             head = False
