@@ -39,9 +39,10 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "page_texts").select("contract_id", "page_no", "text").distinct()
 
 
-def clauses(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per clause, the latest delivery."""
-    rows = table(spark, folder, "clauses").select("clause_uid", "contract_id", "clause_type", "text", "span_start", "span_end", "loaded_at")
+def clauses(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row per clause, the latest delivery; only the named columns are read and shuffled (all if none are named)."""
+    named = columns or ("contract_id", "clause_type", "text", "span_start", "span_end")
+    rows = table(spark, folder, "clauses").select("clause_uid", *named, "loaded_at")
     return library.latest(rows, ["clause_uid"], "loaded_at")
 
 
@@ -59,7 +60,7 @@ def joined_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def clause_pages(spark: SparkSession, folder: str) -> DataFrame:
     starts = segment.page_starts(pages(spark, folder), "contract_id")
-    return segment.page_of(clauses(spark, folder).select("clause_uid", "contract_id", "span_start"), starts, "contract_id").select("clause_uid", "page")
+    return segment.page_of(clauses(spark, folder, "contract_id", "span_start"), starts, "contract_id").select("clause_uid", "page")
 
 
 def paragraph_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +76,7 @@ def rule_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classified_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    typed = classify.classify_by_cues(clauses(spark, folder).withColumn("type", F.lit(fixed.UNCLASSIFIED)))
+    typed = classify.classify_by_cues(clauses(spark, folder, "text").withColumn("type", F.lit(fixed.UNCLASSIFIED)))
     return typed.select("clause_uid", "assigned_type", F.round("confidence", 6).alias("confidence"), "runner_up")
 
 
@@ -103,12 +104,12 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scores = retrieval.bm25(clauses(spark, folder).where(F.col("text").isNotNull()), corpus(spark, folder), "clause_uid")
+    scores = retrieval.bm25(clauses(spark, folder, "text").where(F.col("text").isNotNull()), corpus(spark, folder), "clause_uid")
     return scores.select("clause_uid", "ord", F.round("score", 6).alias("score"))
 
 
 def grounded_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    rows, held = clauses(spark, folder), corpus(spark, folder)
+    rows, held = clauses(spark, folder, "clause_type", "text"), corpus(spark, folder)
     scores = retrieval.bm25(rows.where(F.col("text").isNotNull()), held, "clause_uid")
     return retrieval.ground(rows, held, scores, "clause_uid", "clause_type").select("clause_uid", "rank", "ord", F.round("score", 6).alias("score"), "method")
 
@@ -147,7 +148,7 @@ def provision_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The five provisions whose vectors are nearest to each clause's."""
-    rows = clauses(spark, folder).where(F.col("text").isNotNull())
+    rows = clauses(spark, folder, "text").where(F.col("text").isNotNull())
     scores = retrieval.cosine_scores(text_vectors(rows, "clause_uid"), provision_vectors(spark, folder), "clause_uid")
     rounded = scores.select("clause_uid", "ord", F.round("score", 6).alias("score"))
     ranked = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("clause_uid").orderBy(F.desc("score"), "ord")))
@@ -156,7 +157,7 @@ def vector_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_grounding(spark: SparkSession, folder: str) -> DataFrame:
     """Provisions by keywords, vectors and tags together."""
-    rows, held = clauses(spark, folder), corpus(spark, folder)
+    rows, held = clauses(spark, folder, "clause_type", "text"), corpus(spark, folder)
     told = rows.where(F.col("text").isNotNull())
     by_vectors = retrieval.cosine_scores(text_vectors(told, "clause_uid"), provision_vectors(spark, folder), "clause_uid")
     found = retrieval.ground(rows, held, retrieval.bm25(told, held, "clause_uid"), "clause_uid", "clause_type", by_vectors)
@@ -165,7 +166,7 @@ def hybrid_grounding(spark: SparkSession, folder: str) -> DataFrame:
 
 def ensemble_types(spark: SparkSession, folder: str) -> DataFrame:
     """Clause types by the cosine to the mean vector of each type's cues and by the cues' scores."""
-    rows = clauses(spark, folder).where(F.col("text").isNotNull())
+    rows = clauses(spark, folder, "text").where(F.col("text").isNotNull())
     cues = spark.createDataFrame([(kind, cue) for kind, weighted in fixed.CUES.items() for cue, _ in weighted], "label string, text string")
     centres = classify.centroids(text_vectors(cues, "label"))
     held = centres.select(F.col("label").alias("ord"), F.col("centroid").alias("embedding"))
@@ -175,12 +176,12 @@ def ensemble_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clause_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.flags(clauses(spark, folder), RULES, ["clause_uid"], "clause_type")
+    return rules.flags(clauses(spark, folder, "clause_type", "text"), RULES, ["clause_uid"], "clause_type")
 
 
 def clause_notes(spark: SparkSession, folder: str) -> DataFrame:
     """A note for each flag, with the best provision of the clause."""
-    rows = clauses(spark, folder)
+    rows = clauses(spark, folder, "clause_type", "text")
     flagged = rules.flags(rows, RULES, ["clause_uid"], "clause_type").join(rows.select("clause_uid", "text"), "clause_uid").withColumn("rationale", F.concat(F.lit("Found by the rule "), F.col("category"), F.lit(".")))
     held = table(spark, folder, "provisions").select("ord", "act", "provision", "summary")
     made = notes.flag_notes(flagged, grounded_clauses(spark, folder).join(held, "ord"), ["clause_uid"])
@@ -188,22 +189,22 @@ def clause_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_clause_types(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.missing_types(clauses(spark, folder), REQUIRED, "contract_id", "clause_type")
+    return rules.missing_types(clauses(spark, folder, "contract_id", "clause_type"), REQUIRED, "contract_id", "clause_type")
 
 
 def contract_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.top_severity(spark, rules.flags(clauses(spark, folder), RULES, ["contract_id"], "clause_type"), "contract_id")
+    return rules.top_severity(spark, rules.flags(clauses(spark, folder, "contract_id", "clause_type", "text"), RULES, ["contract_id"], "clause_type"), "contract_id")
 
 
 def notice_days(spark: SparkSession, folder: str) -> DataFrame:
     """The longest period in days that each clause names."""
-    rows = clauses(spark, folder).where(F.col("text").isNotNull())
+    rows = clauses(spark, folder, "text").where(F.col("text").isNotNull())
     return rows.select("clause_uid", rules.greatest_number(F.col("text"), r"(?i)(\d{1,3})\s*(?:\(\d{1,3}\)\s*)?days").alias("days"))
 
 
 def sentences_in_clauses(spark: SparkSession, folder: str) -> DataFrame:
     points = table(spark, folder, "sentences").select("sent_uid", "contract_id", F.col("span_start").alias("at")).distinct()
-    spans = clauses(spark, folder).select("clause_uid", "contract_id", "span_start", "span_end")
+    spans = clauses(spark, folder, "contract_id", "span_start", "span_end").drop("loaded_at")
     return rules.within(points, spans, "contract_id").select("sent_uid", "clause_uid").distinct()
 
 
@@ -236,12 +237,12 @@ def content_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    return clauses(spark, folder).select("clause_uid", "clause_type", F.unix_micros("loaded_at").alias("loaded_micros"))
+    return clauses(spark, folder, "clause_type").select("clause_uid", "clause_type", F.unix_micros("loaded_at").alias("loaded_micros"))
 
 
 def clause_display(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
-    return clauses(spark, folder).select("clause_uid", text.clause_label(F.col("clause_type")).alias("label"), text.truncate(body, 120).alias("short"), text.first_sentence(body).alias("first_sentence"))
+    return clauses(spark, folder, "clause_type", "text").select("clause_uid", text.clause_label(F.col("clause_type")).alias("label"), text.truncate(body, 120).alias("short"), text.first_sentence(body).alias("first_sentence"))
 
 
 def entity_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,7 +294,7 @@ def clause_sentence_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The page of each clause by the sentence it begins in."""
     rows = table(spark, folder, "sentences").select("sent_uid", "contract_id", "span_start").distinct()
     told = segment.page_of(rows, segment.page_starts(pages(spark, folder), "contract_id"), "contract_id")
-    return segment.page_by_sentence(clauses(spark, folder).select("clause_uid", "contract_id", "span_start"), told, "contract_id").select("clause_uid", "page")
+    return segment.page_by_sentence(clauses(spark, folder, "contract_id", "span_start"), told, "contract_id").select("clause_uid", "page")
 
 
 def explanations(spark: SparkSession) -> DataFrame:
@@ -302,7 +303,7 @@ def explanations(spark: SparkSession) -> DataFrame:
 
 def explained_clauses(spark: SparkSession, folder: str) -> DataFrame:
     """The note that explains each clause of a known type."""
-    made = notes.explainers(clauses(spark, folder).where(F.col("text").isNotNull()), explanations(spark), ["clause_uid"], "clause_type")
+    made = notes.explainers(clauses(spark, folder, "clause_type", "text").where(F.col("text").isNotNull()), explanations(spark), ["clause_uid"], "clause_type")
     return made.select("clause_uid", "headline", "body", F.col("citations")[0]["wording"].alias("cited"))
 
 
@@ -316,7 +317,7 @@ def document_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 def rephrase_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """What a rephrasing stage would be given for each flag, and what its answer is checked against."""
-    rows = clauses(spark, folder)
+    rows = clauses(spark, folder, "clause_type", "text")
     flagged = rules.flags(rows, RULES, ["clause_uid"], "clause_type").join(rows.select("clause_uid", F.col("text").alias("clause")), "clause_uid")
     law = table(spark, folder, "provisions").select("ord", F.concat(F.col("act"), F.lit(", "), F.col("provision"), F.lit(": "), F.col("summary")).alias("law"))
     best = grounded_clauses(spark, folder).where("rank = 1").join(law, "ord").select("clause_uid", F.array("law").alias("provisions"))
@@ -339,7 +340,7 @@ def contract_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """Display labels of the flags of each clause."""
-    flagged = rules.flags(clauses(spark, folder), RULES, ["clause_uid"], "clause_type")
+    flagged = rules.flags(clauses(spark, folder, "clause_type", "text"), RULES, ["clause_uid"], "clause_type")
     return flagged.select("clause_uid", "category", text.category_label(F.col("category")).alias("category_label"), text.severity_label(F.col("severity")).alias("severity_label"))
 
 
