@@ -26,6 +26,10 @@ EXPLANATIONS = [("INDEMNITY", "One side makes good a loss of the other."), ("PAY
 CASES = [
     ("exchange-of-names", "1. SCOPE\nTarnby Foods Limited engages Morven Logistics LLP for the scope of services in each order.\n\nPayment of each invoice falls due in thirty days.", {"Tarnby": "Bellow", "Morven": "Quenby"}),
     ("exchange-of-meaning", "The Supplier shall indemnify and hold harmless the Client against all claims.", {"indemnify and hold harmless": "inform", "Client": "Buyer"}),
+    ("exchange-of-people", "2. NOTICES\nMs. Ilvane Askellan is told in writing of each notice under this agreement, by registered post, before it takes effect.", {"Ms.": "Mr.", "Ilvane": "Rahim", "Askellan": "Okafor"}),
+    ("firm-llp", "3. INDEMNITY\nYarlow Mills Private Limited shall indemnify and hold harmless the buyer against each claim of a third party.", {"Private Limited": "LLP"}),
+    ("firm-trust", "4. CONFIDENTIALITY\nThe Dovrin Trust keeps all confidential and non-public information of the other side for five years.", {"Trust": "Inc."}),
+    ("firm-town", "5. JURISDICTION\nThe courts at Silport shall have exclusive jurisdiction over Marthar Agro Corporation, whether or not a dispute is pending.", {"Silport": "Calville", "Corporation": "Company"}),
 ]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import fixed
 from clausewright.functions.arrow import flat_map
+from clausewright.sources import pdf as small_pdf
 
 #: Media types by extension.
 MEDIA_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain", "html": "text/html", "htm": "text/html"}
@@ -85,7 +86,8 @@ def docx_text(content: bytes) -> str:
 def pages(files: DataFrame, pdf: Pages | None = None) -> DataFrame:
     """(path, media_type, page_no, text, error) of the files (path, content, media_type).
 
-    Text is read as UTF-8 and is one page, as DOCX is (by its file name). PDF pages come from the given reader. Empty and
+    Text is read as UTF-8 and is one page, as DOCX is (by its file name). PDF pages come from the given reader, else from
+    the small one of this package, which refuses encrypted files. Empty and
     null contents, unknown types, texts beyond 15,000,000 characters, files without a page, and files the reader fails on
     come out as a row with an error; pages beyond 3,000 are dropped by the format's rule.
     """
@@ -96,8 +98,8 @@ def pages(files: DataFrame, pdf: Pages | None = None) -> DataFrame:
                 return [docx_text(content)]
             if kind.startswith("text/"):
                 return [content.decode("utf-8", "replace")]
-            if kind == "application/pdf" and pdf:
-                return pdf(content)[:MOST_PAGES]
+            if kind == "application/pdf":
+                return (pdf or small_pdf.read)(content)[:MOST_PAGES]
             raise ValueError(f"Unsupported document type: {kind}")
 
         def each(path: str, content: bytes | None, kind: str) -> Iterator[tuple]:

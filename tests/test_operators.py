@@ -200,6 +200,34 @@ def test_uploads_and_files(spark, tmp_path):
     assert all(r.error and r.text is None for r in files.pages(empty).collect())
 
 
+def small_pdf(pages, packed=True, extra=b""):
+    """A PDF file with one content stream a page; the first font has a table of its own."""
+    import zlib
+
+    table = b"1 beginbfchar <41> <0042> endbfchar 1 beginbfrange <61> <63> <0078> endbfrange"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 2 /Kids [" + b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages))) + b"] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>", 5: b"<< /Type /Font /ToUnicode 7 0 R >>", 6: b"<< /Type /Font >>"}
+    streams = {7: table} | {11 + 2 * k: body for k, body in enumerate(pages)}
+    for k in range(len(pages)):
+        objects[10 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * k)
+    for n, body in streams.items():
+        data = zlib.compress(body) if packed else body
+        objects[n] = b"<< /Length %d %s>>\nstream\n" % (len(data), b"/Filter /FlateDecode " if packed else b"") + data + b"\nendstream"
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, body) for n, body in sorted(objects.items())) + b"\ntrailer << /Root 1 0 R " + extra + b">>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_pages(spark, packed):
+    from clausewright.sources import pdf
+
+    pages = [rb"BT /F2 12 Tf 72 700 Td (1. PAYMENT) Tj 0 -14 Td [(Each inv) 20 (oice\) is due) -300 (now \(soon\)\056)] TJ ET", rb"BT /F1 9 Tf (A) Tj <616263> Tj T* /F2 9 Tf (caf\351) Tj ET"]
+    content = small_pdf(pages, packed)
+    assert pdf.read(content) == ["1. PAYMENT\nEach invoice) is due now (soon).", "Bxyz\ncafé"]
+    rows = spark.createDataFrame([("a.pdf", bytearray(content), "application/pdf"), ("b.pdf", bytearray(small_pdf(pages, packed, b"/Encrypt 9 0 R ")), "application/pdf"), ("c.pdf", bytearray(b"%PDF-1.4 nothing"), "application/pdf"), ("d.pdf", bytearray(b"no pdf"), "application/pdf")], "path string, content binary, media_type string")
+    got = {(r.path, r.page_no): (r.text, r.error) for r in files.pages(rows).collect()}
+    assert got["a.pdf", 2] == ("Bxyz\ncafé", None) and "encrypted" in got["b.pdf", None][1] and "no page" in got["c.pdf", None][1] and got["d.pdf", None][1]
+    assert {r.text for r in files.pages(rows.where("path = 'a.pdf'"), lambda c: ["given"]).collect()} == {"given"}
+
+
 def test_kinds_by_content(spark):
     import io
     import zipfile
