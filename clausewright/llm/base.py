@@ -37,12 +37,13 @@ def text_fields(spark: SparkSession, folder: str, fields: Iterable[str]) -> Data
     return functools.reduce(DataFrame.unionByName, (text_field(spark, folder, f) for f in fields))
 
 
-def bounded_sample(rows: DataFrame, size: int) -> list[str]:
+def bounded_sample(rows: DataFrame, size: int, longest: int = 50_000) -> list[str]:
     """About `size` distinct texts of (text), chosen by their hash, at most twice as many; all of them if there are fewer.
 
-    For fitting models only. The share to keep follows from the number of rows, so each task sends its part and not a
+    For fitting models only. Texts beyond `longest` characters are not used for it, so the sample is bounded in bytes too. The share to keep follows from the number of rows, so each task sends its part and not a
     full sample of its own.
     """
+    rows = rows.where(F.length("text") <= longest)
     total = rows.count()
     share = min(1 << 30, -(-(size << 30) // max(1, total)))
     return [r[0] for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("text").distinct().limit(2 * size).collect()]
