@@ -12,6 +12,36 @@ from clausewright.functions.arrow import flat_map
 
 CLS, SEP, UNKNOWN = "[CLS]", "[SEP]", "[UNK]"
 LEAST_VOCABULARY, LONGEST_WORD = 100, 100
+#: The most pieces of a text, whatever a model could take.
+MOST_PIECES = 256
+
+_models: dict[str, object] = {}
+
+
+def sequence_limit(metadata: dict | None) -> int:
+    """How many pieces a model is given: its own limit if it names one, but never more than MOST_PIECES."""
+    own = (metadata or {}).get("max_length")
+    return min(MOST_PIECES, int(own)) if own else MOST_PIECES
+
+
+def shared(name: str, make: Callable[[], object]) -> object:
+    """One model per worker process: made when first asked for, kept for the tasks that follow."""
+    if name not in _models:
+        _models[name] = make()
+    return _models[name]
+
+
+def pooled(states: list[list[list[float]]], masks: list[list[int]]) -> list[list[float]]:
+    """The mean of each text's states where its mask is not zero, of length one; zeros if all is masked."""
+    import numpy as np
+
+    out = []
+    for rows, mask in zip(states, masks, strict=True):
+        kept = np.asarray(rows, dtype=np.float64)[np.asarray(mask, dtype=bool)]
+        mean = kept.mean(axis=0) if len(kept) else np.zeros(len(rows[0]) if rows else 0)
+        length = np.linalg.norm(mean)
+        out.append((mean / length if length else mean).tolist())
+    return out
 
 
 def _mark(ch: str) -> bool:
@@ -44,7 +74,7 @@ def pieces(token: str, vocabulary: dict[str, int]) -> list[str]:
     return out
 
 
-def encode(rows: DataFrame, key: str, body: str, vocabulary: dict[str, int], most: int = 256) -> DataFrame:
+def encode(rows: DataFrame, key: str, body: str, vocabulary: dict[str, int], most: int = MOST_PIECES) -> DataFrame:
     """(key, ids, mask, types): between [CLS] and [SEP], cut to `most`; null counts as empty."""
     if len(vocabulary) < LEAST_VOCABULARY:
         raise ValueError(f"a vocabulary of {len(vocabulary)} pieces is no vocabulary")

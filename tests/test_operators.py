@@ -354,6 +354,13 @@ def test_wordpiece(spark):
     assert {r.id: r.embedding and [round(x, 3) for x in r.embedding] for r in vectors} == {1: [0.6, 0.8], 2: [0.6, 0.8], 3: None}
 
 
+def test_pooling_and_limits():
+    assert wordpiece.pooled([[[3.0, 4.0], [9.0, 9.0]], [[1.0, 1.0]]], [[1, 0], [0]]) == [[0.6, 0.8], [0.0, 0.0]]
+    assert [wordpiece.sequence_limit(m) for m in (None, {}, {"max_length": 128}, {"max_length": 512})] == [256, 256, 128, 256]
+    made = []
+    assert wordpiece.shared("one", lambda: made.append(1) or "m") == wordpiece.shared("one", lambda: made.append(1)) == "m" and made == [1]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id int, text string, type string, embedding array<float>, label string")
     assert segment.segment(none).count() == entities.entities(none).count() == segment.sentences(none).count() == 0
