@@ -51,7 +51,6 @@ _CANDIDATE = re.compile(
     rf"|[。！？।۔؟]+[{_CLOSERS}]*"
     rf"|(?<=\S)(?=\s+[{_SPACELESS}])"
 )
-_TOKEN = re.compile(r"\S*$")
 _WORD = re.compile(r"\s*([^\s.,;:?!]*)")
 #: How quotation marks open and close, those read by a wrong code page included.
 _MARKS = re.compile(rf"(?P<open>[“„«「『《]|(?<![^\s(])‘|{'|'.join(map(re.escape, _OPENED))})|(?P<close>[”»」』》]|{'|'.join(map(re.escape, _CLOSED))})|(?P<both>\"|{LOST})")
@@ -116,7 +115,8 @@ class Tagger:
             start, end = m.span()
             if end >= len(text) or not text[end:].strip():
                 break
-            token = _TOKEN.search(text, max(last, start - 40), start).group()
+            ahead = text[max(last, start - 40) : start]
+            token = ahead.split()[-1] if ahead and not ahead[-1].isspace() else ""
             word = _WORD.match(text, end)
             after = word.group(1)
             following = after[:1] or (text[word.end() : word.end() + 1])
@@ -153,6 +153,10 @@ class Tagger:
         candidates = self.features(text)
         if not candidates:
             return self.breaks.tag(text) if self.breaks.applies(text) else []
+        return self.chosen(candidates)
+
+    def chosen(self, candidates: list[tuple[int, tuple[str, ...]]]) -> list[int]:
+        """The positions of those candidates that are boundaries."""
         weights = self.weights
         scores = [sum(weights.get(f, 0.0) for f in features) for _, features in candidates]
         return [end for (end, _), state in zip(candidates, viterbi(scores, weights.get("t:10", 0.0), weights.get("t:11", 0.0)), strict=True) if state]
@@ -355,11 +359,12 @@ def fit(texts: list[str], seed: int = 3, rounds: int = 3, counts: tuple[Counts,
     weights: Counter[str] = Counter()
     total: Counter[str] = Counter()
     step = 1
+    tagger.weights = weights
+    described = [(tagger.features(text), borders) for text, borders in samples]
     for _ in range(rounds):
-        rng.shuffle(samples)
-        for text, borders in samples:
-            tagger.weights = weights
-            found, candidates = set(tagger.tag(text)), tagger.features(text)
+        rng.shuffle(described)
+        for candidates, borders in described:
+            found = set(tagger.chosen(candidates))
             if found != borders & {end for end, _ in candidates}:
                 for tags, sign in ((borders, 1.0), (found, -1.0)):
                     before = 0
