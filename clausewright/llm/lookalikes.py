@@ -126,9 +126,12 @@ def words(rows: DataFrame, mask: bool) -> DataFrame:
 
         def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
             if mask:
+                kept, past = [], 0
                 for start, end in suspects(text):
                     if doubtful(text[start:end]):
-                        text = text[:start] + LOST * (end - start) + text[end:]
+                        kept += (text[past:start], LOST * (end - start))
+                        past = end
+                text = "".join([*kept, text[past:]]) if kept else text
             last = 0
             for m in wanted.finditer(text):
                 start, end = m.span()
