@@ -1,16 +1,15 @@
 """Problem 9: test items whose passages appear in the documents, by greedy string tiling.
 
 Seeds are runs of `LEAST` words hashed by a rolling (Karp-Rabin) hash; the items' seeds form a table that is sent to the
-tasks in blocks of bounded size. In a document, words that no item has cut the search short; seeds that meet are
+tasks up to a bounded size, and are joined by shuffle beyond it. In a document, words that no item has cut the search short; seeds that meet are
 extended to maximal matches, and the longest matches that do not overlap are marked one after the other (tiles), so
 passages in another order are found as well.
 """
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from clausewright.llm.base import Words, flat_map
 from clausewright.sources.tables import table
 
 LEAST = 12
-#: Words of the items that are sent to the tasks at once (some 100 MB in a worker); larger sets of items go in several blocks.
+#: Words of the items that are sent to the tasks (some 100 MB in a worker); the seeds of larger sets are joined by shuffle.
 BLOCK_WORDS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -98,40 +97,68 @@ def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
     return sorted(marked, reverse=True)
 
 
+COLUMNS = "doc_id bigint, item_id bigint, longest int, tiles int, covered int, coverage double"
+
+
 def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, longest, tiles, covered, coverage): documents that share a run of at least `least` words with an item.
 
     covered counts the item's words under tiles, coverage is its share; pairs below the wished coverage are left out.
     Null and empty texts, and items of fewer than `least` words, take no part. Repeated documents give their rows once.
+    Items of at most `block_words` words are sent to the tasks as a table of seeds, so documents are not shuffled; of more
+    items the seeds are joined by shuffle, and only the texts of pairs that share one are brought together. Both give the same rows.
     documents: (doc_id, text); items: (item_id, text); other columns are not carried.
     """
     spark = documents.sparkSession
-    words = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct().withColumn("size", F.length("text"))
-    blocks = max(1, -(-(words.agg(F.sum("size")).first()[0] or 0) // (3 * block_words)))
-    parts = []
-    for block in range(blocks):
-        make_words = Words()
-        chosen = words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else words
-        rows = spark.sparkContext.broadcast([(r[0], make_words(r[1])) for r in chosen.select("item_id", "text").toLocalIterator()])
-
-        def make(rows=rows) -> Callable:
-            index = Index(rows.value, least)
-            numbers = index.numbers
-            to_words = Words(lambda word: numbers.get(word, 0))
-
-            def each(doc_id: int, text: str | None):
-                if not text:
-                    return
-                for key, matches in index.meets(np.array(to_words(text), dtype=np.uint64)).items():
-                    marked = tiles(matches, least)
-                    covered, size = sum(n for n, _, _ in marked), len(index.items[key])
-                    if covered >= coverage * size:
-                        yield doc_id, key, matches[0][0], len(marked), covered, covered / size
-
-            return each
-
-        parts.append(flat_map(documents, make, "doc_id bigint, item_id bigint, longest int, tiles int, covered int, coverage double", ["doc_id", "text"]))
-    return functools.reduce(DataFrame.unionByName, parts).distinct()
+    words = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    # A word and the space after it take two characters at least, but rarely less than three.
+    if (words.agg(F.sum(F.length("text"))).first()[0] or 0) > 3 * block_words:
+        return _by_join(documents, words, least, coverage)
+    make_words = Words()
+    rows = spark.sparkContext.broadcast([(r[0], make_words(r[1])) for r in words.toLocalIterator()])
+
+    def make() -> Callable:
+        index = Index(rows.value, least)
+        to_words = Words(lambda word: index.numbers.get(word, 0))
+        return lambda doc_id, text: _tiled(doc_id, np.array(to_words(text), dtype=np.uint64), index, coverage) if text else ()
+
+    return flat_map(documents, make, COLUMNS, ["doc_id", "text"]).distinct()
+
+
+def _tiled(doc_id: int, row: np.ndarray, index: Index, coverage: float) -> Iterator[tuple]:
+    for key, matches in index.meets(row).items():
+        marked = tiles(matches, index.least)
+        covered, size = sum(n for n, _, _ in marked), len(index.items[key])
+        if covered >= coverage * size:
+            yield doc_id, key, matches[0][0], len(marked), covered, covered / size
+
+
+def _by_join(documents: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """The same by a join of seeds: the rolling hashes of all runs, each once per text."""
+
+    def seeds() -> Callable:
+        import xxhash
+
+        numbers, shape = Words(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))), Index([], least)
+        return lambda key, text: ((key, seed) for seed in np.unique(shape.seeds(np.array(numbers(text), dtype=np.uint64))).astype(np.int64).tolist()) if text else ()
+
+    def of(rows: DataFrame, key: str) -> DataFrame:
+        return flat_map(rows.select(F.col(key).alias("key"), "text"), seeds, "key bigint, seed bigint", ["key", "text"]).withColumnRenamed("key", key)
+
+    documents = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    pairs = of(documents, "doc_id").join(of(items, "item_id").hint("merge"), "seed").select("doc_id", "item_id").distinct()
+    met = documents.join(pairs.hint("merge"), "doc_id").join(items.withColumnRenamed("text", "item").hint("merge"), "item_id")
+
+    def make() -> Callable:
+        split = Words()
+
+        def each(doc_id: int, text: str, item_id: int, item: str) -> Iterator[tuple]:
+            index = Index([(item_id, split(item))], least)
+            return _tiled(doc_id, np.array([index.numbers.get(w, 0) for w in split(text)], dtype=np.uint64), index, coverage)
+
+        return each
+
+    return flat_map(met, make, COLUMNS, ["doc_id", "text", "item_id", "item"]).distinct()
 
 
 def p9_tiles(spark: SparkSession, folder: str) -> DataFrame:
