@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.base import MEMO_LIMIT, bounded_sample, flat_map
 from clausewright.llm.encoding import BACK, LOST, bytes_as
+from clausewright.session import checkpoint_dir
 from clausewright.sources.tables import table
 
 #: The bound of the training texts, by their hash; a parameter. Splitting itself covers every text.
 TRAINING_TEXTS = 1_500
 #: A word met less often is `rare`, whatever its share.
 LEAST_MET = 8
+#: So is one with less than this share of all, so that at most a million words of either kind are broadcast at any size.
+LEAST_SHARE = 1e-6
 
 _SPACELESS = "฀-๿຀-໿က-႟ក-៿"
 _WIDE = "぀-ヿ㐀-鿿豈-﫿"
@@ -293,7 +296,7 @@ def met(texts: Iterable[str]) -> tuple[Counts, Counts]:
 
 
 def corpus_counts(rows: DataFrame) -> tuple[Counts, Counts]:
-    """The same over all distinct texts of (text); words met less than LEAST_MET times, which are all alike, are left out."""
+    """The same over all distinct texts of (text); rare words (LEAST_MET, LEAST_SHARE), which are all alike, are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[dict, dict] = {}, {}
@@ -316,7 +319,10 @@ def corpus_counts(rows: DataFrame) -> tuple[Counts, Counts]:
     parts = rows.select("text").distinct().mapInArrow(run, "start boolean, word string, hits bigint, n bigint")
     ends: Counts = {}
     starts: Counts = {}
-    for start, word, hits, n in parts.groupBy("start", "word").agg(F.sum("hits"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_MET).collect():
+    checkpoint_dir(rows.sparkSession)
+    sums = parts.groupBy("start", "word").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_MET).checkpoint()
+    least = LEAST_SHARE * (sums.groupBy("start").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0)
+    for start, word, hits, n in sums.where(F.col("n") >= least).select("start", "word", "hits", "n").collect():
         (starts if start else ends)[word] = hits, n
     return ends, starts
 
