@@ -17,7 +17,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -164,6 +164,8 @@ class Editor:
     def unsure(self, raw: str) -> set[str]:
         """The words below the least count on whose exact counts the judgement of the raw token depends."""
         word = core(raw)
+        if word in self.counts and "-" not in word and "'" not in word and "’" not in word:
+            return set()
         hit = [part for part in self.parts(raw, word) if self.judged(part) and (part not in self.counts or word not in self.counts) and next(self.edits(part, word), None)]
         return {w for w in (word, *hit) if w not in self.counts and _SOUND.fullmatch(w)} if hit else set()
 
@@ -550,9 +552,18 @@ def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
         return each
 
     def exact() -> Callable:
-        given, model = shared.value[0], Furniture(shared.value[1])
-        each = make_each(Editor(*given), model)
-        return lambda field, row_id, text, words: (make_each(Editor(*given, {w["word"]: w["n"] for w in words}), model)(field, row_id, text) if words else each(field, row_id, text))
+        editor = Editor(*shared.value[0])
+        each = make_each(editor, Furniture(shared.value[1]))
+
+        def one(field: str, row_id: int, text: str, words: list | None) -> Iterable[tuple]:
+            # Every row that holds a doubtful word brings its count along, so what was judged before stays right.
+            if words:
+                if len(editor.rare) > MEMO_LIMIT:
+                    editor.rare.clear()
+                editor.rare.update((w["word"], w["n"]) for w in words)
+            return each(field, row_id, text)
+
+        return one
 
     words = flat_map(rows, unsure, "field string, row_id bigint, word string", ["field", "row_id", "text"]).distinct()
     words = words.join(rare, "word").groupBy("field", "row_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
