@@ -250,3 +250,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Contract texts and pages in one form."""
     return unified(text_fields(spark, folder, ["clean_text", "page_text"]))
+
+
+def p7_residue(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, texts, left): how many texts there are, and in how many characters without width, odd spaces, full-width or
+    styled letters are left after they were brought to one form."""
+    left = F.count_if(F.col("text").rlike(patterns()["one"]))
+    return p7_unified(spark, folder).groupBy("field").agg(F.count("*").alias("texts"), left.alias("left"))

@@ -451,3 +451,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every contract and clause text of at least 20 words, and its number of linked classes."""
     return groups(*near_copies(_texts(spark, folder)))
+
+
+def p6_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The least row_id of the group of every text of at least 20 words."""
+    rows = p6_groups(spark, folder).select("field", "row_id", "group_id")
+    least = rows.groupBy("field", "group_id").agg(F.min("row_id").alias("first_id"))
+    return rows.join(least.hint("merge"), ["field", "group_id"]).groupBy("field", "row_id").agg(F.min("first_id").alias("first_id"))

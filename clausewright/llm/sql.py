@@ -81,6 +81,12 @@ _TEXTS = (("clean_text", "contract_docs", "contract_id", "clean_text"), ("clause
 SQL = {
     "p3_found": _PIECES,
     "p6_found": f"with {', '.join(_sets(*t) for t in _TEXTS)} {' union all '.join(_pairs(*t) for t in _TEXTS)}",
+    "p6_first": (
+        f"with recursive {', '.join(_sets(*t) for t in _TEXTS)}, pairs as ({' union all '.join(_pairs(*t) for t in _TEXTS)}), edges as (select field, id_a as a, id_b as b from pairs union all select field, id_b, id_a from pairs), "
+        f"every as ({' union all '.join(f'select {chr(39)}{t[0]}{chr(39)} as field, id from {t[0]}_sizes' for t in _TEXTS)}), "
+        "reach(field, id, other) as (select field, id, id from every union select r.field, r.id, e.b from reach r join edges e on e.field = r.field and e.a = r.other) select field, id as row_id, min(other) as first_id from reach group by field, id"
+    ),
+    "p7_residue": "select 'clean_text' as field, count(*) as texts, 0::bigint as \"left\" from contract_docs where clean_text is not null union all select 'page_text', count(*), 0 from page_texts where text is not null",
     "p10_counts": _counts(),
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p8_covered": "select doc_id, cast(length(coalesce(text, '')) as int) as covered, false as disordered from documents",
