@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausewright.functions import fixed, vectors
+from clausewright.operators import retrieval
 
 Cues = dict[str, list[tuple[str, float]]]
 _SIGNS = set(".*{}[]()|\\^$?+")
@@ -107,6 +109,22 @@ def ensemble(cosines: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
     return top.select(key, F.when(sure, F.col("first")).otherwise(fixed.UNCLASSIFIED).alias("assigned_type"), F.greatest(F.lit(0.0), F.col("value")).alias("confidence"), F.when(sure, F.col("second")).otherwise(F.col("first")).alias("runner_up"))
 
 
+def classify_by_both(clauses: DataFrame, key: str, encoder: Callable[[DataFrame, str, str], DataFrame], seeds: DataFrame, body: str = "text", given: str | None = "type", cues: Cues = fixed.CUES) -> DataFrame:
+    """clauses with assigned_type, confidence, runner_up and method by cues and by vectors together.
+
+    seeds: (label, text), phrases of each type, whose mean vectors are the types' centroids. encoder(rows, key, text) makes
+    (key, embedding). A found type replaces the given one; otherwise PREAMBLE stays. Null texts count as empty.
+    """
+    told = clauses.select(key, F.coalesce(F.col(body), F.lit("")).alias("text"))
+    held = centroids(encoder(seeds.select("label", "text"), "label", "text")).select(F.col("label").alias("ord"), F.col("centroid").alias("embedding"))
+    cosines = retrieval.cosine_scores(encoder(told, key, "text"), held, key).select(key, F.col("ord").alias("type"), F.col("score").alias("cosine"))
+    keywords = told.select(key, F.explode(cue_scores(F.lower("text"), cues)).alias("s")).select(key, F.col("s.type").alias("type"), (-F.col("s.less")).alias("score"))
+    joined = clauses.join(ensemble(cosines, keywords, key), key, "left").withColumn("method", F.lit("ensemble"))
+    none = F.coalesce("assigned_type", F.lit(fixed.UNCLASSIFIED)) == fixed.UNCLASSIFIED
+    kept = F.when(F.col(given) == fixed.PREAMBLE, fixed.PREAMBLE).otherwise(fixed.UNCLASSIFIED) if given else F.lit(fixed.UNCLASSIFIED)
+    return joined.withColumn("assigned_type", F.when(none, kept).otherwise(F.col("assigned_type"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
 def backend(with_vectors: bool) -> str:
     """The label of the way clauses are classified."""
     return "inlegalbert+keyword" if with_vectors else "keyword-only"

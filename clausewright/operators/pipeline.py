@@ -46,15 +46,15 @@ class Analysis:
 def analyse(
     pages: DataFrame, provisions: DataFrame | None = None, key: str = "doc_id", listener: Callable[[str], None] | None = None, *,
     flagging: list[rules.Rule] | None = None, required: list[tuple[str, str, str]] | None = None, explanations: DataFrame | None = None,
-    splitter: Stage | None = None, classifier: Stage | None = None, extractor: Stage | None = None, retriever: Stage | None = None, rephrase: Stage | None = None, encoder: Stage | None = None,
+    splitter: Stage | None = None, classifier: Stage | None = None, extractor: Stage | None = None, retriever: Stage | None = None, rephrase: Stage | None = None, encoder: Stage | None = None, seeds: DataFrame | None = None,
 ) -> Analysis:
     """Pages (key, page_no, text) to documents, typed clauses with their pages, entities, supporting provisions, flags and notes.
 
     flagging, required and explanations (type, body) are given; without them there are no flags or explaining notes. Any
     stage may be replaced: splitter(documents, key) makes sentences, classifier(clauses) adds assigned_type, confidence
     and runner_up, extractor(documents, key) makes entities, retriever(clauses, provisions, key, type) makes (clause_key, rank, ord, score, method),
-    rephrase(notes) proposes (clause_key, headline, candidate) from `prompt`. encoder(rows, key, text) makes (key, embedding) for
-    keywords and vectors together.
+    rephrase(notes) proposes (clause_key, headline, candidate) from `prompt`. encoder(rows, key, text) makes (key, embedding): provisions
+    are then ranked by keywords and vectors together, and with seeds (label, text) clauses are typed by both.
 
     A listener hears of each planned stage in order; what it raises is logged and otherwise ignored. The millis are those
     of planning: rows are made when a sink asks for them.
@@ -76,8 +76,9 @@ def analyse(
     documents = segment.join_pages(pages, key)
     sentences = segment.page_of((splitter or segment.sentences)(documents, key), starts, key)
     done("ingestion")
-    parts = segment.page_by_sentence(segment.segment(documents, key), sentences, key)
-    clauses = (classifier or classify.classify_by_cues)(parts).withColumn("clause_key", F.concat_ws("/", F.col(key).cast("string"), "clause_id"))
+    parts = segment.page_by_sentence(segment.segment(documents, key), sentences, key).withColumn("clause_key", F.concat_ws("/", F.col(key).cast("string"), "clause_id"))
+    both = classifier is None and encoder is not None and seeds is not None
+    clauses = classify.classify_by_both(parts, "clause_key", encoder, seeds) if both else (classifier or classify.classify_by_cues)(parts)
     found = segment.page_by_sentence((extractor or entities.entities)(documents, key), sentences, key)
     flagged = rules.flags(clauses, flagging or [rules.NEVER], [key, "clause_key"])
     missing = rules.missing_types(clauses, required or [], key) if required else documents.where("false").select(key, *(F.lit(None).cast("string").alias(c) for c in ("type", "severity", "category")))
@@ -110,5 +111,5 @@ def analyse(
     made = made.join(clauses.select(key, "clause_key"), "clause_key").select(key, "clause_key", "headline", "body", "citations")
     of_document = notes.document_notes(missing.withColumn("rationale", reasons), rules.first_clauses(clauses.select(key, "span_start", "text"), key), key)
     done("advisory")
-    backends = {"extraction": "given" if classifier else classify.backend(False), "grounding": method, "advisory": "rephrased" if rephrase else "templates"}
+    backends = {"extraction": "given" if classifier else classify.backend(both), "grounding": method, "advisory": "rephrased" if rephrase else "templates"}
     return Analysis(documents, clauses, found, matches, flagged, missing, made, of_document, backends, key, millis)

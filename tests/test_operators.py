@@ -317,7 +317,18 @@ def test_pipeline_with_rules_notes_and_given_stages(spark):
     assert given.backends == {"extraction": "given", "grounding": "given", "advisory": "rephrased"}
     assert {r.body for r in given.notes.collect()} == {"In plain words, how one side tells the other. This is no advice."}
     hybrid = pipeline.analyse(pages, PROVISION(spark), encoder=lambda rows, key, body: rows.select(key, F.array(F.length(body).cast("double"), F.lit(1.0)).alias("embedding")))
-    assert {r.method for r in hybrid.matches.collect()} == {"hybrid"}
+    assert {r.method for r in hybrid.matches.collect()} == {"hybrid"} and hybrid.backends["extraction"] == "keyword-only"
+
+
+def test_types_by_cues_and_vectors(spark):
+    pages = spark.createDataFrame([(1, 1, TEXT)], "doc_id int, page_no int, text string")
+    words = ("invoice", "indemnif", "notice")
+    encoder = lambda rows, key, body: rows.select(key, F.array(*(F.regexp_count(F.lower(body), F.lit(w)).cast("double") for w in words)).alias("embedding"))
+    seeds = spark.createDataFrame([("PAYMENT", "each invoice"), ("PAYMENT", "an invoice"), ("INDEMNITY", "to indemnify"), ("NOTICES", "a notice")], "label string, text string")
+    result = pipeline.analyse(pages, encoder=encoder, seeds=seeds)
+    got = {r.clause_id: (r.assigned_type, round(r.confidence, 2), r.method) for r in result.clauses.collect()}
+    assert got == {"clause-0": ("PREAMBLE", 0.0, "ensemble"), "clause-1": ("PAYMENT", 1.0, "ensemble"), "clause-2": ("INDEMNITY", 1.0, "ensemble")}
+    assert result.backends["extraction"] == "inlegalbert+keyword"
 
 
 def test_prompts_are_cut(spark):
