@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.base import FIELDS, MEMO_LIMIT, flat_map
+from clausewright.session import checkpoint_dir
 from clausewright.sources.tables import table
 
 #: Words with fewer than this share of all words are left out of the broadcast counts, so that they hold at most a
@@ -66,6 +67,7 @@ class Editor:
     """
 
     def __init__(self, counts: dict[str, int], weights: dict[str, float], least: float = LEAST_COUNT, rare: dict[str, int] | None = None) -> None:
+        self.deferred = False
         self.counts, self.weights, self.least, self.rare, self.memo, self.cuts = counts, weights, least, rare or {}, {}, {}
 
     def count(self, word: str) -> int:
@@ -141,15 +143,16 @@ class Editor:
             last = m.end()
         return "".join([*out, text[last:]]), cut
 
-    def __call__(self, raw: str) -> str | None:
-        """What the raw token should read; null to keep it."""
+    def __call__(self, raw: str) -> str | tuple[str, ...] | None:
+        """What the raw token should read; null to keep it. While judgements are `deferred`, the rare words on whose counts
+        one depends."""
         try:
             return self.memo[raw]
         except KeyError:
             pass
         if len(self.memo) > MEMO_LIMIT:
             self.memo.clear()
-        got = self.memo[raw] = self.judge(raw)
+        got = self.memo[raw] = (self.deferred and tuple(sorted(self.unsure(raw)))) or self.judge(raw)
         return got
 
     @staticmethod
@@ -464,9 +467,11 @@ def found_furniture(field: str, text: str, model: Furniture) -> list[tuple[Place
     return out
 
 
-def kinds(field: str, text: str, editor: Editor, model: Furniture) -> set[str]:
+def kinds(field: str, text: str, editor: Editor, model: Furniture) -> tuple[set[str], dict[str, tuple[str, ...]]]:
+    """The kinds of noise, and tokens whose judgement was deferred with the words it depends on; none if a misread word is sure."""
     joined, cut = editor.rejoined(text)
     found = {"hyphen"} if cut else set()
+    doubtful: dict[str, tuple[str, ...]] = {}
     for _, head, number in found_furniture(field, text, model):
         if head:
             found.add("header")
@@ -478,10 +483,14 @@ def kinds(field: str, text: str, editor: Editor, model: Furniture) -> set[str]:
             got = memo[raw]
         except KeyError:
             got = editor(raw)
-        if got is not None:
+        if got is None:
+            continue
+        if type(got) is tuple:
+            doubtful[raw] = got
+        else:
             found.add("misread")
-            break
-    return found
+            return found, {}
+    return found, doubtful
 
 
 def repaired(field: str, text: str, editor: Editor, model: Furniture) -> str:
@@ -525,76 +534,113 @@ def word_counts(rows: DataFrame) -> tuple[dict[str, int], float, DataFrame | Non
     return dict(sums.where(F.col("n") >= least).toPandas().itertuples(index=False, name=None)), least, rare
 
 
-def _applied(rows: DataFrame, make_each: Callable, schema: str) -> DataFrame:
-    from clausewright.session import checkpoint_dir
-
+def _ready(rows: DataFrame) -> tuple[DataFrame, Callable[[], tuple[Editor, Furniture]], DataFrame | None]:
+    """The rows, what makes editor and line model in a task, and the counts of rare words if there are any."""
     spark = rows.sparkSession
     checkpoint_dir(spark)
+    rows = rows.select("field", "row_id", "text", *(c for c in ("document", "page_no") if c in rows.columns)).where(F.col("text").isNotNull())
     for name, kind, value in (("document", "bigint", F.col("row_id")), ("page_no", "int", F.lit(None))):
         if name not in rows.columns:
             rows = rows.withColumn(name, value.cast(kind))
     counts, least, rare = word_counts(rows)
     shared = spark.sparkContext.broadcast(((counts, train(counts, least), least), learned(rows).weights))
-    if rare is None:
-        return flat_map(rows, lambda: make_each(Editor(*shared.value[0]), Furniture(shared.value[1])), schema, ["field", "row_id", "text"]).distinct()
+    return rows, lambda: (Editor(*shared.value[0]), Furniture(shared.value[1])), rare
 
-    def unsure() -> Callable:
-        editor, known = Editor(*shared.value[0]), {}
+
+def _told(editor: Editor, words: list | None) -> None:
+    """Makes counts of rare words known. Whatever holds a doubtful word brings its count along, so what was judged before stays right."""
+    if words:
+        if len(editor.rare) > MEMO_LIMIT:
+            editor.rare.clear()
+        editor.rare.update((w["word"], w["n"]) for w in words)
+
+
+def noise(rows: DataFrame) -> DataFrame:
+    """(field, row_id, kind) of every kind of scan noise in (field, row_id, text), and if given (document, page_no).
+
+    Null, empty and blank texts hold none; repeated rows count once; very long texts are read once, line by line and word
+    by word. Tokens whose judgement depends on rare words are judged apart, once their counts are joined; texts are not
+    shuffled. Other columns are not carried.
+    """
+    rows, ready, rare = _ready(rows)
+
+    def first() -> Callable:
+        editor, model = ready()
+        editor.deferred = rare_words
 
         def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
-            for raw in set(editor.rejoined(text)[0].split()):
-                if (words := known.get(raw)) is None:
-                    if len(known) > MEMO_LIMIT:
-                        known.clear()
-                    words = known[raw] = editor.unsure(raw)
-                yield from ((field, row_id, word) for word in words)
+            found, doubtful = kinds(field, text, editor, model)
+            yield from ((field, row_id, kind, None, None) for kind in sorted(found))
+            yield from ((field, row_id, None, raw, word) for raw, words in doubtful.items() for word in words)
 
         return each
 
-    def exact() -> Callable:
-        editor = Editor(*shared.value[0])
-        each = make_each(editor, Furniture(shared.value[1]))
+    def second() -> Callable:
+        editor, _ = ready()
 
-        def one(field: str, row_id: int, text: str, words: list | None) -> Iterable[tuple]:
-            # Every row that holds a doubtful word brings its count along, so what was judged before stays right.
-            if words:
-                if len(editor.rare) > MEMO_LIMIT:
-                    editor.rare.clear()
-                editor.rare.update((w["word"], w["n"]) for w in words)
-            return each(field, row_id, text)
+        def each(field: str, row_id: int, raw: str, words: list) -> list:
+            _told(editor, words)
+            return [(field, row_id, "misread")] if editor.judge(raw) is not None else []
 
-        return one
+        return each
 
-    words = flat_map(rows, unsure, "field string, row_id bigint, word string", ["field", "row_id", "text"]).distinct()
-    words = words.join(rare, "word").groupBy("field", "row_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    met = rows.join(words, ["field", "row_id"], "left")
-    return flat_map(met, exact, schema, ["field", "row_id", "text", "words"]).distinct()
+    rare_words = rare is not None
+    made = flat_map(rows, first, "field string, row_id bigint, kind string, raw string, word string", ["field", "row_id", "text"])
+    schema = "field string, row_id bigint, kind string"
+    if rare is None:
+        return made.select("field", "row_id", "kind").distinct()
+    made = made.distinct().checkpoint()
+    doubtful = made.where(F.col("raw").isNotNull()).join(rare.hint("merge"), "word", "left")
+    gathered = doubtful.groupBy("field", "row_id", "raw").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("words"))
+    judged = flat_map(gathered, second, schema, ["field", "row_id", "raw", "words"])
+    return made.where(F.col("kind").isNotNull()).select("field", "row_id", "kind").unionByName(judged).distinct()
 
 
-def _given(rows: DataFrame) -> DataFrame:
-    return rows.select("field", "row_id", "text", *(c for c in ("document", "page_no") if c in rows.columns)).where(F.col("text").isNotNull())
+def repair(rows: DataFrame) -> DataFrame:
+    """(field, row_id, text) of the rows with noise, as continuous paragraphs.
 
+    Where judgements depend on rare words, their counts are joined to the texts that hold them. Otherwise as `noise`.
+    """
+    rows, ready, rare = _ready(rows)
+    schema = "field string, row_id bigint, text string"
 
-def noise(rows: DataFrame) -> DataFrame:
-    """(field, row_id, kind) of every kind of scan noise in (field, row_id, text), and if given (document, page_no).
+    def mended(field: str, row_id: int, text: str, editor: Editor, model: Furniture) -> list:
+        return [(field, row_id, repaired(field, text, editor, model))] if kinds(field, text, editor, model)[0] else []
 
-    Null, empty and blank texts hold none; repeated rows count once; very long texts are read once, line by line and word
-    by word. Other columns are not carried.
-    """
+    if rare is None:
 
-    def make(editor: Editor, model: Furniture) -> Callable:
-        return lambda field, row_id, text: ((field, row_id, kind) for kind in sorted(kinds(field, text, editor, model)))
+        def plain() -> Callable:
+            editor, model = ready()
+            return lambda field, row_id, text: mended(field, row_id, text, editor, model)
 
-    return _applied(_given(rows), make, "field string, row_id bigint, kind string")
+        return flat_map(rows, plain, schema, ["field", "row_id", "text"]).distinct()
 
+    def unsure() -> Callable:
+        (editor, _), known = ready(), {}
 
-def repair(rows: DataFrame) -> DataFrame:
-    """(field, row_id, text) of the rows with noise, as continuous paragraphs."""
+        def each(field: str, row_id: int, text: str) -> Iterator[tuple]:
+            for raw in set(editor.rejoined(text)[0].split()):
+                if (words := known.get(raw)) is None:
+                    if len(known) > MEMO_LIMIT:
+                        known.clear()
+                    words = known[raw] = editor.unsure(raw)
+                yield from ((field, row_id, word) for word in words)
+
+        return each
 
-    def make(editor: Editor, model: Furniture) -> Callable:
-        return lambda field, row_id, text: [(field, row_id, repaired(field, text, editor, model))] if kinds(field, text, editor, model) else []
+    def exact() -> Callable:
+        editor, model = ready()
+
+        def each(field: str, row_id: int, text: str, words: list | None) -> list:
+            _told(editor, words)
+            return mended(field, row_id, text, editor, model)
+
+        return each
 
-    return _applied(_given(rows), make, "field string, row_id bigint, text string")
+    words = flat_map(rows, unsure, "field string, row_id bigint, word string", ["field", "row_id", "text"]).distinct()
+    words = words.join(rare.hint("merge"), "word").groupBy("field", "row_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    met = rows.join(words.hint("merge"), ["field", "row_id"], "left")
+    return flat_map(met, exact, schema, ["field", "row_id", "text", "words"]).distinct()
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
