@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,13 +39,23 @@ def main(args: list[str] | None = None) -> int:
     if not given.path:
         parser.print_usage(sys.stderr)
         return 2
-    from clausewright.operators.pipeline import analyse
     from clausewright.session import local_session
-    from clausewright.sources import files, reports
+    from clausewright.sources import files
 
     spark = local_session(given.threads)
     # Every file is parsed once; errors and each of the report's parts read the parsed pages.
     read = files.pages(files.read_files(spark, given.path)).persist()
+    try:
+        return _analysed(spark, read, given)
+    finally:
+        read.unpersist()
+
+
+def _analysed(spark: SparkSession, read: DataFrame, given: argparse.Namespace) -> int:
+    """Writes or prints the reports; 1 if a document could not be read."""
+    from clausewright.operators.pipeline import analyse
+    from clausewright.sources import files, reports
+
     bad = 0
     for path, error in read.where("error is not null").select("path", "error").toLocalIterator():
         print(f"{path}: {error}", file=sys.stderr)
@@ -73,6 +84,7 @@ def _audit(path: str, threads: str) -> int:
     print(total["line"])
     for row in audit.report(results).orderBy("name").toLocalIterator():
         print(row["line"])
+    results.unpersist()
     return int(not total["all_stable"])
 
 
