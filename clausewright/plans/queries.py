@@ -10,7 +10,7 @@ from clausewright.functions import fixed, text
 from clausewright.functions import vectors as V
 from clausewright.operators import audit, classify, entities, library, notes, pipeline, retrieval, rules, segment, wordpiece
 from clausewright.sources import files, reports
-from clausewright.sources.tables import table
+from clausewright.sources.tables import spread, table
 
 #: Letters whose counts stand in for an encoder's vector.
 LETTERS = "aehinorstd"
@@ -36,7 +36,7 @@ CASES = [
 def contracts(spark: SparkSession, folder: str) -> DataFrame:
     """(contract_id, text) of every delivery. Work on the texts runs in the scan's stage; what repeated deliveries give
     is reduced in the results, so that whole texts are not shuffled only to find repetitions."""
-    return table(spark, folder, "contract_docs").select("contract_id", F.col("clean_text").alias("text")).where(F.col("text").isNotNull())
+    return spread(table(spark, folder, "contract_docs").select("contract_id", F.col("clean_text").alias("text")).where(F.col("text").isNotNull()))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
